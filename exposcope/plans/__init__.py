@@ -1,6 +1,6 @@
 """Named queries over the provided tables, each paired with a DuckDB oracle."""
 
 from exposcope.plans.catalog import ORACLES, QUERIES, query
-from exposcope.plans import risk_queries, timeseries_queries  # noqa: F401  (registration)
+from exposcope.plans import prep_queries, risk_queries, timeseries_queries  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES", "query"]
