@@ -1,6 +1,8 @@
 """Named queries over the provided tables, each paired with a DuckDB oracle."""
 
 from exposcope.plans.catalog import ORACLES, QUERIES, query
-from exposcope.plans import prep_queries, risk_queries, timeseries_queries  # noqa: F401
+from exposcope.plans import (  # noqa: F401  (registration)
+    eda_queries, prep_queries, risk_queries, timeseries_queries,
+)
 
 __all__ = ["QUERIES", "ORACLES", "query"]

@@ -25,6 +25,7 @@ def get_spark(cpus: int | str = "*", app: str = "exposcope",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", driver_memory))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
