@@ -2,7 +2,8 @@
 
 from exposcope.functions.columns import (
     clamp, lookup, ordinal_code, risk_label, display_name, half_even, safe_div,
+    round_half_even, fixed,
 )
 
 __all__ = ["clamp", "lookup", "ordinal_code", "risk_label", "display_name",
-           "half_even", "safe_div"]
+           "half_even", "safe_div", "round_half_even", "fixed"]

@@ -59,3 +59,27 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     """num / den with 0 (not null) on a zero denominator."""
     d = _col(den)
     return F.when(d == 0, F.lit(0.0)).otherwise(_col(num) / d)
+
+
+def round_half_even(c: str | Column, digits: int = 0) -> Column:
+    """Half-to-even rounding of the binary product x * 10^digits.
+
+    Same IEEE operations in every engine, so results are reproducible across
+    engines; ties are broken to the even neighbour like Python's ``round``.
+    """
+    p = float(10 ** digits)
+    y = _col(c) * p
+    f = F.floor(y)
+    d = y - f
+    r = (F.when(d > 0.5, f + 1).when(d < 0.5, f)
+         .otherwise(F.when(f % 2 == 0, f).otherwise(f + 1)))
+    return r / p if digits else r.cast("double")
+
+
+def fixed(c: str | Column, digits: int) -> Column:
+    """Non-negative number as text with ``digits`` decimals (half away from zero)."""
+    p = 10 ** digits
+    n = F.floor(_col(c) * float(p) + 0.5)
+    if digits == 0:
+        return n.cast("string")
+    return F.format_string(f"%d.%0{digits}d", (n / p).cast("long"), (n % p).cast("long"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposcope.functions.columns import half_even, lookup, ordinal_code
+from exposcope.functions.columns import lookup, ordinal_code, round_half_even
 from exposcope.schema import (
     MATURITY_BONUS, MATURITY_ORDER, RISK_CUTS, SCENARIO_ARTIFACT, SEVERITY_ORDER,
     SEVERITY_WEIGHT, SOURCE_ALIAS, SOURCE_TYPES, ARTIFACT_TYPES,
@@ -150,7 +150,7 @@ def expand_scenarios(df: DataFrame, leak_col: str = "leak_severity", cvss_col: s
     c = F.col
     leak = c(leak_col).cast("double")
     cvss = c(cvss_col).cast("double")
-    leak_int = half_even(leak).cast("int")
+    leak_int = round_half_even(leak).cast("int")
     sev_enc = (F.when(leak_int <= 2, 0).when(leak_int <= 5, 1).when(leak_int <= 8, 2)
                .otherwise(3)).cast("int")
     src = lookup(c(source_col), SOURCE_ALIAS)
@@ -172,7 +172,7 @@ def expand_scenarios(df: DataFrame, leak_col: str = "leak_severity", cvss_col: s
         "dns_record_type_count": F.lit(5),
         "is_wildcard_dns": F.lit(0),
         "github_leak_count": F.greatest(F.lit(0), _trunc_int(leak * 1.2 + 1).cast("int")),
-        "exposure_velocity": half_even(leak * cvss / 10.0 + 0.5, 2),
+        "exposure_velocity": round_half_even(leak * cvss / 10.0 + 0.5, 2),
         "leak_severity_encoded": sev_enc,
         "exploit_maturity_encoded": F.least(F.lit(3), _trunc_int(cvss / 3.0).cast("int")),
     }
@@ -183,6 +183,17 @@ def expand_scenarios(df: DataFrame, leak_col: str = "leak_severity", cvss_col: s
     return df.withColumns(cols)
 
 
+def predict_risk_rules(df: DataFrame, jitter: float = 0.1, confidence: float = 0.75,
+                       out: str = "predicted_risk") -> DataFrame:
+    """F7 without trained models: F4 anomaly, F6 level, the midpoint confidence
+    of the rule path, and the level name."""
+    from exposcope.functions.columns import risk_label
+    d = heuristic_anomaly(df, jitter)
+    d = heuristic_risk(d, "anomaly_score", out)
+    return d.withColumns({"confidence": F.lit(confidence),
+                          "risk_level": risk_label(F.col(out))})
+
+
 def with_bands(df: DataFrame, anomaly_col: str = "anomaly_score", risk_col: str = "risk_score",
                confidence_col: str | None = "confidence") -> DataFrame:
     """display bands and status flags."""

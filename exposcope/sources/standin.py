@@ -96,3 +96,16 @@ def exposure_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labeled events with gaps, plus a full-row copy of every row with _o % 101 = 0."""
     n = with_gaps(exposure_labeled(spark, sf_dir))
     return n.unionByName(n.filter(F.col("_o") % 101 == 0))
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What-if scenarios, one per lineitem row: leak level 0..10 in steps of 0.5,
+    CVSS 0..10 and a source named as users type it ('Paste Site', 'CT Logs')."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.selectExpr(*_KEYS).selectExpr(
+        _EVENT[0],
+        "CAST(q % 21 AS DOUBLE) / 2 AS leak",
+        "CAST((p*7+o*3+n)%101 AS DOUBLE)/10 AS cvss",
+        "CASE p%5 WHEN 0 THEN 'CT Logs' WHEN 1 THEN 'CVE' WHEN 2 THEN 'DNS' "
+        "WHEN 3 THEN 'GitHub' ELSE 'Paste Site' END AS source_type",
+    )
