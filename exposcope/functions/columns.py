@@ -61,6 +61,15 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(_col(num) / d)
 
 
+def bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
+
+    Keeps expressions that use a sub-expression several times linear in size
+    (Catalyst would otherwise inline the sub-expression at every use).
+    """
+    return F.transform(F.array(expr), fn)[0]
+
+
 def round_half_even(c: str | Column, digits: int = 0) -> Column:
     """Half-to-even rounding of the binary product x * 10^digits.
 
@@ -68,12 +77,15 @@ def round_half_even(c: str | Column, digits: int = 0) -> Column:
     engines; ties are broken to the even neighbour like Python's ``round``.
     """
     p = float(10 ** digits)
-    y = _col(c) * p
-    f = F.floor(y)
-    d = y - f
-    r = (F.when(d > 0.5, f + 1).when(d < 0.5, f)
-         .otherwise(F.when(f % 2 == 0, f).otherwise(f + 1)))
-    return r / p if digits else r.cast("double")
+
+    def rnd(y):
+        f = F.floor(y)
+        d = y - f
+        r = (F.when(d > 0.5, f + 1).when(d < 0.5, f)
+             .otherwise(F.when(f % 2 == 0, f).otherwise(f + 1)))
+        return (r / p) if digits else r.cast("double")
+
+    return bind(_col(c).cast("double") * p, rnd)
 
 
 def fixed(c: str | Column, digits: int) -> Column:

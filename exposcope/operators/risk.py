@@ -214,3 +214,35 @@ def importance_band(c: str | Column) -> Column:
     x = F.col(c) if isinstance(c, str) else c
     return (F.when(x > 0.1, "top").when(x > 0.05, "high").when(x > 0.03, "mid")
             .otherwise("low"))
+
+
+# Level centres of the rule combo (midpoints between its cut points 2.5 / 4 / 5.5 / 7).
+RULE_CENTRES = [1.75, 3.25, 4.75, 6.25, 7.75]
+
+
+def rule_combo(df: DataFrame, anomaly_col: str = "anomaly_score") -> Column:
+    sev = F.col("leak_severity_encoded") if "leak_severity_encoded" in df.columns \
+        else ordinal_code("leak_severity", SEVERITY_ORDER)
+    return F.col("cvss_base_score") * 0.35 + sev * 1.2 + F.col(anomaly_col) * 3.0
+
+
+def rule_probabilities(df: DataFrame, anomaly_col: str = "anomaly_score",
+                       prefix: str = "prob_", digits: int = 4) -> DataFrame:
+    """Class scores of the rule path: inverse-square distance of the combo to
+    each level centre, normalised to sum 1 and rounded (ties are intended)."""
+    from exposcope.functions.columns import bind
+    centres = F.array(*[F.lit(float(c)) for c in RULE_CENTRES])
+
+    def weights(cb):
+        return F.transform(centres, lambda c: 1.0 / (1.0 + (cb - c) * (cb - c)))
+
+    def normalise(ws):
+        total = ws[0]
+        for i in range(1, len(RULE_CENTRES)):
+            total = total + ws[i]
+        return bind(total, lambda t: F.transform(ws, lambda w: round_half_even(w / t, digits)))
+
+    probs = bind(rule_combo(df, anomaly_col), lambda cb: bind(weights(cb), normalise))
+    d = df.withColumn("__probs", probs)
+    return d.withColumns({f"{prefix}{i}": F.col("__probs")[i]
+                          for i in range(len(RULE_CENTRES))}).drop("__probs")
