@@ -14,6 +14,7 @@ from exposcope.operators import iforest, metrics, models, risk
 from exposcope.operators.encode import assemble, fit_scaler
 from exposcope.operators.prepare import preprocess
 from exposcope.plans.catalog import query
+from exposcope.session import cut_lineage
 from exposcope.plans.explain_queries import PRED_CTES, pred_base
 from exposcope.plans.prep_queries import CAT_GAPS, NUM_GAPS
 from exposcope.plans.sqlbase import with_ctes
@@ -241,7 +242,7 @@ def g3_anomaly_summary(spark, sf_dir):
 def model_table(spark, sf_dir):
     """Preprocessed events (43 model features, label) with a stratified split."""
     prep = preprocess(exposure_raw(spark, sf_dir), NUM_GAPS, CAT_GAPS)
-    return models.stratified_split(prep, "risk_score", 0.2, 42, "event_id")
+    return cut_lineage(models.stratified_split(prep, "risk_score", 0.2, 42, "event_id"))
 
 
 Z_FEATURES = [f"{c}__z" for c in MODEL_FEATURES]
@@ -260,7 +261,7 @@ def _forest(spark, sf_dir, table=None, trees=100):
 @query("g1_isolation_forest")
 def g1_isolation_forest(spark, sf_dir):
     _, forest, scaled = _forest(spark, sf_dir)
-    scored = forest.transform(scaled.select("event_id", *Z_FEATURES))
+    scored = cut_lineage(forest.transform(scaled.select("event_id", *Z_FEATURES)))
     s = iforest.anomaly_score(scored, "anomaly_raw", "minmax", 0.05)
     return s.select("event_id", "anomaly_raw", "anomaly_score", "anomaly_flag")
 
@@ -269,7 +270,7 @@ def _train_frame(spark, sf_dir):
     t = model_table(spark, sf_dir)
     t = models.with_class_weights(t, "risk_score")
     t = assemble(t.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
-    return t
+    return cut_lineage(t)
 
 
 @query("g6_random_forest")
@@ -314,9 +315,9 @@ def f7_predict_models(spark, sf_dir):
     t = models.with_class_weights(model_table(spark, sf_dir), "risk_score")
     t = t.withColumn("label", F.col("risk_score").cast("double"))
     _, forest, scaled = _forest(spark, sf_dir, t, trees=50)
-    scored = forest.transform(scaled)
+    scored = cut_lineage(forest.transform(scaled))
     scored = iforest.anomaly_score(scored, "anomaly_raw", "fixed").drop(*Z_FEATURES)
-    full = assemble(scored, MODEL_FEATURES + ["anomaly_score"])
+    full = cut_lineage(assemble(scored, MODEL_FEATURES + ["anomaly_score"]))
     rf = models.train_rf(full.filter(F.col("is_test") == 0))
     p = models.predict_risk(full.filter(F.col("is_test") == 1), rf)
     return p.select("event_id", "predicted_risk", "risk_level", "anomaly_score", "confidence")

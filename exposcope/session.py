@@ -31,22 +31,25 @@ def get_spark(cpus: int | str = "*", app: str = "exposcope",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        # Local runs only: a cluster names a shared folder in its own conf.
-        local_dir = tempfile.mkdtemp(prefix="exposcope-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", local_dir)
-    checkpoint_dir(spark)
+    checkpoint_dir(spark)  # local runs get a fresh folder when none is named
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Point the SparkContext at ``spark.checkpoint.dir`` if the session names one."""
+def checkpoint_dir(spark: SparkSession, create_local: bool = True) -> str | None:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    On a cluster the session must name one (it is read, never invented).  In
+    local mode (tests, bench, one machine) a fresh folder is made when unset.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf_dir and create_local and sc.master.startswith("local"):
+        conf_dir = tempfile.mkdtemp(prefix="exposcope-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", conf_dir)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
