@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposcope.functions.columns import risk_label
+from exposcope.session import cut_lineage
 from exposcope.schema import RISK_LABELS
 
 
@@ -60,13 +61,37 @@ def histogram_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFrame:
-    """H5: Pearson r for every pair (lower triangle incl. diagonal), one pass."""
+    """H5: Pearson r for every pair (lower triangle incl. diagonal).
+
+    One pass of plain sums (n, sum x, sum x^2, sum xy over complete pairs), so
+    the aggregation buffer is one slot per moment; r follows in closed form.
+    Rows with a null in either column of a pair are skipped for that pair.
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)
              if (j <= i if lower else True)]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}")
-                   for k, (a, b) in enumerate(pairs)])
-    parts = ", ".join(f"'{a}', '{b}', r{k}" for k, (a, b) in enumerate(pairs))
-    return agg.selectExpr(f"stack({len(pairs)}, {parts}) AS (feature_a, feature_b, r)")
+    exprs = []
+    for k, (a, b) in enumerate(pairs):
+        xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
+        both = xa.isNotNull() & xb.isNotNull()
+        exprs += [F.count_if(both).cast("double").alias(f"n{k}"),
+                  F.sum(F.when(both, xa)).alias(f"sa{k}"), F.sum(F.when(both, xb)).alias(f"sb{k}"),
+                  F.sum(F.when(both, xa * xa)).alias(f"saa{k}"),
+                  F.sum(F.when(both, xb * xb)).alias(f"sbb{k}"),
+                  F.sum(F.when(both, xa * xb)).alias(f"sab{k}")]
+    agg = df.agg(*exprs)
+    parts = ", ".join(f"'{a}', '{b}', n{k}, sa{k}, sb{k}, saa{k}, sbb{k}, sab{k}"
+                      for k, (a, b) in enumerate(pairs))
+    long = agg.selectExpr(f"stack({len(pairs)}, {parts}) AS (feature_a, feature_b, n, sa, sb, "
+                          f"saa, sbb, sab)")
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    cov = n * F.col("sab") - sa * sb
+    va = n * F.col("saa") - sa * sa
+    vb = n * F.col("sbb") - sb * sb
+    r = F.when((va <= 0) | (vb <= 0) | (n < 2), F.lit(float("nan"))).otherwise(
+        F.when(F.col("feature_a") == F.col("feature_b"), F.lit(1.0))
+        .otherwise(cov / F.sqrt(va * vb)))
+    return long.select("feature_a", "feature_b", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+                       .alias("r"))
 
 
 def box_stats(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
@@ -101,20 +126,28 @@ def density_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
     by = list(by)
     x = F.col(feat).cast("double")
     base = df.where(x.isNotNull())
+    # the only pass over the rows: exact compression to (group, value, count)
     vals = base.groupBy(*by, x.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    st = base.groupBy(*by).agg(
-        F.count(x).alias("__n"), F.min(x).alias("__lo"), F.max(x).alias("__hi"),
-        F.stddev_samp(x).alias("__sd"))
+    # reused three times below: write it once to the shared checkpoint folder
+    vals = cut_lineage(vals)
+    # moments from the compressed table (two-pass variance, exact in counts)
+    m1 = vals.groupBy(*by).agg(F.sum("__c").alias("__n"),
+                               (F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")).alias("__mean"),
+                               F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    m2 = vals.join(m1, on=by, how="inner").groupBy(*by, "__n", "__mean", "__lo", "__hi").agg(
+        F.sum(F.col("__c") * (F.col("__v") - F.col("__mean")) * (F.col("__v") - F.col("__mean")))
+        .alias("__ss"))
+    st = m2.withColumn("__sd", F.when(F.col("__n") > 1,
+                                      F.sqrt(F.col("__ss") / (F.col("__n") - 1))))
     st = st.withColumn("__bw", F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2))
     st = st.withColumn("__g0", F.col("__lo") - cut * F.col("__bw")).withColumn(
         "__step", (F.col("__hi") - F.col("__lo") + 2 * cut * F.col("__bw")) / (grid - 1))
     d = vals.join(st, on=by, how="inner").where(F.col("__bw") > 0)
     norm = 1.0 / math.sqrt(2 * math.pi)
-    contrib = F.transform(
-        F.sequence(F.lit(0), F.lit(grid - 1)),
-        lambda i: F.col("__c") * F.exp(-0.5 * F.pow(
-            (F.col("__g0") + i * F.col("__step") - F.col("__v")) / F.col("__bw"), 2)))
-    e = d.select(*by, "__n", "__bw", "__g0", "__step", F.posexplode(contrib).alias("i", "__k"))
+    e = d.select(*by, "__v", "__c", "__n", "__bw", "__g0", "__step",
+                 F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    z = (F.col("__g0") + F.col("i") * F.col("__step") - F.col("__v")) / F.col("__bw")
+    e = e.withColumn("__k", F.col("__c") * F.exp(-0.5 * F.pow(z, 2)))
     g = e.groupBy(*by, "i", "__n", "__bw", "__g0", "__step").agg(F.sum("__k").alias("__sum"))
     return g.select(*by, "i", (F.col("__g0") + F.col("i") * F.col("__step")).alias("x"),
                     (F.col("__sum") * norm / (F.col("__n") * F.col("__bw"))).alias("density"))

@@ -73,8 +73,8 @@ def parse_ts(df: DataFrame, col: str = "timestamp", fmt: str | None = None,
              out: str | None = None) -> DataFrame:
     """A2: string -> timestamp without time zone (unparsable -> null)."""
     c = F.col(col)
-    parsed = F.to_timestamp_ntz(c, F.lit(fmt)) if fmt else F.to_timestamp_ntz(c)
-    return df.withColumn(out or col, parsed)
+    parsed = F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
+    return df.withColumn(out or col, parsed.cast("timestamp_ntz"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
