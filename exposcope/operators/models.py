@@ -25,10 +25,22 @@ def _hash(key: str, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
 
 
+def bucket_prefix_len(n_rows: int, rows_per_bucket: int = 200_000) -> int:
+    """Hex digits of the md5 prefix so that a class of ``n_rows`` rows spreads
+    over buckets of about ``rows_per_bucket`` rows (16^k buckets)."""
+    k = 1
+    while 16 ** k * rows_per_bucket < n_rows and k < 8:
+        k += 1
+    return k
+
+
 def class_rank(df: DataFrame, label: str, key: str, seed: int = 42,
-               prefix_len: int = 4) -> DataFrame:
+               prefix_len: int | None = None) -> DataFrame:
     """Add ``__rank`` (1-based position in md5 order inside the class) and
-    ``__n_class`` (class size)."""
+    ``__n_class`` (class size).  The bucket table has (classes x 16^prefix_len)
+    rows; by default the prefix grows with the row count (one count job)."""
+    if prefix_len is None:
+        prefix_len = bucket_prefix_len(df.count())
     d = df.withColumn("__h", _hash(key, seed)).withColumn("__b", F.substring("__h", 1, prefix_len))
     counts = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(label).orderBy("__b")

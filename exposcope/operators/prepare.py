@@ -14,6 +14,7 @@ from exposcope.operators.clean import dedupe, impute_median, impute_mode
 from exposcope.operators.encode import encode_all
 from exposcope.operators.outliers import flag_outliers
 from exposcope.schema import OUTLIER_FEATURES
+from exposcope.session import cut_lineage
 
 
 def impute(df: DataFrame, numeric: Sequence[str] | None = None,
@@ -25,14 +26,21 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None,
 
 
 def clean_events(raw: DataFrame, numeric: Sequence[str] | None = None,
-                 categorical: Sequence[str] | None = None) -> DataFrame:
-    """Imputed and deduplicated events."""
-    return dedupe(impute(raw, numeric, categorical))
+                 categorical: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
+    """Imputed and deduplicated events.
+
+    With ``materialize`` the result is written once to the shared checkpoint
+    folder: every later fit (fences, scaler, codes) and the final query then
+    read it instead of re-running the imputation scan and the dedupe shuffle
+    (the published pipeline likewise hands a written table to its next stage).
+    """
+    out = dedupe(impute(raw, numeric, categorical))
+    return cut_lineage(out) if materialize else out
 
 
 def preprocess(raw: DataFrame, numeric: Sequence[str] | None = None,
                categorical: Sequence[str] | None = None, flag: bool = True,
-               outlier_cols: Sequence[str] = OUTLIER_FEATURES) -> DataFrame:
+               outlier_cols: Sequence[str] = OUTLIER_FEATURES, materialize: bool = True) -> DataFrame:
     """Cleaned + encoded events (+ ``is_outlier``): the model input table."""
-    out = encode_all(clean_events(raw, numeric, categorical))
+    out = encode_all(clean_events(raw, numeric, categorical, materialize))
     return flag_outliers(out, outlier_cols) if flag else out

@@ -9,6 +9,7 @@ session builders fill it in when it is unset.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,12 +58,16 @@ def checkpoint_dir(spark: SparkSession, create_local: bool = True) -> str | None
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Survives executor loss (unlike caching or local checkpoints).  Without a
-    configured folder the plan is returned unchanged: recomputation from the
-    source is then the recovery path.
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and
+    read it back: later actions start from files that survive executor loss,
+    and the plan above is computed exactly once (a plain RDD checkpoint would
+    compute it twice and store Java-serialised rows).  Without a configured
+    folder the plan is returned unchanged.
     """
-    if checkpoint_dir(df.sparkSession) is None:
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if base is None:
         return df
-    return df.checkpoint(eager=eager)
+    path = f"{base.rstrip('/')}/tables/t-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
