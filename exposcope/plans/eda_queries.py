@@ -77,7 +77,7 @@ def h5_correlation(spark, sf_dir):
     """SELECT q.risk_score, q.n, q.q1, q.median, q.q3,
   min(CASE WHEN v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1) THEN v END) AS whisker_lo,
   max(CASE WHEN v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1) THEN v END) AS whisker_hi,
-  count_if(NOT (v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1))) AS outliers
+  CAST(count_if(NOT (v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1))) AS BIGINT) AS outliers
 FROM (SELECT risk_score, CAST(exposure_velocity AS DOUBLE) AS v FROM eda) e
 JOIN (SELECT risk_score, count(*) AS n, quantile_cont(CAST(exposure_velocity AS DOUBLE), 0.25) AS q1,
         quantile_cont(CAST(exposure_velocity AS DOUBLE), 0.5) AS median,

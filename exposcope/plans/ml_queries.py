@@ -92,7 +92,7 @@ def g10_classification_report(spark, sf_dir):
 
 
 @query("g11_confusion_matrix", _sql(
-    "SELECT label, " + ", ".join(f"count_if(prediction = {i}) AS pred_{i}" for i in range(5))
+    "SELECT label, " + ", ".join(f"CAST(count_if(prediction = {i}) AS BIGINT) AS pred_{i}" for i in range(5))
     + " FROM probs GROUP BY 1", _PROBS))
 def g11_confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(labelled_predictions(spark, sf_dir))
@@ -225,7 +225,7 @@ def g2_anomaly_score(spark, sf_dir):
 
 
 @query("g3_anomaly_summary", _sql(
-    "SELECT count_if(d < 0) AS anomalies, round(count_if(d < 0) * 100e0 / count(*), 6) AS anomaly_pct, "
+    "SELECT CAST(count_if(d < 0) AS BIGINT) AS anomalies, round(count_if(d < 0) * 100e0 / count(*), 6) AS anomaly_pct, "
     "round(min(s), 6) AS score_min, round(max(s), 6) AS score_max, round(avg(s), 6) AS score_mean FROM "
     "(SELECT d, 1e0 - (d - (SELECT min(d) FROM dd2)) / ((SELECT max(d) FROM dd2) - (SELECT min(d) FROM dd2)) "
     "AS s FROM dd2)",

@@ -241,8 +241,8 @@ def e1_iqr_bounds(spark, sf_dir):
 
 @query("e2_outlier_report", with_ctes(
     "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count_if({_outside(c)}) AS iqr_outliers, "
-        f"count_if(abs(({c} - (SELECT m_{c} FROM qs)) / (SELECT s_{c} FROM qs)) > 3e0) AS z_outliers, "
+        f"SELECT '{c}' AS feature, CAST(count_if({_outside(c)}) AS BIGINT) AS iqr_outliers, "
+        f"CAST(count_if(abs(({c} - (SELECT m_{c} FROM qs)) / (SELECT s_{c} FROM qs)) > 3e0) AS BIGINT) AS z_outliers, "
         f"min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max FROM enc"
         for c in OUTLIER_FEATURES) + ") WHERE iqr_outliers > 0 OR z_outliers > 0",
     raw=True, extra=PREP_CTES + ",\n" + _Q))
