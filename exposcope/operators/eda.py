@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposcope.functions.columns import risk_label
@@ -61,26 +61,48 @@ def histogram_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFrame:
-    """H5: Pearson r for every pair (lower triangle incl. diagonal).
-
-    One pass of plain sums (n, sum x, sum x^2, sum xy over complete pairs), so
-    the aggregation buffer is one slot per moment; r follows in closed form.
-    Rows with a null in either column of a pair are skipped for that pair.
+    """H5: Pearson r for every pair (lower triangle incl. diagonal), pairwise
+    complete like pandas.
+
+    A cheap first pass counts nulls per column.  Pairs of gap-free columns
+    then share plain sums (n, sum x, sum x^2, sum xy); only pairs touching a
+    column with gaps get their own conditional sums.  The aggregation buffer
+    stays near k + k(k+1)/2 slots instead of 6 per pair, and r follows in
+    closed form on the one-row result.
     """
+    cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)
              if (j <= i if lower else True)]
-    exprs = []
-    for k, (a, b) in enumerate(pairs):
-        xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
-        both = xa.isNotNull() & xb.isNotNull()
-        exprs += [F.count_if(both).cast("double").alias(f"n{k}"),
-                  F.sum(F.when(both, xa)).alias(f"sa{k}"), F.sum(F.when(both, xb)).alias(f"sb{k}"),
-                  F.sum(F.when(both, xa * xa)).alias(f"saa{k}"),
-                  F.sum(F.when(both, xb * xb)).alias(f"sbb{k}"),
-                  F.sum(F.when(both, xa * xb)).alias(f"sab{k}")]
-    agg = df.agg(*exprs)
-    parts = ", ".join(f"'{a}', '{b}', n{k}, sa{k}, sb{k}, saa{k}, sbb{k}, sab{k}"
-                      for k, (a, b) in enumerate(pairs))
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    gaps = {c for c in cols if row is not None and row[c]}
+    x = {c: F.col(c).cast("double") for c in cols}
+    aggs: dict[str, Column] = {"n": F.count(F.lit(1)).cast("double")}
+    idx = {c: i for i, c in enumerate(cols)}
+    moments = []
+    for a, b in pairs:
+        ia, ib = idx[a], idx[b]
+        lo, hi = sorted((ia, ib))
+        if a not in gaps and b not in gaps:
+            aggs.setdefault(f"s{ia}", F.sum(x[a]))
+            aggs.setdefault(f"s{ib}", F.sum(x[b]))
+            aggs.setdefault(f"q{ia}", F.sum(x[a] * x[a]))
+            aggs.setdefault(f"q{ib}", F.sum(x[b] * x[b]))
+            aggs.setdefault(f"p{lo}_{hi}", F.sum(x[a] * x[b]))
+            moments.append(("n", f"s{ia}", f"s{ib}", f"q{ia}", f"q{ib}", f"p{lo}_{hi}"))
+        else:
+            both = x[a].isNotNull() & x[b].isNotNull()
+            k = f"{lo}_{hi}"
+            aggs.setdefault(f"cn{k}", F.count_if(both).cast("double"))
+            aggs.setdefault(f"cs{ia}_{k}", F.sum(F.when(both, x[a])))
+            aggs.setdefault(f"cs{ib}_{k}", F.sum(F.when(both, x[b])))
+            aggs.setdefault(f"cq{ia}_{k}", F.sum(F.when(both, x[a] * x[a])))
+            aggs.setdefault(f"cq{ib}_{k}", F.sum(F.when(both, x[b] * x[b])))
+            aggs.setdefault(f"cp{k}", F.sum(F.when(both, x[a] * x[b])))
+            moments.append((f"cn{k}", f"cs{ia}_{k}", f"cs{ib}_{k}", f"cq{ia}_{k}", f"cq{ib}_{k}",
+                            f"cp{k}"))
+    agg = df.agg(*[e.alias(name) for name, e in aggs.items()])
+    parts = ", ".join(f"'{a}', '{b}', " + ", ".join(f"`{m}`" for m in mo)
+                      for (a, b), mo in zip(pairs, moments))
     long = agg.selectExpr(f"stack({len(pairs)}, {parts}) AS (feature_a, feature_b, n, sa, sb, "
                           f"saa, sbb, sab)")
     n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
