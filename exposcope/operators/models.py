@@ -55,12 +55,42 @@ def class_rank(df: DataFrame, label: str, key: str, seed: int = 42,
 
 
 def stratified_split(df: DataFrame, label: str = "risk_score", test: float = 0.2,
-                     seed: int = 42, key: str = "event_id", out: str = "is_test") -> DataFrame:
+                     seed: int = 42, key: str = "event_id", out: str = "is_test",
+                     prefix_len: int | None = None) -> DataFrame:
     """Exact stratified hold-out: per class the first round(test*n) rows in
-    md5(seed-key) order are test rows (``out`` = 1)."""
-    r = class_rank(df, label, key, seed)
-    n_test = F.floor(F.col("__n_class") * test + 0.5)
-    return r.withColumn(out, (F.col("__rank") <= n_test).cast("int")).drop("__rank", "__n_class")
+    md5(seed-key) order are test rows (``out`` = 1).
+
+    No full-row shuffle: bucket counts (classes x 16^k rows) locate each
+    class's boundary bucket; only that bucket's (class, hash, key) slice is
+    ranked to find the class's threshold hash; every row is then tagged by a
+    broadcast join with the one-row-per-class threshold table.
+    """
+    if prefix_len is None:
+        prefix_len = bucket_prefix_len(df.count())
+    d = df.withColumn("__h", _hash(key, seed)).withColumn("__b", F.substring("__h", 1, prefix_len))
+    counts = d.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.partitionBy(label).orderBy("__b")
+    counts = counts.withColumns({
+        "__before": F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                               F.lit(0)),
+        "__target": F.floor(F.sum("__cnt").over(Window.partitionBy(label)) * test + 0.5)})
+    edge = counts.filter((F.col("__before") < F.col("__target"))
+                         & (F.col("__before") + F.col("__cnt") >= F.col("__target"))) \
+        .select(label, F.col("__b").alias("__edge"), (F.col("__target") - F.col("__before"))
+                .alias("__need"))
+    slim = (d.select(label, "__b", "__h", F.col(key).cast("string").alias("__k"))
+            .join(F.broadcast(edge), (d[label] == edge[label]) & (F.col("__b") == F.col("__edge")))
+            .drop(edge[label]))
+    rn = F.row_number().over(Window.partitionBy(label).orderBy("__h", "__k"))
+    thr = (slim.withColumn("__rn", rn).filter(F.col("__rn") == F.col("__need"))
+           .select(label, "__edge", F.col("__h").alias("__th"), F.col("__k").alias("__tk")))
+    tagged = d.join(F.broadcast(thr), on=label, how="left")
+    key_s = F.col(key).cast("string")
+    inside = (F.col("__b") < F.col("__edge")) | (
+        (F.col("__b") == F.col("__edge"))
+        & ((F.col("__h") < F.col("__th")) | ((F.col("__h") == F.col("__th")) & (key_s <= F.col("__tk")))))
+    return (tagged.withColumn(out, F.coalesce(inside, F.lit(False)).cast("int"))
+            .drop("__h", "__b", "__edge", "__th", "__tk"))
 
 
 def stratified_folds(df: DataFrame, label: str = "risk_score", k: int = 5, seed: int = 42,
