@@ -152,7 +152,7 @@ def c9_dataset_summary(spark, sf_dir):
 def c10_preprocess_report(spark, sf_dir):
     raw = _raw(spark, sf_dir).drop("_o")
     cleaned = clean_events(raw, NUM_GAPS, CAT_GAPS)
-    flagged = preprocess(raw, NUM_GAPS, CAT_GAPS)
+    flagged = outliers.flag_outliers(encode.encode_all(cleaned))
     return profile.preprocess_report(raw, cleaned, flagged)
 
 
