@@ -1,9 +1,9 @@
 """Imputation, forward fill, completeness, duplicates, clamping.
 
-Fitted statistics (medians, modes) come from one aggregate pass that returns a
-single row of bounded width (one value per column), in the manner of a Spark ML
-``fit``; the transform then inlines them as literals, so it is a map-only
-projection with no join.
+Fitted statistics (medians, modes) are small values computed by distributed
+aggregations (exact medians by bounded-memory order-statistic selection, modes
+by grouped counts), in the manner of a Spark ML ``fit``; the transform then
+inlines them as literals, so it is a map-only projection with no join.
 """
 
 from __future__ import annotations
@@ -44,16 +44,17 @@ def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 def fit_medians(df: DataFrame, cols: Sequence[str], exact: bool = True,
                 accuracy: int = 1_000_000) -> dict[str, float | None]:
-    """Median per column (nulls skipped).  ``exact`` uses linear interpolation
-    between order statistics (Spark ``median``); for high-cardinality doubles at
-    scale pass ``exact=False`` (``percentile_approx``, bounded memory)."""
+    """Median per column (nulls skipped), linear interpolation between order
+    statistics.  ``exact`` selects the order statistics with bounded memory
+    (see ``quantiles.exact_quantiles``); ``exact=False`` uses one
+    ``percentile_approx`` pass."""
     if not cols:
         return {}
     if exact:
-        exprs = [F.median(c).alias(c) for c in cols]
-    else:
-        exprs = [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c) for c in cols]
-    return _one_row(df, exprs)
+        from exposcope.operators.quantiles import exact_quantiles
+        return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+    return _one_row(df, [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c)
+                         for c in cols])
 
 
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
@@ -67,10 +68,18 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
 
 
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Most frequent non-null value per column; ties -> smallest value."""
-    if not cols:
-        return {}
-    return _one_row(df, [F.mode(c, True).alias(c) for c in cols])
+    """Most frequent non-null value per column; ties -> smallest value.
+
+    Counted with a grouped aggregation per column (distinct values are spread
+    over tasks by the shuffle), then the top row is taken: no single buffer
+    holds all distinct values.
+    """
+    out = {}
+    for c in cols:
+        top = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+               .orderBy(F.col("__n").desc(), F.col(c).asc()).limit(1).first())
+        out[c] = top[0] if top is not None else None
+    return out
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str] | None = None,

@@ -198,8 +198,8 @@ def anomaly_score(scored: DataFrame, raw: str = "anomaly_raw", mode: str = "minm
     ``minmax``: 1 - (d - min d) / (max d - min d) over the batch;
     ``fixed``: clip(1 - (d + 0.5), 0, 1) for single rows / streams.
     """
-    stats = scored.agg(F.percentile(raw, contamination).alias("q")).first()
-    q = stats["q"] if stats is not None else None
+    from exposcope.operators.quantiles import exact_quantiles
+    q = exact_quantiles(scored, [raw], [contamination])[raw][0]
     d = F.col(raw) - F.lit(q)
     out_df = scored.withColumn("__d", d)
     if mode == "minmax":

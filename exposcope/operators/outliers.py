@@ -1,8 +1,8 @@
 """Outlier fences and flags.
 
-All quartiles for all features come from one aggregate pass (the published
-pipeline computes them twice per feature); the fences are then inlined as
-literals, so flagging rows is a map-only projection.
+All quartiles of all features are fitted together (the published pipeline
+computes them twice per feature) with bounded-memory exact selection; the
+fences are then inlined as literals, so flagging rows is a map-only projection.
 """
 
 from __future__ import annotations
@@ -30,17 +30,25 @@ class Fences:
 
 def fit_fences(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: float = 1.5,
                exact: bool = True) -> Fences:
+    """Quartiles (exact order statistics with bounded memory, or approximate),
+    mean, sample std, min and max per feature."""
+    from exposcope.operators.quantiles import exact_quantiles
+    cols = list(cols)
+    if exact:
+        q = exact_quantiles(df, cols, [0.25, 0.75])
+    else:
+        r = _one_row(df, [F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 1000000)
+                          .alias(c) for c in cols])
+        q = {c: r[c] for c in cols}
     exprs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.75]) if exact else F.percentile_approx(x, [0.25, 0.75], 1000000)
-        exprs += [q.alias(f"q__{c}"), F.avg(x).alias(f"m__{c}"),
-                  F.stddev_samp(x).alias(f"s__{c}"), F.min(x).alias(f"lo__{c}"),
-                  F.max(x).alias(f"hi__{c}")]
+        exprs += [F.avg(x).alias(f"m__{c}"), F.stddev_samp(x).alias(f"s__{c}"),
+                  F.min(x).alias(f"lo__{c}"), F.max(x).alias(f"hi__{c}")]
     row = _one_row(df, exprs)
     stats = {}
     for c in cols:
-        q1, q3 = row[f"q__{c}"]
+        q1, q3 = q[c]
         iqr = q3 - q1
         stats[c] = {"q1": q1, "q3": q3, "iqr": iqr, "lower": q1 - k * iqr, "upper": q3 + k * iqr,
                     "mean": row[f"m__{c}"], "std": row[f"s__{c}"],
@@ -49,10 +57,14 @@ def fit_fences(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: float =
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: float = 1.5) -> DataFrame:
-    """Long table feature, q1, q3, iqr, lower, upper (computed in Spark)."""
-    agg = df.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.75]).alias(c) for c in cols])
-    parts = ", ".join(f"'{c}', `{c}`[0], `{c}`[1]" for c in cols)
-    long = agg.selectExpr(f"stack({len(cols)}, {parts}) AS (feature, q1, q3)")
+    """Long table feature, q1, q3, iqr, lower, upper."""
+    from exposcope.operators.quantiles import exact_quantiles
+    cols = list(cols)
+    q = exact_quantiles(df, cols, [0.25, 0.75])
+    rows = [(c, float(q[c][0]), float(q[c][1])) if q[c][0] is not None else (c, None, None)
+            for c in cols]
+    # one row per feature: the fitted values are a table of bounded size
+    long = df.sparkSession.createDataFrame(rows, "feature string, q1 double, q3 double")
     return (long.withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower", F.col("q1") - k * F.col("iqr"))
             .withColumn("upper", F.col("q3") + k * F.col("iqr")))

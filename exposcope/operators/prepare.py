@@ -21,26 +21,22 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None,
            categorical: Sequence[str] | None = None,
            exclude: Sequence[str] = ("risk_score", "anomaly_score", "_o"),
            exact: bool = True) -> DataFrame:
-    """Median for numeric gaps, mode for categorical gaps — both fitted in one
-    aggregate pass (plus one null-count pass when columns are discovered)."""
+    """Median for numeric gaps, mode for categorical gaps (plus one null-count
+    pass when the columns are discovered)."""
     from pyspark.sql import functions as F
-    from exposcope.operators.clean import (
-        _one_row, columns_with_nulls, numeric_columns, string_columns,
-    )
+    from exposcope.operators.clean import columns_with_nulls, numeric_columns, string_columns
     if numeric is None or categorical is None:
         found = columns_with_nulls(df, numeric_columns(df, exclude) + string_columns(df, exclude))
         numeric = numeric if numeric is not None else [c for c in found
                                                        if c in numeric_columns(df, exclude)]
         categorical = categorical if categorical is not None else [
             c for c in found if c in string_columns(df, exclude)]
-    med = (lambda c: F.median(c)) if exact else (
-        lambda c: F.percentile_approx(c, 0.5, 1_000_000).cast("double"))
-    exprs = [med(c).alias(f"m__{c}") for c in numeric] + \
-        [F.mode(c, True).alias(f"o__{c}") for c in categorical]
-    fit = _one_row(df, exprs) if exprs else {}
-    fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(fit[f"m__{c}"]).cast("double"))
+    from exposcope.operators.clean import fit_medians, fit_modes
+    med = fit_medians(df, numeric, exact)
+    modes = fit_modes(df, categorical)
+    fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double"))
              for c in numeric}
-    fills.update({c: F.coalesce(F.col(c), F.lit(fit[f"o__{c}"])) for c in categorical})
+    fills.update({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in categorical})
     return df.withColumns(fills) if fills else df
 
 

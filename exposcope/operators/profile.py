@@ -58,17 +58,20 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: i
     Quartiles are exact (linear interpolation) unlike ``DataFrame.summary``.
     """
     cols = list(cols or numeric_columns(df))
+    if exact:
+        from exposcope.operators.quantiles import exact_quantiles
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     exprs: list[Column] = []
     for c in cols:
         x = F.col(c).cast("double")
         if exact:
-            qs = F.percentile(x, [0.25, 0.5, 0.75])
+            qs = F.array(*[F.lit(v).cast("double") for v in q[c]])
         else:
             qs = F.percentile_approx(x, [0.25, 0.5, 0.75], 100000)
         exprs += [
             F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-            qs.alias(f"{c}__q"), F.max(x).alias(f"{c}__max"),
+            (F.first(qs) if exact else qs).alias(f"{c}__q"), F.max(x).alias(f"{c}__max"),
         ]
     wide = df.agg(*exprs)
     fields = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
