@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from exposcope.session import ship_package
+
 EULER_GAMMA = 0.5772156649
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -97,6 +99,7 @@ class IsolationForestModel:
     def transform(self, df: DataFrame, out: str = "anomaly_raw") -> DataFrame:
         """Add ``out`` = -2^(-E[h]/c(psi)) for every row (higher = more normal)."""
         spark = df.sparkSession
+        ship_package(spark)
         arrays = self._arrays()
         bc = spark.sparkContext.broadcast(arrays)
         cols, psi = self.cols, self.psi
@@ -142,6 +145,7 @@ class IsolationForest:
         self.contamination, self.seed, self.oversample = contamination, seed, oversample
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> IsolationForestModel:
+        ship_package(df.sparkSession)
         cols = list(cols)
         n = df.count()
         if n == 0:

@@ -8,8 +8,10 @@ session builders fill it in when it is unset.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,32 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     path = f"{base.rstrip('/')}/tables/t-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``exposcope`` importable in Python workers (like ``--py-files``).
+
+    Operators that run Python on executors (the isolation forest) call this;
+    it zips the package once per application and hands it to ``addPyFile``,
+    which distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import exposcope
+    pkg = os.path.dirname(os.path.abspath(exposcope.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="exposcope-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

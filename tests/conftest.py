@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,9 +12,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from exposcope.session import get_spark
-    ckpt = tempfile.mkdtemp(prefix="exposcope-test-", dir="/tmp")
-    s = get_spark("*", app="exposcope-tests", shuffle_partitions=8, driver_memory="8g",
-                  extra={"spark.checkpoint.dir": ckpt})
+    # spark.checkpoint.dir comes from the session's configuration; get_spark
+    # makes a fresh local folder only when none is named.
+    s = get_spark("*", app="exposcope-tests", shuffle_partitions=8, driver_memory="8g")
     yield s
 
 
