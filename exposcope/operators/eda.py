@@ -122,10 +122,9 @@ def box_stats(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
     outlier count per group."""
     by = list(by)
     x = F.col(feat).cast("double")
-    q = _group_stats(df.where(x.isNotNull()), feat, by, [
-        F.percentile(x, [0.25, 0.5, 0.75]).alias("__q"), F.count(x).alias("n")])
-    q = q.select(*by, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    from exposcope.operators.quantiles import grouped_quantiles
+    q = grouped_quantiles(df, by, feat, [0.25, 0.5, 0.75]).select(
+        *by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
     d = df.where(x.isNotNull()).join(q, on=by, how="inner")

@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,55 @@ def _at_rank(pairs: list[tuple[float, int]], r: int) -> float | None:
         if r < seen:
             return v
     return None
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
+                      band: int = 50_000) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) computed in Spark.
+
+    Per group: ``percentile_approx`` brackets (bounded buffer), then the
+    (value, count) pairs inside each bracket plus the count below it, then an
+    ordered window over those pairs (a table bounded by the bracket widths)
+    finds the two order statistics.  Returns one row per group with
+    ``n`` and ``q0, q1, ...``.
+    """
+    by, probs = list(by), list(probs)
+    x = F.col(col).cast("double")
+    base = df.where(x.isNotNull())
+    n_all = base.count()
+    acc = int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * max(n_all, 1) / band))))
+    eps = 2.0 / acc
+    qs = []
+    for p in probs:
+        qs += [max(0.0, p - eps), min(1.0, p + eps)]
+    g = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
+                              F.percentile_approx(x, qs, acc).alias("__br"))
+    parts = []
+    for j, p in enumerate(probs):
+        lo, hi = F.col("__br")[2 * j], F.col("__br")[2 * j + 1]
+        pos = F.lit(p) * (F.col("__n") - 1)
+        parts.append(F.struct(F.lit(j).alias("j"), lo.alias("lo"), hi.alias("hi"),
+                              F.floor(pos).alias("k0"),
+                              F.least(F.floor(pos) + 1, F.col("__n") - 1).alias("k1"),
+                              (pos - F.floor(pos)).alias("frac")))
+    gq = g.select(*by, "__n", F.explode(F.array(*parts)).alias("t")).select(*by, "__n", "t.*")
+    # rows in a bracket or below it, tagged per prob; the group table is small
+    d = base.join(F.broadcast(gq), on=by, how="inner")
+    d = d.where(x <= F.col("hi"))
+    below = F.when(x < F.col("lo"), F.lit(None)).otherwise(x)
+    cnt = d.groupBy(*by, "j", "__n", "k0", "k1", "frac", below.alias("v")).agg(
+        F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by, "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    cum = cnt.withColumn("__hi_rank", F.sum("c").over(w) - 1)   # last 0-based rank of v
+    cum = cum.withColumn("__lo_rank", F.col("__hi_rank") - F.col("c") + 1)
+    pick = cum.where(F.col("v").isNotNull()).groupBy(*by, "j", "__n", "frac").agg(
+        F.min(F.when((F.col("__lo_rank") <= F.col("k0")) & (F.col("__hi_rank") >= F.col("k0")),
+                     F.col("v"))).alias("v0"),
+        F.min(F.when((F.col("__lo_rank") <= F.col("k1")) & (F.col("__hi_rank") >= F.col("k1")),
+                     F.col("v"))).alias("v1"))
+    q = pick.withColumn("q", F.when(F.col("frac") == 0, F.col("v0")).otherwise(
+        F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")))
+    wide = q.groupBy(*by, F.col("__n").alias("n")).pivot("j", list(range(len(probs)))).agg(
+        F.first("q"))
+    return wide.select(*by, "n", *[F.col(str(j)).alias(f"q{j}") for j in range(len(probs))])
