@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    band: int = 50_000) -> dict[str, list[float | None]]:
+                    band: int = 50_000, min_accuracy: int = 10_000
+                    ) -> dict[str, list[float | None]]:
     """{column: [quantile for each prob]} over the non-null values of each column."""
     cols, probs = list(cols), list(probs)
     if not cols:
@@ -34,7 +35,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     x = {c: F.col(c).cast("double") for c in cols}
     counts = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
     n = {c: int(counts[c] or 0) for c in cols}
-    acc = int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * max(n.values(), default=1) / band))))
+    acc = int(min(2 ** 31 - 1, max(min_accuracy,
+                                   math.ceil(4 * max(n.values(), default=1) / band))))
     eps = 2.0 / acc
     bracket_exprs = []
     for i, c in enumerate(cols):
@@ -104,20 +106,22 @@ def _at_rank(pairs: list[tuple[float, int]], r: int) -> float | None:
 
 
 def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
-                      band: int = 50_000) -> DataFrame:
+                      band: int = 50_000, min_accuracy: int = 10_000) -> DataFrame:
     """Exact per-group quantiles (linear interpolation) computed in Spark.
 
-    Per group: ``percentile_approx`` brackets (bounded buffer), then the
+    Large groups: ``percentile_approx`` brackets (bounded buffer), then the
     (value, count) pairs inside each bracket plus the count below it, then an
     ordered window over those pairs (a table bounded by the bracket widths)
-    finds the two order statistics.  Returns one row per group with
-    ``n`` and ``q0, q1, ...``.
+    finds the two order statistics.  Groups under ``4 * accuracy`` rows use
+    the exact ``percentile`` aggregate, whose buffer that size bounds.  The
+    per-group parameter tables join without hints (AQE broadcasts them when
+    small).  Returns one row per group with ``n`` and ``q0, q1, ...``.
     """
     by, probs = list(by), list(probs)
     x = F.col(col).cast("double")
     base = df.where(x.isNotNull())
     n_all = base.count()
-    acc = int(min(2 ** 31 - 1, max(10_000, math.ceil(4 * max(n_all, 1) / band))))
+    acc = int(min(2 ** 31 - 1, max(min_accuracy, math.ceil(4 * max(n_all, 1) / band))))
     eps = 2.0 / acc
     qs = []
     for p in probs:
@@ -132,9 +136,18 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequenc
                               F.floor(pos).alias("k0"),
                               F.least(F.floor(pos) + 1, F.col("__n") - 1).alias("k1"),
                               (pos - F.floor(pos)).alias("frac")))
-    gq = g.select(*by, "__n", F.explode(F.array(*parts)).alias("t")).select(*by, "__n", "t.*")
-    # rows in a bracket or below it, tagged per prob; the group table is small
-    d = base.join(F.broadcast(gq), on=by, how="inner")
+    # small groups (< 4 * accuracy rows): exact percentile, buffer bounded by the threshold;
+    # there the bracket margin (about n / accuracy ranks) could be under one rank
+    small_n = 4 * acc
+    small = g.where(F.col("__n") < small_n).select(*by, "__n")
+    exact = (base.join(small.select(*by), on=by)
+             .groupBy(*by).agg(F.percentile(x, probs).alias("__qs")))
+    exact = exact.join(small, on=by).select(
+        *by, "__n", F.posexplode("__qs").alias("j", "q"))
+    # large groups: bracketed selection
+    gq = (g.where(F.col("__n") >= small_n)
+          .select(*by, "__n", F.explode(F.array(*parts)).alias("t")).select(*by, "__n", "t.*"))
+    d = base.join(gq, on=by, how="inner")
     d = d.where(x <= F.col("hi"))
     below = F.when(x < F.col("lo"), F.lit(None)).otherwise(x)
     cnt = d.groupBy(*by, "j", "__n", "k0", "k1", "frac", below.alias("v")).agg(
@@ -148,8 +161,9 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequenc
                      F.col("v"))).alias("v0"),
         F.min(F.when((F.col("__lo_rank") <= F.col("k1")) & (F.col("__hi_rank") >= F.col("k1")),
                      F.col("v"))).alias("v1"))
-    q = pick.withColumn("q", F.when(F.col("frac") == 0, F.col("v0")).otherwise(
-        F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")))
-    wide = q.groupBy(*by, F.col("__n").alias("n")).pivot("j", list(range(len(probs)))).agg(
+    q = pick.select(*by, "__n", "j", F.when(F.col("frac") == 0, F.col("v0")).otherwise(
+        F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("q"))
+    allq = q.unionByName(exact.select(*by, "__n", F.col("j").cast("int").alias("j"), "q"))
+    wide = allq.groupBy(*by, F.col("__n").alias("n")).pivot("j", list(range(len(probs)))).agg(
         F.first("q"))
     return wide.select(*by, "n", *[F.col(str(j)).alias(f"q{j}") for j in range(len(probs))])
