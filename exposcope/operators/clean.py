@@ -52,7 +52,8 @@ def fit_medians(df: DataFrame, cols: Sequence[str], exact: bool = True,
         return {}
     if exact:
         from exposcope.operators.quantiles import exact_quantiles
-        return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+        q = exact_quantiles(df, cols, [0.5])
+        return {c: q[c][0] for c in cols}
     return _one_row(df, [F.percentile_approx(c, 0.5, accuracy).cast("double").alias(c)
                          for c in cols])
 

@@ -34,18 +34,19 @@ def fit_fences(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: float =
     mean, sample std, min and max per feature."""
     from exposcope.operators.quantiles import exact_quantiles
     cols = list(cols)
-    if exact:
-        q = exact_quantiles(df, cols, [0.25, 0.75])
-    else:
-        r = _one_row(df, [F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 1000000)
-                          .alias(c) for c in cols])
-        q = {c: r[c] for c in cols}
     exprs = []
     for c in cols:
         x = F.col(c).cast("double")
         exprs += [F.avg(x).alias(f"m__{c}"), F.stddev_samp(x).alias(f"s__{c}"),
                   F.min(x).alias(f"lo__{c}"), F.max(x).alias(f"hi__{c}")]
-    row = _one_row(df, exprs)
+    if exact:
+        q = exact_quantiles(df, cols, [0.25, 0.75], extra=exprs)
+        row = q["__extra"]
+    else:
+        r = _one_row(df, [F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 1000000)
+                          .alias(c) for c in cols] + exprs)
+        q = {c: r[c] for c in cols}
+        row = r
     stats = {}
     for c in cols:
         q1, q3 = q[c]

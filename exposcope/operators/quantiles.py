@@ -4,15 +4,17 @@ Spark's exact ``percentile`` keeps every distinct value of a column in one
 aggregation buffer, which at 100 TB of continuous values is an unbounded group
 in one task.  Here the order statistics are selected instead:
 
-1. one pass: row count per column;
-2. one pass: ``percentile_approx`` brackets [q - e, q + e] with rank error
-   below ``e * n`` (e = 2 / accuracy), so the exact order statistics lie inside;
-3. one pass: per (column, q) the count of values below the bracket and the
+1. one pass: row count per column and ``percentile_approx`` brackets
+   [q - e, q + e] with rank error below ``e * n`` (e = 2 / accuracy), so the
+   exact order statistics lie inside (very large columns re-bracket with an
+   accuracy that grows with n); columns under ``4 * accuracy`` values take the
+   exact ``percentile`` instead, whose buffer that bounds;
+2. one pass: per (column, q) the count of values below the bracket and the
    (value, count) pairs inside it — a grouped aggregation, so a value repeated
    a billion times is one pair; the number of distinct values in a bracket is
    at most its rank width (about ``4 n / accuracy``, and ``accuracy`` grows
    with n so this stays near ``band``);
-4. the two order statistics around rank q (n - 1) are read by walking the
+3. the two order statistics around rank q (n - 1) are read by walking the
    sorted pairs; the result is their linear interpolation.
 """
 
@@ -26,34 +28,53 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    band: int = 50_000, min_accuracy: int = 10_000
-                    ) -> dict[str, list[float | None]]:
-    """{column: [quantile for each prob]} over the non-null values of each column."""
+                    band: int = 50_000, min_accuracy: int = 100_000,
+                    extra: Sequence | None = None) -> dict:
+    """{column: [quantile for each prob]} over the non-null values of each column.
+
+    Two passes: (A) counts, ``percentile_approx`` brackets and any ``extra``
+    aggregate columns (returned under key ``"__extra"`` as a dict); (B) either
+    the exact ``percentile`` when a column has fewer than ``4 * accuracy``
+    values (its buffer is bounded by that), or the band of (value, count)
+    pairs inside each bracket plus the count below it.
+    """
     cols, probs = list(cols), list(probs)
-    if not cols:
+    extra = list(extra or [])
+    if not cols and not extra:
         return {}
     x = {c: F.col(c).cast("double") for c in cols}
-    counts = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
-    n = {c: int(counts[c] or 0) for c in cols}
-    acc = int(min(2 ** 31 - 1, max(min_accuracy,
-                                   math.ceil(4 * max(n.values(), default=1) / band))))
+    acc = int(min_accuracy)
     eps = 2.0 / acc
-    bracket_exprs = []
-    for i, c in enumerate(cols):
-        qs = []
-        for p in probs:
-            qs += [max(0.0, p - eps), min(1.0, p + eps)]
-        bracket_exprs.append(F.percentile_approx(x[c], qs, acc).alias(f"b{i}"))
-    br = df.agg(*bracket_exprs).first()
-    marks = []
-    keys = {}
-    for i, c in enumerate(cols):
+    qs = [v for p in probs for v in (max(0.0, p - eps), min(1.0, p + eps))]
+    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(x[c], qs, acc).alias(f"b{i}") for i, c in enumerate(cols)],
+                   *extra).first()
+    out: dict = {"__extra": {k: first[k] for k in first.asDict() if not
+                             (k.startswith("n") and k[1:].isdigit()) and not
+                             (k.startswith("b") and k[1:].isdigit())}}
+    n = {c: int(first[f"n{i}"] or 0) for i, c in enumerate(cols)}
+    big = [c for c in cols if n[c] >= 4 * acc]
+    # huge columns: re-bracket with an accuracy that keeps the band near ``band``
+    need = {c: max(acc, math.ceil(4 * n[c] / band)) for c in big}
+    br = {c: first[f"b{cols.index(c)}"] for c in big}
+    redo = [c for c in big if need[c] > acc]
+    if redo:
+        hi_acc = int(min(2 ** 31 - 1, max(need[c] for c in redo)))
+        e2 = 2.0 / hi_acc
+        qs2 = [v for p in probs for v in (max(0.0, p - e2), min(1.0, p + e2))]
+        r2 = df.agg(*[F.percentile_approx(x[c], qs2, hi_acc).alias(c) for c in redo]).first()
+        br.update({c: r2[c] for c in redo})
+    small = [c for c in cols if c not in big and n[c] > 0]
+    got_small = (df.agg(*[F.percentile(x[c], probs).alias(c) for c in small]).first()
+                 if small else None)
+    marks, keys = [], {}
+    for c in big:
         for j, _ in enumerate(probs):
-            lo, hi = br[f"b{i}"][2 * j], br[f"b{i}"][2 * j + 1]
+            lo, hi = br[c][2 * j], br[c][2 * j + 1]
             if lo is None:
                 continue
             k = len(keys)
-            keys[(i, j)] = k
+            keys[(c, j)] = k
             below = x[c] < F.lit(lo)
             inside = (x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi))
             marks.append(F.when(below, F.struct(F.lit(k).alias("k"), F.lit(True).alias("b"),
@@ -70,19 +91,22 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 below_n[r["k"]] += r["n"]
             else:
                 pairs[r["k"]].append((r["v"], r["n"]))
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(cols):
+    for c in cols:
+        if n[c] == 0:
+            out[c] = [None] * len(probs)
+            continue
+        if c in small:
+            out[c] = list(got_small[c])
+            continue
         vals = []
         for j, p in enumerate(probs):
-            if n[c] == 0 or (i, j) not in keys:
-                vals.append(None)
-                continue
-            k = keys[(i, j)]
+            k = keys.get((c, j))
             pos = p * (n[c] - 1)
             k0 = int(math.floor(pos))
             k1 = min(k0 + 1, n[c] - 1)
-            v0 = _at_rank(sorted(pairs[k]), k0 - below_n[k])
-            v1 = _at_rank(sorted(pairs[k]), k1 - below_n[k])
+            srt = sorted(pairs[k]) if k is not None else []
+            v0 = _at_rank(srt, k0 - below_n[k]) if k is not None else None
+            v1 = _at_rank(srt, k1 - below_n[k]) if k is not None else None
             if v0 is None or v1 is None:
                 # bracket missed (cannot happen within the documented rank error)
                 vals.append(df.agg(F.percentile(x[c], p)).first()[0])
