@@ -4,17 +4,18 @@ Spark's exact ``percentile`` keeps every distinct value of a column in one
 aggregation buffer, which at 100 TB of continuous values is an unbounded group
 in one task.  Here the order statistics are selected instead:
 
-1. one pass: row count per column and ``percentile_approx`` brackets
-   [q - e, q + e] with rank error below ``e * n`` (e = 2 / accuracy), so the
-   exact order statistics lie inside (very large columns re-bracket with an
-   accuracy that grows with n); columns under ``4 * accuracy`` values take the
-   exact ``percentile`` instead, whose buffer that bounds;
-2. one pass: per (column, q) the count of values below the bracket and the
+1. one pass: row count and HyperLogLog distinct count per column; columns
+   with few distinct values (or few values) take Spark's exact
+   ``percentile`` next, whose buffer is bounded by that count;
+2. for the other columns, ``percentile_approx`` brackets [q - e, q + e] with
+   rank error below ``e * n`` (e = 2 / accuracy, accuracy growing with n), so
+   the exact order statistics lie inside;
+3. one pass: per (column, q) the count of values below the bracket and the
    (value, count) pairs inside it — a grouped aggregation, so a value repeated
    a billion times is one pair; the number of distinct values in a bracket is
    at most its rank width (about ``4 n / accuracy``, and ``accuracy`` grows
    with n so this stays near ``band``);
-3. the two order statistics around rank q (n - 1) are read by walking the
+4. the two order statistics around rank q (n - 1) are read by walking the
    sorted pairs; the result is their linear interpolation.
 """
 
@@ -29,48 +30,44 @@ from pyspark.sql import functions as F
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     band: int = 50_000, min_accuracy: int = 100_000,
-                    extra: Sequence | None = None) -> dict:
+                    max_distinct: int = 1_000_000, extra: Sequence | None = None) -> dict:
     """{column: [quantile for each prob]} over the non-null values of each column.
 
-    Two passes: (A) counts, ``percentile_approx`` brackets and any ``extra``
-    aggregate columns (returned under key ``"__extra"`` as a dict); (B) either
-    the exact ``percentile`` when a column has fewer than ``4 * accuracy``
-    values (its buffer is bounded by that), or the band of (value, count)
-    pairs inside each bracket plus the count below it.
+    Pass A: counts, HyperLogLog distinct counts and any ``extra`` aggregate
+    columns (returned under key ``"__extra"``).  Pass B: columns with at most
+    ``max_distinct`` distinct values (or under ``4 * accuracy`` values) take
+    Spark's exact ``percentile``, whose buffer that bounds; the others get
+    ``percentile_approx`` brackets in the same pass.  Pass C (only for those):
+    the (value, count) band inside each bracket plus the count below it.
     """
     cols, probs = list(cols), list(probs)
     extra = list(extra or [])
     if not cols and not extra:
         return {}
     x = {c: F.col(c).cast("double") for c in cols}
-    acc = int(min_accuracy)
-    eps = 2.0 / acc
-    qs = [v for p in probs for v in (max(0.0, p - eps), min(1.0, p + eps))]
     first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(x[c], qs, acc).alias(f"b{i}") for i, c in enumerate(cols)],
+                   *[F.approx_count_distinct(x[c]).alias(f"d{i}") for i, c in enumerate(cols)],
                    *extra).first()
-    out: dict = {"__extra": {k: first[k] for k in first.asDict() if not
-                             (k.startswith("n") and k[1:].isdigit()) and not
-                             (k.startswith("b") and k[1:].isdigit())}}
+    fields = first.asDict()
+    out: dict = {"__extra": {k: v for k, v in fields.items()
+                             if not (k[:1] in "nd" and k[1:].isdigit())}}
     n = {c: int(first[f"n{i}"] or 0) for i, c in enumerate(cols)}
-    big = [c for c in cols if n[c] >= 4 * acc]
-    # huge columns: re-bracket with an accuracy that keeps the band near ``band``
-    need = {c: max(acc, math.ceil(4 * n[c] / band)) for c in big}
-    br = {c: first[f"b{cols.index(c)}"] for c in big}
-    redo = [c for c in big if need[c] > acc]
-    if redo:
-        hi_acc = int(min(2 ** 31 - 1, max(need[c] for c in redo)))
-        e2 = 2.0 / hi_acc
-        qs2 = [v for p in probs for v in (max(0.0, p - e2), min(1.0, p + e2))]
-        r2 = df.agg(*[F.percentile_approx(x[c], qs2, hi_acc).alias(c) for c in redo]).first()
-        br.update({c: r2[c] for c in redo})
+    distinct = {c: int(first[f"d{i}"] or 0) for i, c in enumerate(cols)}
+    acc = int(min_accuracy)
+    big = [c for c in cols if n[c] >= 4 * acc and distinct[c] > max_distinct]
     small = [c for c in cols if c not in big and n[c] > 0]
-    got_small = (df.agg(*[F.percentile(x[c], probs).alias(c) for c in small]).first()
-                 if small else None)
+    need = {c: int(min(2 ** 31 - 1, max(acc, math.ceil(4 * n[c] / band)))) for c in big}
+    second_exprs = [F.percentile(x[c], probs).alias(f"p{cols.index(c)}") for c in small]
+    for c in big:
+        e = 2.0 / need[c]
+        qs = [v for p in probs for v in (max(0.0, p - e), min(1.0, p + e))]
+        second_exprs.append(F.percentile_approx(x[c], qs, need[c]).alias(f"b{cols.index(c)}"))
+    second = df.agg(*second_exprs).first() if second_exprs else None
     marks, keys = [], {}
     for c in big:
+        br = second[f"b{cols.index(c)}"]
         for j, _ in enumerate(probs):
-            lo, hi = br[c][2 * j], br[c][2 * j + 1]
+            lo, hi = br[2 * j], br[2 * j + 1]
             if lo is None:
                 continue
             k = len(keys)
@@ -96,7 +93,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             out[c] = [None] * len(probs)
             continue
         if c in small:
-            out[c] = list(got_small[c])
+            out[c] = list(second[f"p{cols.index(c)}"])
             continue
         vals = []
         for j, p in enumerate(probs):

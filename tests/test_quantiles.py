@@ -27,7 +27,7 @@ def _np(rows, g=None):
 
 def test_global_bracket_path(skewed):
     df, rows = skewed
-    got = exact_quantiles(df, ["x"], PROBS, band=200, min_accuracy=100)["x"]
+    got = exact_quantiles(df, ["x"], PROBS, band=200, min_accuracy=100, max_distinct=10)["x"]
     want = np.quantile(_np(rows), PROBS)
     assert got == pytest.approx(list(want), abs=1e-12)
 
@@ -41,3 +41,9 @@ def test_grouped_both_paths(skewed):
         got = [out[g][f"q{j}"] for j in range(len(PROBS))]
         assert got == pytest.approx(list(want), abs=1e-12), g
         assert out[g]["n"] == len(_np(rows, g))
+
+
+def test_global_low_cardinality_path(skewed):
+    df, rows = skewed
+    got = exact_quantiles(df, ["x"], PROBS)["x"]
+    assert got == pytest.approx(list(np.quantile(_np(rows), PROBS)), abs=1e-12)
