@@ -71,15 +71,34 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """Most frequent non-null value per column; ties -> smallest value.
 
-    Counted with a grouped aggregation per column (distinct values are spread
-    over tasks by the shuffle), then the top row is taken: no single buffer
-    holds all distinct values.
+    One grouped count over (column, value) pairs for all columns together
+    (distinct values are spread over tasks by the shuffle, with map-side
+    combine), then the top row per column: no buffer holds all distinct values
+    and the driver receives one row per column.
     """
+    cols = list(cols)
+    if not cols:
+        return {}
+    types = dict(df.dtypes)
+    numeric = set(numeric_columns(df))
+
+    def key(c):  # numeric columns tie-break on the number, others on the text
+        return F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v"),
+                               key(c).alias("d")) for i, c in enumerate(cols)])
+    counts = (df.select(F.explode(pairs).alias("p")).where(F.col("p.v").isNotNull())
+              .groupBy("p.c", "p.v", "p.d").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("c").agg(
+        F.min_by("v", F.struct(-F.col("n"), F.col("d"), F.col("v"))).alias("v"))
+    got = {r["c"]: r["v"] for r in best.collect()}
     out = {}
-    for c in cols:
-        top = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-               .orderBy(F.col("__n").desc(), F.col(c).asc()).limit(1).first())
-        out[c] = top[0] if top is not None else None
+    for i, c in enumerate(cols):
+        v = got.get(i)
+        dtype = types[c]
+        out[c] = v if v is None or dtype == "string" else \
+            df.sparkSession.createDataFrame([(v,)], "v string").select(
+                F.col("v").cast(dtype)).first()[0]
     return out
 
 

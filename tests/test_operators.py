@@ -207,3 +207,10 @@ def test_preview_and_summary(spark):
     assert [r["id"] for r in profile.preview(df, 1, ["ts"]).collect()] == [1]
     s = profile.dataset_summary(df).first()
     assert s["rows"] == 2 and s["columns"] == 2
+
+
+def test_mode_numeric_tie_breaks_on_number(spark):
+    df = spark.createDataFrame([(9,), (9,), (10,), (10,), (3,)], "x int")
+    assert clean.fit_modes(df, ["x"]) == {"x": 9}
+    df2 = spark.createDataFrame([("b",), ("a",), ("b",), ("a",)], "s string")
+    assert clean.fit_modes(df2, ["s"]) == {"s": "a"}
