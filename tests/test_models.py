@@ -97,3 +97,33 @@ def test_random_forest_beats_majority_and_reloads(spark, sf_small, tmp_path_fact
     assert a == b
     probs = pred.select(sum(F.col(f"prob_{i}") for i in range(5)).alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-9 for r in probs)
+
+
+def test_stream_model_scoring_equals_batch(spark, sf_small):
+    from exposcope.operators.encode import encode_all
+    from exposcope.operators.risk import risk_score
+    from exposcope.sources.standin import exposure_clean
+    from exposcope.streaming import scoring
+    batch = encode_all(risk_score(exposure_clean(spark, sf_small)), domain_codes=False)
+    train = assemble(batch.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
+    rf = models.train_rf(train, weight_col=None, params=models.ForestParams(num_trees=5, max_depth=4))
+    want = {r["event_id"]: r["prediction"] for r in rf.transform(train).collect()}
+    s = scoring.score_stream(scoring.exposure_stream(spark, sf_small), classifier=rf)
+    got = scoring.run_available(s.select("event_id", "prediction"), "l1_model").collect()
+    assert len(got) == len(want)
+    assert all(want[r["event_id"]] == r["prediction"] for r in got)
+
+
+def test_auc_matches_binary_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from exposcope.operators import metrics
+    rng = np.random.default_rng(3)
+    rows = [(int(y), float(np.round(s, 2)), float(np.round(1 - s, 2)))
+            for y, s in zip(rng.integers(0, 2, 400), rng.random(400))]
+    df = spark.createDataFrame(rows, "label int, prob_1 double, prob_0 double")
+    auc = {r["class"]: r["auc"] for r in
+           metrics.roc_auc(metrics.roc_points(df, "label", ["prob_0", "prob_1"])).collect()}
+    ev = BinaryClassificationEvaluator(rawPredictionCol="prob_1", labelCol="label",
+                                       metricName="areaUnderROC")
+    assert auc[1] == pytest.approx(ev.evaluate(df.withColumn("label", F.col("label").cast("double"))),
+                                   abs=1e-9)
