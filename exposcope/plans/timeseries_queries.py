@@ -142,3 +142,22 @@ def i9_risk_series(spark, sf_dir):
     return d.select("date", "mean_risk", "max_risk", "event_count",
                     *[F.round(c, 6).alias(c) for c in
                       ["rolling_7d", "rolling_30d", "ewma_14d", "spike_threshold"]], "is_spike")
+
+
+_EWMA_SRC_CTE = _DAILY_SRC + f""",
+d AS MATERIALIZED (SELECT date, source_type, mean_risk,
+  row_number() OVER (PARTITION BY source_type ORDER BY date) AS rn FROM daily),
+e(source_type, rn, date, ewma) AS (
+  SELECT source_type, rn, date, mean_risk FROM d WHERE rn = 1
+  UNION ALL
+  SELECT d.source_type, d.rn, d.date, e.ewma * {1.0 - ALPHA!r} + d.mean_risk * {ALPHA!r}
+  FROM e JOIN d ON d.source_type = e.source_type AND d.rn = e.rn + 1)"""
+
+
+@query("i4_ewma_by_source", with_ctes(
+    "SELECT date, source_type, round(ewma, 6) AS ewma_14d FROM e",
+    extra=_EWMA_SRC_CTE).replace("WITH ", "WITH RECURSIVE ", 1))
+def i4_ewma_by_source(spark, sf_dir):
+    """EWMA per key: the window is partitioned by source, each series folds its own frame."""
+    d = ts.ewma(_daily(spark, sf_dir, by=["source_type"]), 14, by=["source_type"])
+    return d.select("date", "source_type", F.round("ewma_14d", 6).alias("ewma_14d"))
