@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from exposcope.functions.columns import lookup, ordinal_code, round_half_even
 from exposcope.schema import (
-    MATURITY_BONUS, MATURITY_ORDER, RISK_CUTS, SCENARIO_ARTIFACT, SEVERITY_ORDER,
+    MATURITY_BONUS, RISK_CUTS, SCENARIO_ARTIFACT, SEVERITY_ORDER,
     SEVERITY_WEIGHT, SOURCE_ALIAS, SOURCE_TYPES, ARTIFACT_TYPES,
 )
 
