@@ -98,9 +98,19 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def roc_points(pred: DataFrame, label: str = "label",
-               score_cols: Sequence[str] = tuple(f"prob_{i}" for i in range(5))) -> DataFrame:
-    """One-vs-rest ROC points per class at every distinct score (ties merged)."""
-    arr = F.array(*[F.struct(F.lit(i).alias("cls"), F.col(c).cast("double").alias("score"))
+               score_cols: Sequence[str] = tuple(f"prob_{i}" for i in range(5)),
+               digits: int | None = 4) -> DataFrame:
+    """One-vs-rest ROC points per class at every distinct score (ties merged).
+
+    Scores are rounded to ``digits`` first, so each class has at most
+    10^digits + 1 points: the ordered window per class stays bounded however
+    many rows are scored (``digits=None`` keeps raw scores).
+    """
+    def sc(c):
+        x = F.col(c).cast("double")
+        return F.round(x, digits) if digits is not None else x
+
+    arr = F.array(*[F.struct(F.lit(i).alias("cls"), sc(c).alias("score"))
                     for i, c in enumerate(score_cols)])
     long = pred.select(F.col(label).cast("int").alias("__y"), F.explode(arr).alias("__s"))
     long = long.select(F.col("__s.cls").alias("class"), F.col("__s.score").alias("score"),

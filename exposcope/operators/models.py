@@ -63,7 +63,9 @@ def stratified_split(df: DataFrame, label: str = "risk_score", test: float = 0.2
     No full-row shuffle: bucket counts (classes x 16^k rows) locate each
     class's boundary bucket; only that bucket's (class, hash, key) slice is
     ranked to find the class's threshold hash; every row is then tagged by a
-    broadcast join with the one-row-per-class threshold table.
+    broadcast join with the one-row-per-class threshold table.  ``key`` is
+    expected unique (the model table is deduplicated); copies of one key share
+    a hash and are ranked together.
     """
     if prefix_len is None:
         prefix_len = bucket_prefix_len(df.count())
