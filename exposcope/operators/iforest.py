@@ -203,12 +203,15 @@ def anomaly_score(scored: DataFrame, raw: str = "anomaly_raw", mode: str = "minm
     ``fixed``: clip(1 - (d + 0.5), 0, 1) for single rows / streams.
     """
     from exposcope.operators.quantiles import exact_quantiles
-    q = exact_quantiles(scored, [raw], [contamination])[raw][0]
+    got = exact_quantiles(scored, [raw], [contamination],
+                          extra=[F.min(raw).alias("__lo"), F.max(raw).alias("__hi")])
+    q = got[raw][0]
     d = F.col(raw) - F.lit(q)
     out_df = scored.withColumn("__d", d)
     if mode == "minmax":
-        mm = out_df.agg(F.min("__d").alias("lo"), F.max("__d").alias("hi")).first()
-        lo, hi = mm["lo"], mm["hi"]
+        # decision = raw - q, so its min / max come from the raw min / max
+        lo = got["__extra"]["__lo"] - q if got["__extra"]["__lo"] is not None else None
+        hi = got["__extra"]["__hi"] - q if got["__extra"]["__hi"] is not None else None
         span = (hi - lo) if (hi is not None and lo is not None and hi != lo) else 1.0
         score = 1.0 - (F.col("__d") - F.lit(lo)) / F.lit(span)
     elif mode == "fixed":
