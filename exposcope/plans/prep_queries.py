@@ -9,7 +9,7 @@ from exposcope.operators.prepare import clean_events, preprocess
 from exposcope.plans.catalog import query
 from exposcope.plans.sqlbase import with_ctes
 from exposcope.schema import (
-    ARTIFACT_TYPES, OUTLIER_FEATURES, SCALE_FEATURES, SOURCE_TYPES,
+    ARTIFACT_TYPES, MODEL_FEATURES, OUTLIER_FEATURES, SCALE_FEATURES, SOURCE_TYPES,
 )
 from exposcope.sources.standin import GAP_COLUMNS, exposure_raw
 
@@ -294,3 +294,11 @@ def h13_preview(spark, sf_dir):
     d = clean_events(_raw(spark, sf_dir), NUM_GAPS, CAT_GAPS)
     return profile.preview(d, 5, ["ts", "event_id"]).select("event_id", "ts", "source_type",
                                                              "risk_score")
+
+
+@query("b1_feature_columns", with_ctes(
+    "SELECT event_id, " + ", ".join(MODEL_FEATURES) + " FROM enc", raw=True, extra=PREP_CTES))
+def b1_feature_columns(spark, sf_dir):
+    """B1: the model feature projection (fixed base list + one-hot columns found by prefix)."""
+    d = _prep(spark, sf_dir, flag=False)
+    return d.select("event_id", *encode.feature_columns(d))
