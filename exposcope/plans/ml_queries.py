@@ -270,8 +270,10 @@ def g1_isolation_forest(spark, sf_dir):
 def _train_frame(spark, sf_dir):
     t = model_table(spark, sf_dir)
     t = models.with_class_weights(t, "risk_score")
-    t = assemble(t.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
-    return cut_lineage(t)
+    # the model table is already a written table; weights (broadcast join) and the
+    # vector assembly are cheap projections, and the tree learners persist their
+    # own binned copy of the input, so no second write is needed here
+    return assemble(t.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
 
 
 @query("g6_random_forest")
