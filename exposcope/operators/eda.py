@@ -181,7 +181,7 @@ def density_2d(df: DataFrame, x: str, y: str, z: str = "risk_score", nx: int = 2
     row = df.agg(F.min(xs).alias("x0"), F.max(xs).alias("x1"),
                  F.min(ys).alias("y0"), F.max(ys).alias("y1")).first()
     if row is None or row["x0"] is None or row["y0"] is None:
-        return df.limit(0).select(F.lit(0).alias("bin_x"), F.lit(0).alias("bin_y"),
+        return df.where(F.lit(False)).select(F.lit(0).alias("bin_x"), F.lit(0).alias("bin_y"),
                                   F.lit(0).cast("long").alias("count"),
                                   F.lit(0.0).alias(f"mean_{z}"))
 

@@ -105,8 +105,8 @@ def preprocess_report(raw: DataFrame, cleaned: DataFrame, flagged: DataFrame,
         after.select(F.lit("rows_deduplicated").alias("step"), F.col("n_clean").alias("value")),
         out.select(F.lit("outlier_rows").alias("step"), F.col("n_out").alias("value")),
         out.select(F.lit("rows_final").alias("step"), F.col("n_final").alias("value")),
-        flagged.limit(0).agg(F.lit(len(flagged.columns)).cast("long").alias("c"))
-        .select(F.lit("columns_final").alias("step"), F.col("c").alias("value")),
+        before.select(F.lit("columns_final").alias("step"),
+                      F.lit(len(flagged.columns)).cast("long").alias("value")),
     ]
     res = parts[0]
     for p in parts[1:]:
