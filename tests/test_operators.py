@@ -214,3 +214,12 @@ def test_mode_numeric_tie_breaks_on_number(spark):
     assert clean.fit_modes(df, ["x"]) == {"x": 9}
     df2 = spark.createDataFrame([("b",), ("a",), ("b",), ("a",)], "s string")
     assert clean.fit_modes(df2, ["s"]) == {"s": "a"}
+
+
+def test_label_codes_distributed_rank(spark):
+    vals = [f"d{(i * 7919) % 5003:05d}" for i in range(20000)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "domain string")
+    codes = {r["domain"]: r["domain_encoded"]
+             for r in encode.label_codes(df, "domain", partitions=7).collect()}
+    want = {v: i for i, v in enumerate(sorted(set(vals)))}
+    assert codes == want
