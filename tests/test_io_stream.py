@@ -78,3 +78,21 @@ def test_stream_watermark_drops_late_rows(spark, tmp_path):
     # 9 Jan closes once the 12 Jan row moves the watermark past it
     assert 2 not in days
     assert days == {1: 1, 5: 1, 9: 1}
+
+
+def test_daily_stream_calendar_days_in_other_zone(spark, sf_small):
+    from exposcope.operators import timeseries as ts
+    from exposcope.operators.risk import risk_score
+    from exposcope.sources.standin import exposure_labeled
+    from exposcope.streaming import scoring
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        s = risk_score(scoring.exposure_stream(spark, sf_small), keep_raw=False)
+        got = {r["date"]: r["event_count"] for r in scoring.run_available(
+            scoring.daily_risk_stream(s), "tz", mode="complete").collect()}
+        want = {r["date"]: r["event_count"]
+                for r in ts.daily_risk(exposure_labeled(spark, sf_small)).collect()}
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
