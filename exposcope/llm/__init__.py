@@ -1,6 +1,6 @@
 """Training-data pipeline operators; nothing outside this subpackage imports it."""
 
 from exposcope.llm.catalog import ORACLES, QUERIES
-from exposcope.llm import bpe  # noqa: F401  (registration)
+from exposcope.llm import boilerplate, bpe, decontaminate, repetition, secrets  # noqa: F401  (registration)
 
 __all__ = ["ORACLES", "QUERIES"]
