@@ -1,6 +1,8 @@
 """Training-data pipeline operators; nothing outside this subpackage imports it."""
 
 from exposcope.llm.catalog import ORACLES, QUERIES
-from exposcope.llm import boilerplate, bpe, decontaminate, repetition, secrets  # noqa: F401  (registration)
+from exposcope.llm import (  # noqa: F401  (registration)
+    boilerplate, bpe, decontaminate, langid, neardup, pii, repetition, secrets, spans, toxicity,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -59,3 +59,44 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str,
 
     source = df.select(*keep, F.col(text_col).alias("__value"))
     return source.mapInArrow(run, StructType([*kept.fields, *added.fields]))
+
+
+def explode_values(df: DataFrame, value_col: str, keep: list[str], schema: str,
+                   make: Callable[[], Callable]) -> DataFrame:
+    """Several rows per value: ``make()`` returns ``f(value) -> tuple of equally
+    long numpy arrays`` (one per column of ``schema``) or None for no rows."""
+    import numpy as np
+
+    ship_package(df.sparkSession)
+    added = StructType.fromDDL(schema)
+    kept = df.select(*keep).schema
+    types = [to_arrow_type(f.dataType) for f in added]
+    names = [*kept.names, *(f.name for f in added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            at, parts = [], []
+            size = 0
+
+            def flush():
+                index = pa.array(np.repeat(np.array([k for k, _ in at]), [n for _, n in at]))
+                cols = [np.concatenate(x) for x in zip(*parts)]
+                return pa.RecordBatch.from_arrays(
+                    [*(c.take(index) for c in b.columns[:-1]),
+                     *(pa.array(c, type=t) for c, t in zip(cols, types))], names=names)
+
+            for k, v in enumerate(b.column(b.num_columns - 1)):
+                got = fn(v.as_py())
+                if got is not None and len(got[0]):
+                    at.append((k, len(got[0])))
+                    parts.append(got)
+                    size += len(got[0])
+                if size > 100_000:
+                    yield flush()
+                    at, parts, size = [], [], 0
+            if parts:
+                yield flush()
+
+    return df.select(*keep, F.col(value_col).alias("__value")).mapInArrow(
+        run, StructType([*kept.fields, *added.fields]))
