@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from exposcope.llm.catalog import query
 from exposcope.llm.common import map_texts, table
 
-#: Encodings of distinct pieces kept per Python worker; beyond it the memo restarts.
-MEMO_PIECES = 400_000
+#: Encodings kept per Python worker: so many recent pieces and as many older ones.
+MEMO_PIECES = 150_000
 #: Longer pieces are encoded without the memo.
 MEMO_BYTES = 64
 
@@ -44,17 +44,45 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern)
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        self.bytes_of = np.empty(max(ranks.values()) + 1, object)
+        for t, i in ranks.items():
+            self.bytes_of[i] = t
+        self.size_of = [len(t) if t else 0 for t in self.bytes_of]
         self.longest = max(map(len, ranks))
-        #: Only tokens that their own merges rebuild can appear in a table.
-        self.alone = {i: self.merge(t) == [i] for t, i in ranks.items()}
+        #: Token -> its last (first) part at each step of its own merges; tokens
+        #: that these do not rebuild are missing and can appear in no table.
+        self.ends: dict[int, list[tuple[bytes, int]]] = {}
+        self.begins: dict[int, list[tuple[bytes, int]]] = {}
         self.tokens_in = ahocorasick.Automaton()
         for t, i in ranks.items():
-            if self.alone[i]:
+            if self._trace(t, i):
                 self.tokens_in.add_word(t.decode("latin-1"), (len(t), i))
         self.tokens_in.make_automaton()
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _trace(self, token: bytes, i: int) -> bool:
+        """Record the parts at both ends of a token while its bytes merge, each with
+        the rank of the merge that ends it; whether the merges rebuild the token."""
+        never = 1 << 40
+        parts = [token[k:k + 1] for k in range(len(token))]
+        left, right = [[parts[0], never]], [[parts[-1], never]]
+        while len(parts) > 1:
+            found = [(r, k) for k in range(len(parts) - 1)
+                     if (r := self.ranks.get(parts[k] + parts[k + 1])) is not None]
+            if not found:
+                return False
+            r, k = min(found)
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            if k == 0:
+                left[-1][1] = r
+                left.append([parts[0], never])
+            if k == len(parts) - 1:
+                right[-1][1] = r
+                right.append([parts[-1], never])
+        self.begins[i], self.ends[i] = left, right
+        return True
 
     def merge(self, piece: bytes) -> list[int]:
         """Definition of the encoding: merge the lowest-ranked neighbours, leftmost first."""
@@ -69,39 +97,44 @@ class PrefixBPE:
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether ``a`` directly followed by ``b`` survives its own merging."""
-        ok = self.pair_ok.get((a, b))
-        if ok is None:
-            ok = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.pair_ok) > 4 * MEMO_PIECES:
-                self.pair_ok.clear()
-            self.pair_ok[a, b] = ok
+        """Whether ``a`` directly followed by ``b`` survives merging: no part at the
+        end of ``a`` merges with one at the start of ``b`` while both are there.
+        (At equal ranks the leftmost pair merges first.)"""
+        get = self.ranks.get
+        for x, x_ends in self.ends[a]:
+            for y, y_ends in self.begins[b]:
+                r = get(x + y)
+                if r is not None and r < x_ends and r <= y_ends:
+                    return False
+        return True
+
+    def _know(self, key: int) -> bool:
+        if len(self.pair_ok) > 2 * MEMO_PIECES:
+            self.pair_ok.clear()
+        ok = self.pair_ok[key] = self.compatible(key >> 20, key & 0xFFFFF)
         return ok
 
     def extend(self, last: list[int], piece: bytes, begin: int, stop=None) -> None:
         """Fill ``last[i]`` (the token ending at byte ``i``) for the bytes after
         ``begin``; ``last[0]`` is a placeholder.  ``stop(i)`` may end it early."""
         scan = max(0, begin - self.longest + 1)
-        ending: list[list] = []
-        at = scan
-        for end, hit in self.tokens_in.iter(piece[scan:].decode("latin-1")):
+        known, know, push = self.pair_ok.get, self._know, last.append
+        done = begin  # prefixes up to here have their token
+        for end, (size, tok) in self.tokens_in.iter(piece[scan:].decode("latin-1")):
             i = scan + end + 1
-            if i != at:
-                if at > begin and ending and not self._settle(last, at, ending, stop):
-                    return
-                at, ending = i, []
-            ending.append(hit)
-        if at > begin and ending:
-            self._settle(last, at, ending, stop)
-
-    def _settle(self, last, i, ending, stop) -> bool:
-        for size, tok in ending:  # longest first
-            if size == i or (size < i and self.compatible(last[i - size], tok)):
-                last.append(tok)
-                break
-        else:
+            if i <= done:
+                continue
+            if size < i:
+                key = last[i - size] << 20 | tok
+                ok = known(key)
+                if not (know(key) if ok is None else ok):
+                    continue
+            push(tok)
+            done = i
+            if stop and stop(i):
+                return
+        if done < len(piece):
             raise ValueError("the vocabulary lacks a single byte")
-        return not (stop and stop(i))
 
     def table(self, piece: bytes) -> list[int]:
         last = [-1]
@@ -113,7 +146,7 @@ class PrefixBPE:
         ids, i = [], len(last) - 1
         while i:
             ids.append(last[i])
-            i -= len(self.bytes_of[last[i]])
+            i -= self.size_of[last[i]]
         return ids[::-1]
 
     def piece_ids(self, piece: bytes) -> list[int]:
@@ -122,23 +155,22 @@ class PrefixBPE:
         return [whole] if whole is not None else self.walk(self.table(piece))
 
     def packed(self, piece: str) -> bytes:
-        got = self.memo.get(piece)
+        got = self.older.get(piece)
         if got is None:
             got = array("I", self.piece_ids(piece.encode())).tobytes()
-            if len(piece) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO_PIECES:
-                    self.memo.clear()
-                self.memo[piece] = got
+        if len(piece) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO_PIECES:
+                self.older, self.memo = self.memo, {}
+            self.memo[piece] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        memo, packed = self.memo, self.packed
-        return b"".join([memo.get(p) or packed(p) for p in self.split.findall(text)])
+        packed = self.packed
+        return b"".join([self.memo.get(p) or packed(p) for p in self.split.findall(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(self.bytes_of[np.frombuffer(ids, "<u4")].tolist())
 
 
 class EncodedText:
@@ -259,7 +291,7 @@ def encode_texts(df: DataFrame, vocabulary, text_col: str = "text", keep=("doc_i
 def decode_ids(df: DataFrame, vocabulary, ids_col: str = "ids", keep=("doc_id",),
                out: str = "decoded") -> DataFrame:
     """``keep`` columns plus ``out``: the bytes that the ids stand for (null ids: none).
-    An id outside the vocabulary raises KeyError."""
+    An id beyond the vocabulary raises IndexError."""
     def make():
         enc = vocabulary.value.encoder()
         return lambda values: [(enc.decode(v) if v else b"",) for v in values]

@@ -14,6 +14,8 @@ from exposcope.session import cut_lineage, ship_package
 
 #: A table below this many bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Rows that are Python objects at one time.
+SLICE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             rows = fn(b.column(b.num_columns - 1).to_pylist())
             cols = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays(

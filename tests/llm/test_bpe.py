@@ -74,3 +74,13 @@ def test_query_equals_the_library_on_whole_texts(spark, sf_small):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_pairs_survive_as_merging_says():
+    import random
+    r, ids_ = random.Random(3), sorted(OWN.ends)
+    pairs = [(r.choice(ids_), r.choice(ids_)) for _ in range(20_000)] + [(a, a) for a in ids_[::7]]
+    near = [i for i in ids_ if len(OWN.bytes_of[i]) < 4]
+    pairs += [(r.choice(near), r.choice(near)) for _ in range(20_000)]
+    for a, b in pairs:
+        assert OWN.compatible(a, b) == (OWN.merge(OWN.bytes_of[a] + OWN.bytes_of[b]) == [a, b])

@@ -48,7 +48,7 @@ def test_verdicts():
     clean = " ".join(f"w{i * 7919 % 1009}" for i in range(300))
     block = " ".join(f"b{i}" for i in range(40))
     assert R.measure(clean)[-1] == 0.0
-    assert R.measure(clean + " " + block + " " + block + " " + block)[7] > 0.15
+    assert R.measure(clean + (" " + block) * 5)[7] > 0.15
 
 
 def test_odd_rows(spark, odd):
