@@ -175,6 +175,7 @@ def cross_pairs(open_: DataFrame) -> DataFrame:
 def _block_pairs(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Survivors between a block of open members and a block of their bucket."""
     found = []
+    right = right.rename(columns=lambda c: c.removeprefix("r_"))
     if len(left) and len(right):
         sl, vl = _unpack(left["value"])
         sr, vr = _unpack(right["value"])
@@ -197,7 +198,8 @@ def block_survivors(open_: DataFrame, sigs: DataFrame) -> DataFrame:
     left = s.where("component <> main").withColumn("i", F.col("mine")).withColumn("j", each)
     right = s.withColumn("j", F.col("mine")).withColumn("i", each)
     cols = ["key", "i", "j", "node", "component", "value"]
-    return left.select(cols).groupBy("key", "i", "j").cogroup(right.select(cols).groupBy("key", "i", "j")) \
+    other = right.select(*[F.col(c).alias(f"r_{c}") for c in cols])
+    return left.select(cols).groupBy("key", "i", "j").cogroup(other.groupBy("r_key", "r_i", "r_j")) \
         .applyInPandas(_block_pairs, "a long, b long").distinct()
 
 
