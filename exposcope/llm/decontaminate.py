@@ -115,7 +115,7 @@ def intersect(rarest: DataFrame, index: DataFrame, lists: int = LISTS) -> DataFr
 
 def phrase_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id",
                    text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(key, hits): the texts with exact matches; ``hits`` holds an entry
+    """(key, hits): the texts with candidates; ``hits`` holds an entry
     (item, start, size) per window occurrence, ``start`` counting words from 0
     (from 1 where the text begins with a separator).
 
@@ -140,7 +140,7 @@ def phrase_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id",
     same = lambda c: (c["start"] >= 0) & (F.slice("__words", F.greatest(c["start"], F.lit(0)) + 1, F.size(c["terms"])) == c["terms"])
     return got.select("key", F.transform(F.filter("__c", same), lambda c: F.struct(
         c["item"].alias("item"), c["start"].alias("start"), F.size(c["terms"]).alias("size"))).alias("hits")) \
-        .where(F.size("hits") > 0).dropDuplicates(["key"])
+        .dropDuplicates(["key"])
 
 
 def proximity_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -197,7 +197,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text") ->
     rest = [c for c in docs.columns if c not in added]
     src = docs.select(F.struct(*rest).alias("__row"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"),
                       _count(raw_words(F.col(text_col))).alias("n_words"))
-    hits = broadcast_if_small(hits, 160)
+    hits = broadcast_if_small(hits.where("n_hit > 0"), 160)
     got = src.join(hits, src["__key"] == hits["key"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return got.select("__row.*", "n_words", n_hit.alias("n_hit"),
