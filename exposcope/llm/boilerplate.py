@@ -41,13 +41,16 @@ def line_frequency(pages: DataFrame, host: Column, lines: Column, page: Column)
     """host, line key, pages with the line, pages of the host.  ``page`` tells
     pages apart: equal pages of a host count once."""
     p = pages.select(host.alias("host"), page.alias("page"), lines.alias("lines"))
-    total = p.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    each = p.select("host", "page", F.explode(F.array_distinct(F.transform("lines", _key))).alias("line")) \
-        .where(F.col("line").isNotNull())
-    held = each.groupBy("host", "line").agg(F.count_distinct("page").alias("holding")) \
-        .where(F.col("holding") >= MIN_PAGES)
-    return held.join(total, held["host"].eqNullSafe(total["host"])).select(
-        held["host"], "line", "holding", "pages")
+    # every page also holds the null line, which so counts the host's pages
+    keys = F.concat(F.filter(F.array_distinct(F.transform("lines", _key)), lambda k: k.isNotNull()),
+                    F.array(F.lit(None).cast("struct<a:bigint,b:int>")))
+    each = p.select("host", "page", F.explode(keys).alias("line"))
+    held = written(each.groupBy("host", "line").agg(F.count_distinct("page").alias("holding"))
+                   .where(F.col("line").isNull() | (F.col("holding") >= MIN_PAGES)))
+    total = held.where(F.col("line").isNull()).select(F.col("host").alias("__h"), F.col("holding").alias("pages"))
+    total = broadcast_if_small(total, 128)
+    return held.where(F.col("line").isNotNull()).join(total, F.col("host").eqNullSafe(F.col("__h"))) \
+        .select("host", "line", "holding", "pages")
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, out: str = "text",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from exposcope.llm import pii as P
 
 TEXT = ("Mr. John Smith met Anna Weber. Smith wrote to john.smith@Mail7.example.com, or +1 (017) 555-7713; "
-        "card 4539 1488 0343 6467 and 4037590409210456, host 21.7.6.143. Госпожа Иванова знает.")
+        "card 4539 1488 0343 6467 and 4037590409210457, host 21.7.6.143. Госпожа Иванова знает.")
 
 
 def run(spark, texts):
@@ -19,6 +19,7 @@ def test_nothing_detected_is_left_and_shapes_stay(spark):
         assert TEXT[a[0]:a[1]] not in got.text
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got.text) and re.search(r"card (\d{4} ){3}\d{4} and \d{16},", got.text)
     cards = [re.sub(" ", "", c) for c in re.findall(r"(?:\d{4} ?){4}", got.text)]
+    assert P.luhn("4539148803436467") and not P.luhn("4037590409210457")
     assert P.luhn(cards[0]) and not P.luhn(cards[1])
     email = re.search(r"[a-z]{4}\.[a-z]{5}@[a-z]{4}\d\.[a-z]{7}\.com", got.text)
     assert email
