@@ -1,9 +1,9 @@
 """Column-expression helpers (all JVM-side, no Python UDFs)."""
 
 from exposcope.functions.columns import (
-    clamp, lookup, ordinal_code, risk_label, display_name, half_even, safe_div,
+    clamp, lookup, ordinal_code, risk_label, display_name,
     round_half_even, fixed,
 )
 
 __all__ = ["clamp", "lookup", "ordinal_code", "risk_label", "display_name",
-           "half_even", "safe_div", "round_half_even", "fixed"]
+           "round_half_even", "fixed"]

@@ -50,17 +50,6 @@ def display_name(c: str | Column) -> Column:
     return F.initcap(F.translate(_col(c), "_", " "))
 
 
-def half_even(c: str | Column, scale: int = 0) -> Column:
-    """Round half to even, like Python's ``round``."""
-    return F.bround(_col(c), scale)
-
-
-def safe_div(num: str | Column, den: str | Column) -> Column:
-    """num / den with 0 (not null) on a zero denominator."""
-    d = _col(den)
-    return F.when(d == 0, F.lit(0.0)).otherwise(_col(num) / d)
-
-
 def bind(expr: Column, fn) -> Column:
     """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
 
@@ -89,9 +78,36 @@ def round_half_even(c: str | Column, digits: int = 0) -> Column:
 
 
 def fixed(c: str | Column, digits: int) -> Column:
-    """Non-negative number as text with ``digits`` decimals (half away from zero)."""
-    p = 10 ** digits
-    n = F.floor(_col(c) * float(p) + 0.5)
+    """Number as text with ``digits`` (0 to 2) decimals: the double's exact value,
+    ties to the even digit, as ``%.<digits>f`` prints it in C and Python.
+
+    x * 10 = x * 8 + x * 2 and x * 100 = x * 64 + x * 32 + x * 4: powers of two
+    are exact, and the rounding error of each sum is known, so the comparison
+    with the midpoint is exact too.
+    """
+    x = F.abs(_col(c).cast("double"))
+
+    def two_sum(a, b):
+        s = a + b
+        t = s - a
+        return s, (a - (s - t)) + (b - t)
+
     if digits == 0:
-        return n.cast("string")
-    return F.format_string(f"%d.%0{digits}d", (n / p).cast("long"), (n % p).cast("long"))
+        s, err = x, F.lit(0.0)
+    elif digits == 1:
+        s, err = two_sum(x * 8.0, x * 2.0)
+    elif digits == 2:
+        h, e1 = two_sum(x * 64.0, x * 32.0)
+        s, e2 = two_sum(h, x * 4.0)
+        err = e1 + e2
+    else:
+        raise ValueError("0 to 2 digits")
+    f = F.floor(s)
+    above = (s - f) - 0.5
+    up = (above > 0) | ((above == 0) & ((err > 0) | ((err == 0) & (f % 2 == 1))))
+    n = f + F.when(up, 1).otherwise(0)
+    sign = F.when(_col(c).cast("double") < 0, "-").otherwise("")
+    if digits == 0:
+        return F.concat(sign, n.cast("string"))
+    p = 10 ** digits
+    return F.concat(sign, F.format_string(f"%d.%0{digits}d", F.floor(n / p), (n % p).cast("long")))

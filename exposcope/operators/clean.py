@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from exposcope.functions.columns import clamp as clamp_col
+from exposcope.operators.joins import attach
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -118,7 +119,7 @@ def forward_fill(df: DataFrame, col: str, order_by: Sequence[str],
 
     With ``bucket`` (e.g. ``to_date(ts)``, monotone in ``order_by``) the fill is
     two-level so that a hot partition key is spread over its buckets: (1) fill
-    inside each (key, bucket); (2) per (key, bucket) keep the last non-null
+    inside each (key, bucket), null keys included; (2) per (key, bucket) keep the last non-null
     value — a table bounded by keys x buckets — and carry it across buckets with
     an ordered window; (3) join that carry back on (key, bucket).  Without
     ``bucket`` a plain window over ``partition_by`` is used.
@@ -140,7 +141,7 @@ def forward_fill(df: DataFrame, col: str, order_by: Sequence[str],
     w_b = Window.partitionBy(*partition_by).orderBy("_ff_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     carry = last_per_bucket.withColumn("_ff_carry", F.last("_ff_last", ignorenulls=True).over(w_b))
-    d = d.join(carry.select(*keys, "_ff_carry"), on=keys, how="left")
+    d = attach(d, carry.select(*keys, "_ff_carry"), keys, "left")
     return (d.withColumn(out, F.coalesce(F.col("_ff_local"), F.col("_ff_carry")))
             .drop("_ff_bucket", "_ff_local", "_ff_carry"))
 

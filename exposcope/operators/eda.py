@@ -3,8 +3,8 @@
 Each chart of the published analysis becomes the table behind it.  Grouped
 statistics are computed with partial aggregation (map-side combine) first;
 per-group parameters (min / max / quartiles) live in a table with one row per
-group, joined back on the group key — AQE broadcasts it at run time when it is
-small, so a hot group never funnels its rows into one task.
+group that ``attach`` broadcasts after counting it, or joins on salted keys,
+so a hot group never funnels its rows into one task.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposcope.functions.columns import risk_label
+from exposcope.operators.joins import attach
+from exposcope.operators.quantiles import quantiles_of_counts
 from exposcope.session import cut_lineage
 from exposcope.schema import RISK_LABELS
 
@@ -34,28 +36,24 @@ def risk_distribution(df: DataFrame, col: str = "risk_score") -> DataFrame:
 
 def value_distribution(df: DataFrame, col: str) -> DataFrame:
     """H2: count and % per value (percentages over the grouped table only)."""
-    g = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return g.withColumn("pct", F.col("count") * 100.0 / total)
-
-
-def _group_stats(df: DataFrame, feat: str, by: Sequence[str], exprs) -> DataFrame:
-    return df.groupBy(*by).agg(*exprs)
+    g = cut_lineage(df.groupBy(col).agg(F.count(F.lit(1)).alias("count")))
+    total = g.agg(F.sum("count")).first()[0]
+    return g.withColumn("pct", F.col("count") * 100.0 / F.lit(total))
 
 
 def histogram_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
                  bins: int = 40) -> DataFrame:
-    """H4: equal-width histogram between each group's own min and max (last bin closed)."""
+    """H4: equal-width histogram between each group's own min and max (last bin
+    closed); null groups are a group, null values are skipped."""
     by = list(by)
     x = F.col(feat).cast("double")
-    st = _group_stats(df.where(x.isNotNull()), feat, by,
-                      [F.min(x).alias("__lo"), F.max(x).alias("__hi")])
-    d = df.where(x.isNotNull()).join(st, on=by, how="inner")
-    width = (F.col("__hi") - F.col("__lo")) / bins
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
-    g = d.groupBy(*by, b.alias("bin"), "__lo", "__hi").agg(F.count(F.lit(1)).alias("count"))
+    base = df.where(x.isNotNull()).select(*by, x.alias("__x"))
+    st = base.groupBy(*by).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    d = attach(base, st, by)
     w = (F.col("__hi") - F.col("__lo")) / bins
+    b = F.when(w == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("__x") - F.col("__lo")) / w), F.lit(bins - 1))).cast("int")
+    g = d.groupBy(*by, b.alias("bin"), "__lo", "__hi").agg(F.count(F.lit(1)).alias("count"))
     return g.select(*by, "bin", (F.col("__lo") + F.col("bin") * w).alias("bin_lo"),
                     (F.col("__lo") + (F.col("bin") + 1) * w).alias("bin_hi"), "count")
 
@@ -64,8 +62,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -
     """H5: Pearson r for every pair (lower triangle incl. diagonal), pairwise
     complete like pandas.
 
-    A cheap first pass counts nulls per column.  Pairs of gap-free columns
-    then share plain sums (n, sum x, sum x^2, sum xy); only pairs touching a
+    A cheap first pass counts nulls and takes the mean per column; sums are of
+    values centred on that mean, so large means don't cancel.  Pairs of gap-free
+    columns then share plain sums (n, sum x, sum x^2, sum xy); only pairs touching a
     column with gaps get their own conditional sums.  The aggregation buffer
     stays near k + k(k+1)/2 slots instead of 6 per pair, and r follows in
     closed form on the one-row result.
@@ -73,9 +72,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)
              if (j <= i if lower else True)]
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    gaps = {c for c in cols if row is not None and row[c]}
-    x = {c: F.col(c).cast("double") for c in cols}
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)],
+                 *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    gaps = {c for i, c in enumerate(cols) if row[f"g{i}"]}
+    x = {c: F.col(c).cast("double") - F.lit(row[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
     aggs: dict[str, Column] = {"n": F.count(F.lit(1)).cast("double")}
     idx = {c: i for i, c in enumerate(cols)}
     moments = []
@@ -122,17 +122,17 @@ def box_stats(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
     outlier count per group."""
     by = list(by)
     x = F.col(feat).cast("double")
-    from exposcope.operators.quantiles import grouped_quantiles
-    q = grouped_quantiles(df, by, feat, [0.25, 0.5, 0.75]).select(
+    # the only pass over the rows: (group, value, count)
+    counts = cut_lineage(df.where(x.isNotNull()).groupBy(*by, x.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    q = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75]).select(
         *by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
-    d = df.where(x.isNotNull()).join(q, on=by, how="inner")
-    inside = (x >= lo) & (x <= hi)
-    return d.groupBy(*by, "n", "q1", "median", "q3").agg(
-        F.min(F.when(inside, x)).alias("whisker_lo"),
-        F.max(F.when(inside, x)).alias("whisker_hi"),
-        F.count_if(~inside).alias("outliers"))
+    inside = (F.col("v") >= lo) & (F.col("v") <= hi)
+    return attach(counts, q, by).groupBy(*by, "n", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
+        F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("outliers"))
 
 
 def density_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
@@ -155,7 +155,7 @@ def density_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
     m1 = vals.groupBy(*by).agg(F.sum("__c").alias("__n"),
                                (F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")).alias("__mean"),
                                F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    m2 = vals.join(m1, on=by, how="inner").groupBy(*by, "__n", "__mean", "__lo", "__hi").agg(
+    m2 = attach(vals, m1, by).groupBy(*by, "__n", "__mean", "__lo", "__hi").agg(
         F.sum(F.col("__c") * (F.col("__v") - F.col("__mean")) * (F.col("__v") - F.col("__mean")))
         .alias("__ss"))
     st = m2.withColumn("__sd", F.when(F.col("__n") > 1,
@@ -163,7 +163,7 @@ def density_by(df: DataFrame, feat: str, by: Sequence[str] = ("risk_score",),
     st = st.withColumn("__bw", F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2))
     st = st.withColumn("__g0", F.col("__lo") - cut * F.col("__bw")).withColumn(
         "__step", (F.col("__hi") - F.col("__lo") + 2 * cut * F.col("__bw")) / (grid - 1))
-    d = vals.join(st, on=by, how="inner").where(F.col("__bw") > 0)
+    d = attach(vals, st, by).where(F.col("__bw") > 0)
     norm = 1.0 / math.sqrt(2 * math.pi)
     e = d.select(*by, "__v", "__c", "__n", "__bw", "__g0", "__step",
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
@@ -211,11 +211,6 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "event_id") -> Da
     return df.orderBy(sample_key(key, seed), F.col(key)).limit(n)
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """H11 (fraction mode): Bernoulli sample."""
-    return df.sample(fraction=fraction, seed=seed)
-
-
 def pair_sample(df: DataFrame, cols: Sequence[str], n: int = 3000, seed: int = 42,
                 key: str = "event_id", label: str = "risk_score") -> DataFrame:
     """H9: the pair-plot rows: a fixed-size sample of a few features + label."""

@@ -2,15 +2,17 @@
 
 Spark has no isolation forest, so it is built from DataFrame pieces:
 
-* **sampling** — one Bernoulli sample of about ``oversample * trees * psi``
-  rows (never the whole table); each sampled row gets tree slots by hash and a
-  per-tree ``row_number`` keeps ``psi`` rows.  Every tree group holds at most
-  ``oversample * psi`` candidate rows, whatever the data size or skew.
+* **sampling** — every row has an independent hash per (seed, slot) that deals
+  it to a tree or to none, so the sample depends on the rows and the seed only,
+  not on partitions; a per-tree ``row_number`` keeps ``psi`` distinct rows.
+  A tree has about ``oversample * psi`` candidates, whatever the data size.
 * **building** — ``groupBy(tree).applyInPandas``: one small numpy tree per
   group (at most ``2 * psi - 1`` nodes, height limit ceil(log2 psi)).
 * **scoring** — the forest table has a size bound fixed by the parameters
-  (``trees * (2 * psi - 1)`` nodes), checked before it is broadcast; rows are
-  scored batch-wise with ``mapInPandas`` (vectorised over the Arrow batch).
+  (``trees * (2 * psi - 1)`` nodes), checked before it is broadcast; a Pandas
+  UDF over the feature columns alone returns one double per row.
+* **offset** — the contamination quantile of the training scores, fitted and
+  saved with the forest, so single rows and streams are judged as in batch.
 
 Score (Liu, Ting & Zhou 2008): s(x) = 2^(-E[h(x)] / c(psi)), with
 c(n) = 2 (ln(n-1) + 0.5772156649) - 2 (n-1)/n for n > 2, c(2) = 1, else 0.
@@ -26,9 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from exposcope.session import ship_package
+from exposcope.session import cut_lineage, ship_package
 
 EULER_GAMMA = 0.5772156649
 
@@ -75,7 +76,8 @@ def _build_tree(x: np.ndarray, rng: np.random.Generator, limit: int):
 
 class IsolationForestModel:
     def __init__(self, cols: Sequence[str], nodes: pd.DataFrame, psi: int, num_trees: int,
-                 contamination: float):
+                 contamination: float, offset: float | None = None):
+        self.offset = offset
         self.cols, self.psi, self.num_trees = list(cols), psi, num_trees
         self.contamination = contamination
         self.nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
@@ -102,20 +104,19 @@ class IsolationForestModel:
         ship_package(spark)
         arrays = self._arrays()
         bc = spark.sparkContext.broadcast(arrays)
-        cols, psi = self.cols, self.psi
-        cpsi = float(c_factor([psi])[0]) or 1.0
+        cpsi = float(c_factor([self.psi])[0]) or 1.0
         max_depth = int(arrays["depth"].max()) + 1
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("double")
+        def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             a = bc.value
             feat, thr, lft, rgt = a["feature"], a["threshold"], a["left"], a["right"]
             size, dep = a["size"], a["depth"]
             leaf_adj = np.where(size >= 0, dep + c_factor(np.maximum(size, 0)), 0.0)
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype="float64")
+            for series in batches:
+                x = np.column_stack([s.to_numpy(dtype="float64") for s in series])
                 n = x.shape[0]
-                total = np.zeros(n)
-                rows = np.arange(n)
+                total, rows = np.zeros(n), np.arange(n)
                 for t in range(feat.shape[0]):
                     node = np.zeros(n, dtype="int64")
                     for _ in range(max_depth):
@@ -123,17 +124,12 @@ class IsolationForestModel:
                         inner = f >= 0
                         if not inner.any():
                             break
-                        fv = np.where(inner, f, 0)
-                        go_left = x[rows, fv] < thr[t, node]
-                        nxt = np.where(go_left, lft[t, node], rgt[t, node])
-                        node = np.where(inner, nxt, node)
+                        go_left = x[rows, np.where(inner, f, 0)] < thr[t, node]
+                        node = np.where(inner, np.where(go_left, lft[t, node], rgt[t, node]), node)
                     total += leaf_adj[t, node]
-                mean_h = total / feat.shape[0]
-                pdf[out] = -np.power(2.0, -mean_h / cpsi)
-                yield pdf
+                yield pd.Series(-np.power(2.0, -(total / feat.shape[0]) / cpsi))
 
-        schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-        return df.mapInPandas(score, schema)
+        return df.withColumn(out, score(*[F.col(c).cast("double") for c in self.cols]))
 
 
 class IsolationForest:
@@ -144,34 +140,41 @@ class IsolationForest:
         self.num_trees, self.max_samples = num_trees, max_samples
         self.contamination, self.seed, self.oversample = contamination, seed, oversample
 
-    def fit(self, df: DataFrame, cols: Sequence[str]) -> IsolationForestModel:
+    def fit(self, df: DataFrame, cols: Sequence[str], key: str | None = None) -> IsolationForestModel:
+        """``key`` names a row (else its features do); equal keys count as one row
+        of a tree's sample."""
         ship_package(df.sparkSession)
         cols = list(cols)
         n = df.count()
         if n == 0:
             raise ValueError("isolation forest needs at least one row")
         trees, psi = self.num_trees, min(self.max_samples, n)
-        want = self.oversample * trees * psi
-        frac = min(1.0, want / n)
-        slots = max(1, min(trees, math.ceil(want / n)))
-        base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        if frac < 1.0:
-            base = base.sample(False, frac, self.seed)
-        stride = max(1, trees // slots)
-        s = (base.withColumn("__rid", F.xxhash64(*[F.col(c) for c in cols], F.rand(self.seed)))
-             .withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-             .withColumn("tree", F.pmod(F.pmod(F.col("__rid"), F.lit(trees))
-                                        + F.col("__slot") * stride, F.lit(trees)).cast("int"))
-             .withColumn("__ord", F.xxhash64("__rid", "__slot", F.lit(self.seed))))
+        want = self.oversample * psi * trees / n  # draws per row
+        base = df.select(*[F.col(c).cast("double").alias(c) for c in cols],
+                         (F.xxhash64(F.col(key)) if key else F.xxhash64(*cols)).alias("__key"))
+
+        def hashed(*what):
+            return F.xxhash64("__key", F.lit(self.seed), *what)
+
+        if want >= trees / 2:  # few rows: each is a candidate of every tree
+            s = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        else:  # each slot deals the row to one of the trees, the last one by chance
+            slots = max(1, math.ceil(want))
+            share = want / slots
+            s = (base.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+                 .where(F.pmod(hashed(F.lit("kept"), F.col("__slot")), F.lit(1 << 40)) < int(share * (1 << 40)))
+                 .withColumn("tree", F.pmod(hashed(F.lit("tree"), F.col("__slot")), F.lit(trees)).cast("int"))
+                 .drop("__slot").dropDuplicates(["tree", "__key"]))
         s = s.withColumn("__rn", F.row_number().over(
-            Window.partitionBy("tree").orderBy("__ord", "__rid")))
-        s = s.filter(F.col("__rn") <= psi).select("tree", *cols)
+            Window.partitionBy("tree").orderBy(hashed(F.lit("order"), F.col("tree")), "__key")))
+        s = s.filter(F.col("__rn") <= psi).select("tree", "__rn", *cols)
 
         limit = int(math.ceil(math.log2(max(psi, 2))))
         seed = self.seed
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             t = int(pdf["tree"].iloc[0])
+            pdf = pdf.sort_values("__rn")
             rng = np.random.default_rng([seed, t])
             feat, thr, left, right, size, depth = _build_tree(
                 pdf[cols].to_numpy(dtype="float64"), rng, limit)
@@ -191,36 +194,44 @@ class IsolationForest:
         if len(nodes) > bound:  # cannot happen: each tree has <= 2 psi - 1 nodes
             raise RuntimeError(f"forest larger than its bound {bound}")
         got = nodes["tree"].nunique()
-        return IsolationForestModel(cols, nodes, psi, max(got, 1), self.contamination)
+        model = IsolationForestModel(cols, nodes, psi, max(got, 1), self.contamination)
+        from exposcope.operators.quantiles import exact_quantiles
+        raw = cut_lineage(model.transform(df.select(*cols)).select("anomaly_raw"))
+        model.offset = exact_quantiles(raw, ["anomaly_raw"], [self.contamination])["anomaly_raw"][0]
+        return model
 
 
 def anomaly_score(scored: DataFrame, raw: str = "anomaly_raw", mode: str = "minmax",
                   contamination: float = 0.05, out: str = "anomaly_score",
-                  flag: str = "anomaly_flag") -> DataFrame:
-    """decision = raw - (contamination quantile of raw); flag -1 below 0.
+                  flag: str = "anomaly_flag", offset: float | None = None) -> DataFrame:
+    """decision = raw - offset; flag -1 below 0.
 
-    ``minmax``: 1 - (d - min d) / (max d - min d) over the batch;
-    ``fixed``: clip(1 - (d + 0.5), 0, 1) for single rows / streams.
+    ``minmax``: 1 - (d - min d) / (max d - min d) over the batch; without an
+    ``offset`` the batch's own contamination quantile is taken.
+    ``fixed``: clip(1 - (d + 0.5), 0, 1), a projection for single rows and
+    streams; it needs the offset that was fitted in training.
     """
-    from exposcope.operators.quantiles import exact_quantiles
-    got = exact_quantiles(scored, [raw], [contamination],
-                          extra=[F.min(raw).alias("__lo"), F.max(raw).alias("__hi")])
-    q = got[raw][0]
-    d = F.col(raw) - F.lit(q)
-    out_df = scored.withColumn("__d", d)
-    if mode == "minmax":
-        # decision = raw - q, so its min / max come from the raw min / max
-        lo = got["__extra"]["__lo"] - q if got["__extra"]["__lo"] is not None else None
-        hi = got["__extra"]["__hi"] - q if got["__extra"]["__hi"] is not None else None
-        span = (hi - lo) if (hi is not None and lo is not None and hi != lo) else 1.0
-        score = 1.0 - (F.col("__d") - F.lit(lo)) / F.lit(span)
-    elif mode == "fixed":
-        score = F.least(F.greatest(1.0 - (F.col("__d") - (-0.5)) / 1.0, F.lit(0.0)), F.lit(1.0))
+    if mode == "fixed":
+        if offset is None:
+            raise ValueError("fixed scores need the fitted offset")
+        d = F.col(raw) - F.lit(offset)
+        score = F.least(F.greatest(1.0 - (d + 0.5), F.lit(0.0)), F.lit(1.0))
+    elif mode == "minmax":
+        from exposcope.operators.quantiles import exact_quantiles
+        ends = [F.min(raw).alias("lo"), F.max(raw).alias("hi")]
+        if offset is None:
+            got = exact_quantiles(scored, [raw], [contamination], extra=ends)
+            offset, ends = got[raw][0], got["__extra"]
+        else:
+            ends = scored.agg(*ends).first().asDict()
+        d = F.col(raw) - F.lit(offset).cast("double")
+        lo, hi = ends["lo"], ends["hi"]
+        span = (hi - lo) if lo is not None and hi != lo else 1.0
+        score = 1.0 - (F.col(raw) - F.lit(lo).cast("double")) / F.lit(span)
     else:
         raise ValueError(mode)
-    return (out_df.withColumn(out, score)
-            .withColumn(flag, F.when(F.col("__d") < 0, -1).otherwise(1).cast("int"))
-            .withColumnRenamed("__d", "anomaly_decision"))
+    return scored.withColumns({"anomaly_decision": d, out: score,
+                               flag: F.when(d < 0, -1).otherwise(1).cast("int")})
 
 
 def anomaly_summary(df: DataFrame, score: str = "anomaly_score", flag: str = "anomaly_flag") -> DataFrame:

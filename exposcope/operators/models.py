@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposcope.functions.columns import risk_label
+from exposcope.operators.encode import ScalerModel, assemble, fit_scaler
+from exposcope.operators.iforest import IsolationForest, IsolationForestModel, anomaly_score
+from exposcope.operators.joins import attach
+from exposcope.operators.risk import predict_risk_rules
 
 
 def _hash(key: str, seed: int):
@@ -49,7 +53,7 @@ def class_rank(df: DataFrame, label: str, key: str, seed: int = 42,
                                F.lit(0)),
         "__n_class": F.sum("__cnt").over(Window.partitionBy(label)),
     }).drop("__cnt")
-    d = d.join(counts, on=[label, "__b"], how="inner")
+    d = attach(d, counts, [label, "__b"])
     in_bucket = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
     return d.withColumn("__rank", F.col("__before") + in_bucket).drop("__h", "__b", "__before")
 
@@ -81,12 +85,12 @@ def stratified_split(df: DataFrame, label: str = "risk_score", test: float = 0.2
         .select(label, F.col("__b").alias("__edge"), (F.col("__target") - F.col("__before"))
                 .alias("__need"))
     slim = (d.select(label, "__b", "__h", F.col(key).cast("string").alias("__k"))
-            .join(F.broadcast(edge), (d[label] == edge[label]) & (F.col("__b") == F.col("__edge")))
-            .drop(edge[label]))
+            )
+    slim = attach(slim, edge, [label]).where(F.col("__b") == F.col("__edge"))
     rn = F.row_number().over(Window.partitionBy(label).orderBy("__h", "__k"))
     thr = (slim.withColumn("__rn", rn).filter(F.col("__rn") == F.col("__need"))
            .select(label, "__edge", F.col("__h").alias("__th"), F.col("__k").alias("__tk")))
-    tagged = d.join(F.broadcast(thr), on=label, how="left")
+    tagged = attach(d, thr, [label], "left")
     key_s = F.col(key).cast("string")
     inside = (F.col("__b") < F.col("__edge")) | (
         (F.col("__b") == F.col("__edge"))
@@ -116,43 +120,37 @@ def class_weights(df: DataFrame, label: str = "risk_score") -> DataFrame:
                         / (F.count(F.lit(1)).over(all_) * F.col("count")))
 
 
-def with_class_weights(df: DataFrame, label: str = "risk_score", out: str = "weight") -> DataFrame:
-    """Attach the balanced weight; the weight table has one row per class (broadcast)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), on=label, how="left")
+def with_class_weights(df: DataFrame, label: str = "risk_score", out: str = "weight",
+                       fit_on: DataFrame | None = None) -> DataFrame:
+    """Attach the balanced weight of each row's class, fitted on ``fit_on`` (the
+    training rows; ``df`` if none are given).  Classes not seen there get none."""
+    w = class_weights(df if fit_on is None else fit_on, label).select(label, F.col("weight").alias(out))
+    return attach(df, w, [label], "left")
 
 
 # ---------------------------------------------------------------- classifiers
 @dataclass
 class ForestParams:
-    """G6 parameters.  ``reference()`` = the published configuration."""
-    num_trees: int = 20
-    max_depth: int = 8
+    """G6 parameters; the defaults are the published configuration."""
+    num_trees: int = 300
+    max_depth: int = 20
     min_instances_per_node: int = 2
     feature_subset: str = "sqrt"
     subsampling_rate: float = 1.0
     seed: int = 42
 
-    @staticmethod
-    def reference() -> "ForestParams":
-        return ForestParams(num_trees=300, max_depth=20, min_instances_per_node=2)
-
 
 @dataclass
 class BoostParams:
-    """G7 parameters.  ``reference()`` = the published configuration (L1 / L2
+    """G7 parameters; the defaults are the published configuration (its L1 / L2
     penalties have no Spark counterpart)."""
-    max_iter: int = 5
-    max_depth: int = 5
+    max_iter: int = 300
+    max_depth: int = 10
     step_size: float = 0.1
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
     seed: int = 42
 
-    @staticmethod
-    def reference() -> "BoostParams":
-        return BoostParams(max_iter=300, max_depth=10)
-
 
 def train_rf(train: DataFrame, features_col: str = "features", label: str = "label",
              weight_col: str | None = "weight", params: ForestParams = ForestParams()):
@@ -247,12 +245,47 @@ def feature_importances(model, names: Sequence[str], k: int | None = None,
     return df.limit(k) if k else df
 
 
-def predict_risk(df: DataFrame, classifier=None, features_col: str = "features",
-                 ovr_margin: bool = False, n_classes: int = 5) -> DataFrame:
-    """F7 with a trained classifier: class, per-class probabilities, confidence
-    (max probability) and level name."""
-    pred = classifier.transform(df)
-    pred = with_probabilities(pred, n_classes, ovr_margin=ovr_margin)
+def classify(df: DataFrame, classifier, ovr_margin: bool = False, n_classes: int = 5) -> DataFrame:
+    """A trained classifier's class, per-class probabilities, confidence (largest
+    probability) and level name, for rows with a feature vector."""
+    pred = with_probabilities(classifier.transform(df), n_classes, ovr_margin=ovr_margin)
     pred = confidence(pred, n_classes)
     pred = pred.withColumn("predicted_risk", F.col("prediction").cast("int"))
     return pred.withColumn("risk_level", risk_label(F.col("predicted_risk")))
+
+
+@dataclass
+class RiskModels:
+    """What F7 needs of a training run; every part is fitted on training rows."""
+    scaler: ScalerModel
+    forest: IsolationForestModel
+    classifier: object
+    features: list[str]
+    ovr_margin: bool = False
+
+
+def fit_anomaly(train: DataFrame, features: Sequence[str], forest: IsolationForest | None = None,
+                key: str | None = None) -> tuple[ScalerModel, IsolationForestModel]:
+    """Scaler and isolation forest (with its offset) over the training rows."""
+    scaler = fit_scaler(train, features)
+    scaled = scaler.transform(train, suffix="__z")
+    model = (forest or IsolationForest()).fit(scaled, [f"{c}__z" for c in features], key)
+    return scaler, model
+
+
+def with_anomaly(df: DataFrame, scaler: ScalerModel, forest: IsolationForestModel) -> DataFrame:
+    """``df`` with anomaly_score, anomaly_decision and anomaly_flag on the fitted
+    offset; a projection, so one row, a batch and a stream agree."""
+    scaled = scaler.transform(df.drop("anomaly_score"), suffix="__z")
+    scored = anomaly_score(forest.transform(scaled), mode="fixed", offset=forest.offset)
+    return scored.drop("anomaly_raw", *[f"{c}__z" for c in scaler.cols])
+
+
+def predict_risk(df: DataFrame, models: RiskModels | None = None) -> DataFrame:
+    """scale -> anomaly score -> classifier on the features and that score ->
+    class, probabilities, confidence, level.  Without models the rule path."""
+    if models is None:
+        return predict_risk_rules(df)
+    full = with_anomaly(df, models.scaler, models.forest)
+    full = assemble(full, [*models.features, "anomaly_score"], handle_invalid="keep")
+    return classify(full, models.classifier, models.ovr_margin)

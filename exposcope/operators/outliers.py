@@ -23,9 +23,10 @@ class Fences:
         self.stats, self.k = stats, k
 
     def outside(self, c: str):
+        """Strictly outside the fence; null where the value or the fence is."""
         s = self.stats[c]
         x = F.col(c)
-        return (x < F.lit(s["lower"])) | (x > F.lit(s["upper"]))
+        return (x < F.lit(s["lower"]).cast("double")) | (x > F.lit(s["upper"]).cast("double"))
 
 
 def fit_fences(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: float = 1.5,
@@ -50,8 +51,9 @@ def fit_fences(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: float =
     stats = {}
     for c in cols:
         q1, q3 = q[c]
-        iqr = q3 - q1
-        stats[c] = {"q1": q1, "q3": q3, "iqr": iqr, "lower": q1 - k * iqr, "upper": q3 + k * iqr,
+        iqr = None if q1 is None else q3 - q1  # a column without values has no fence
+        stats[c] = {"q1": q1, "q3": q3, "iqr": iqr, "lower": None if iqr is None else q1 - k * iqr,
+                    "upper": None if iqr is None else q3 + k * iqr,
                     "mean": row[f"m__{c}"], "std": row[f"s__{c}"],
                     "min": row[f"lo__{c}"], "max": row[f"hi__{c}"]}
     return Fences(stats, k)
@@ -85,11 +87,11 @@ def outlier_report(df: DataFrame, cols: Sequence[str] = OUTLIER_FEATURES, k: flo
         exprs += [F.count_if(f.outside(c)).alias(f"{c}__iqr_outliers"),
                   F.count_if(zc).alias(f"{c}__z_outliers")]
     agg = df.agg(*exprs)
-    parts = ", ".join(f"'{c}', `{c}__iqr_outliers`, `{c}__z_outliers`, "
-                      f"CAST({f.stats[c]['min']!r} AS DOUBLE), CAST({f.stats[c]['max']!r} AS DOUBLE)"
-                      for c in cols)
-    long = agg.selectExpr(f"stack({len(cols)}, {parts}) AS (feature, iqr_outliers, z_outliers, "
-                          f"min, max)")
+    each = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__iqr_outliers").alias("iqr_outliers"),
+                     F.col(f"{c}__z_outliers").alias("z_outliers"),
+                     F.lit(f.stats[c]["min"]).cast("double").alias("min"),
+                     F.lit(f.stats[c]["max"]).cast("double").alias("max")) for c in cols]
+    long = agg.select(F.explode(F.array(*each)).alias("r")).select("r.*")
     if only_flagged:
         long = long.filter((F.col("iqr_outliers") > 0) | (F.col("z_outliers") > 0))
     return long

@@ -1,22 +1,16 @@
 """Exact quantiles with bounded memory (linear interpolation, as pandas/numpy).
 
-Spark's exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer, which at 100 TB of continuous values is an unbounded group
-in one task.  Here the order statistics are selected instead:
-
-1. one pass: row count and HyperLogLog distinct count per column; columns
-   with few distinct values (or few values) take Spark's exact
-   ``percentile`` next, whose buffer is bounded by that count;
-2. for the other columns, ``percentile_approx`` brackets [q - e, q + e] with
-   rank error below ``e * n`` (e = 2 / accuracy, accuracy growing with n), so
-   the exact order statistics lie inside;
-3. one pass: per (column, q) the count of values below the bracket and the
-   (value, count) pairs inside it — a grouped aggregation, so a value repeated
-   a billion times is one pair; the number of distinct values in a bracket is
-   at most its rank width (about ``4 n / accuracy``, and ``accuracy`` grows
-   with n so this stays near ``band``);
-4. the two order statistics around rank q (n - 1) are read by walking the
-   sorted pairs; the result is their linear interpolation.
+Global quantiles narrow in on the order statistics by counting: each pass
+counts the rows of every still open (column, rank) in BUCKETS equal-width
+buckets of its interval, together with each bucket's least and largest value,
+and keeps the bucket that holds the rank.  A bucket with one distinct value
+ends the search, else its value range is the next interval.  Whatever the data
+size, a pass shuffles and returns at most BUCKETS rows per open rank; the
+number of passes depends on how values are spread, not on how many there are.
+There is one path for all sizes.
+
+Grouped quantiles compress rows to (group, value, count) and read the order
+statistics off exact running counts.
 """
 
 from __future__ import annotations
@@ -24,167 +18,111 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exposcope.operators.joins import attach, running_count
+
+BUCKETS = 1024
+
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    band: int = 50_000, min_accuracy: int = 100_000,
-                    max_distinct: int = 1_000_000, extra: Sequence | None = None) -> dict:
-    """{column: [quantile for each prob]} over the non-null values of each column.
-
-    Pass A: counts, HyperLogLog distinct counts and any ``extra`` aggregate
-    columns (returned under key ``"__extra"``).  Pass B: columns with at most
-    ``max_distinct`` distinct values (or under ``4 * accuracy`` values) take
-    Spark's exact ``percentile``, whose buffer that bounds; the others get
-    ``percentile_approx`` brackets in the same pass.  Pass C (only for those):
-    the (value, count) band inside each bracket plus the count below it.
-    """
-    cols, probs = list(cols), list(probs)
-    extra = list(extra or [])
+                    extra: Sequence | None = None, buckets: int = BUCKETS) -> dict:
+    """{column: [quantile for each prob]} over the non-null, non-NaN values of each
+    column; all None for a column without values.  ``extra`` aggregate columns
+    are computed in the first pass and returned under ``"__extra"``."""
+    cols, probs, extra = list(cols), list(probs), list(extra or [])
     if not cols and not extra:
         return {}
-    x = {c: F.col(c).cast("double") for c in cols}
-    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.approx_count_distinct(x[c]).alias(f"d{i}") for i, c in enumerate(cols)],
-                   *extra).first()
-    fields = first.asDict()
-    out: dict = {"__extra": {k: v for k, v in fields.items()
-                             if not (k[:1] in "nd" and k[1:].isdigit())}}
-    n = {c: int(first[f"n{i}"] or 0) for i, c in enumerate(cols)}
-    distinct = {c: int(first[f"d{i}"] or 0) for i, c in enumerate(cols)}
-    acc = int(min_accuracy)
-    big = [c for c in cols if n[c] >= 4 * acc and distinct[c] > max_distinct]
-    small = [c for c in cols if c not in big and n[c] > 0]
-    need = {c: int(min(2 ** 31 - 1, max(acc, math.ceil(4 * n[c] / band)))) for c in big}
-    second_exprs = [F.percentile(x[c], probs).alias(f"p{cols.index(c)}") for c in small]
-    for c in big:
-        e = 2.0 / need[c]
-        qs = [v for p in probs for v in (max(0.0, p - e), min(1.0, p + e))]
-        second_exprs.append(F.percentile_approx(x[c], qs, need[c]).alias(f"b{cols.index(c)}"))
-    second = df.agg(*second_exprs).first() if second_exprs else None
-    marks, keys = [], {}
-    for c in big:
-        br = second[f"b{cols.index(c)}"]
-        for j, _ in enumerate(probs):
-            lo, hi = br[2 * j], br[2 * j + 1]
-            if lo is None:
-                continue
-            k = len(keys)
-            keys[(c, j)] = k
-            below = x[c] < F.lit(lo)
-            inside = (x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi))
-            marks.append(F.when(below, F.struct(F.lit(k).alias("k"), F.lit(True).alias("b"),
-                                                F.lit(None).cast("double").alias("v")))
-                         .when(inside, F.struct(F.lit(k).alias("k"), F.lit(False).alias("b"),
-                                                x[c].alias("v"))))
-    pairs: dict[int, list] = {k: [] for k in keys.values()}
-    below_n: dict[int, int] = {k: 0 for k in keys.values()}
-    if marks:
-        m = (df.select(F.explode(F.filter(F.array(*marks), lambda e: e.isNotNull())).alias("m"))
-             .groupBy("m.k", "m.b", "m.v").agg(F.count(F.lit(1)).alias("n")))
-        for r in m.collect():          # bounded: distinct values inside the brackets
-            if r["b"]:
-                below_n[r["k"]] += r["n"]
-            else:
-                pairs[r["k"]].append((r["v"], r["n"]))
-    for c in cols:
-        if n[c] == 0:
-            out[c] = [None] * len(probs)
-            continue
-        if c in small:
-            out[c] = list(second[f"p{cols.index(c)}"])
-            continue
-        vals = []
-        for j, p in enumerate(probs):
-            k = keys.get((c, j))
-            pos = p * (n[c] - 1)
-            k0 = int(math.floor(pos))
-            k1 = min(k0 + 1, n[c] - 1)
-            srt = sorted(pairs[k]) if k is not None else []
-            v0 = _at_rank(srt, k0 - below_n[k]) if k is not None else None
-            v1 = _at_rank(srt, k1 - below_n[k]) if k is not None else None
-            if v0 is None or v1 is None:
-                # bracket missed (cannot happen within the documented rank error)
-                vals.append(df.agg(F.percentile(x[c], p)).first()[0])
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    first = df.agg(*[a for i, c in enumerate(cols) for a in
+                     (F.count(x[c]).alias(f"__qn{i}"), F.min(x[c]).alias(f"__qlo{i}"), F.max(x[c]).alias(f"__qhi{i}"))],
+                   *extra).first().asDict()
+    out: dict = {"__extra": {k: v for k, v in first.items() if not k.startswith("__q")}}
+    found: dict[tuple[int, int], float] = {}
+    # open searches: (column, rank) -> (low, high, rows below low)
+    search: dict[tuple[int, int], tuple[float, float, int]] = {}
+    for i, c in enumerate(cols):
+        n = first[f"__qn{i}"]
+        for p in probs if n else []:
+            k = math.floor(p * (n - 1))
+            for r in {k, min(k + 1, n - 1)}:
+                search[i, r] = (first[f"__qlo{i}"], first[f"__qhi{i}"], 0)
+    while True:
+        for key in [k for k, (lo, hi, _) in search.items() if lo == hi]:
+            found[key] = search.pop(key)[0]
+        if not search:
+            break
+        search = _narrow(df, x, cols, search, buckets)
+    for i, c in enumerate(cols):
+        n, vals = first[f"__qn{i}"], []
+        for p in probs:
+            if not n:
+                vals.append(None)
                 continue
-            frac = pos - k0
-            vals.append(v0 + (v1 - v0) * frac if frac else v0)
+            pos = p * (n - 1)
+            k = math.floor(pos)
+            a, b = found[i, k], found[i, min(k + 1, n - 1)]
+            vals.append(a + (b - a) * (pos - k) if pos != k else a)
         out[c] = vals
     return out
 
 
-def _at_rank(pairs: list[tuple[float, int]], r: int) -> float | None:
-    """Value at 0-based rank r of the multiset given as sorted (value, count)."""
-    if r < 0:
-        return None
-    seen = 0
-    for v, cnt in pairs:
-        seen += cnt
-        if r < seen:
-            return v
-    return None
-
-
-def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
-                      band: int = 50_000, min_accuracy: int = 10_000) -> DataFrame:
-    """Exact per-group quantiles (linear interpolation) computed in Spark.
-
-    Large groups: ``percentile_approx`` brackets (bounded buffer), then the
-    (value, count) pairs inside each bracket plus the count below it, then an
-    ordered window over those pairs (a table bounded by the bracket widths)
-    finds the two order statistics.  Groups under ``4 * accuracy`` rows use
-    the exact ``percentile`` aggregate, whose buffer that size bounds.  The
-    per-group parameter tables join without hints (AQE broadcasts them when
-    small).  Returns one row per group with ``n`` and ``q0, q1, ...``.
-    """
-    by, probs = list(by), list(probs)
+def _narrow(df, x, cols, search, buckets):
+    """One counting pass: every open search moves to the bucket that holds its rank."""
+    spans = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in search.items()})
+    marks = []
+    for s, (i, lo, hi) in enumerate(spans):
+        v = x[cols[i]]
+        if math.isinf(lo) or math.isinf(hi):  # infinities get buckets of their own
+            at = F.when(v == F.lit(-math.inf), F.lit(0)).when(v == F.lit(math.inf), F.lit(buckets - 1)).otherwise(F.lit(1))
+        else:  # halves keep the width finite for values near the ends of the range
+            at = F.floor((v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * buckets) if hi / 2 > lo / 2 \
+                else F.when(v > F.lit(lo), F.lit(1)).otherwise(F.lit(0))
+        b = F.greatest(F.lit(0), F.least(at, F.lit(buckets - 1))).cast("int")
+        marks.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
+                            F.struct(F.lit(s).alias("s"), b.alias("b"), v.alias("v"))))
+    rows = (df.select(F.explode(F.filter(F.array(*marks), lambda e: e.isNotNull())).alias("m"))
+            .groupBy("m.s", "m.b").agg(F.count(F.lit(1)).alias("n"), F.min("m.v").alias("lo"), F.max("m.v").alias("hi"))
+            .collect())  # at most ``buckets`` rows per open search
+    table: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["s"], r["b"])):
+        table.setdefault(r["s"], []).append(r)
+    out = {}
+    for (i, rank), (lo, hi, below) in search.items():
+        for r in table[spans.index((i, lo, hi))]:
+            if rank < below + r["n"]:
+                out[i, rank] = (r["lo"], r["hi"], below)
+                break
+            below += r["n"]
+    return out
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+    """Exact per-group quantiles, one row per group with ``n`` and ``q0, q1, ...``;
+    null groups are groups, null values are skipped."""
     x = F.col(col).cast("double")
-    base = df.where(x.isNotNull())
-    n_all = base.count()
-    acc = int(min(2 ** 31 - 1, max(min_accuracy, math.ceil(4 * max(n_all, 1) / band))))
-    eps = 2.0 / acc
-    qs = []
-    for p in probs:
-        qs += [max(0.0, p - eps), min(1.0, p + eps)]
-    g = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
-                              F.percentile_approx(x, qs, acc).alias("__br"))
-    parts = []
+    counts = df.where(x.isNotNull()).groupBy(*by, x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return quantiles_of_counts(counts, by, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The same from a (group, ``v``, ``c``) table of value counts."""
+    by, probs = list(by), list(probs)
+    size = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    run = attach(running_count(counts, by, "v", "c"), size, by)
+    picks = []
     for j, p in enumerate(probs):
-        lo, hi = F.col("__br")[2 * j], F.col("__br")[2 * j + 1]
-        pos = F.lit(p) * (F.col("__n") - 1)
-        parts.append(F.struct(F.lit(j).alias("j"), lo.alias("lo"), hi.alias("hi"),
-                              F.floor(pos).alias("k0"),
-                              F.least(F.floor(pos) + 1, F.col("__n") - 1).alias("k1"),
-                              (pos - F.floor(pos)).alias("frac")))
-    # small groups (< 4 * accuracy rows): exact percentile, buffer bounded by the threshold;
-    # there the bracket margin (about n / accuracy ranks) could be under one rank
-    small_n = 4 * acc
-    small = g.where(F.col("__n") < small_n).select(*by, "__n")
-    exact = (base.join(small.select(*by), on=by)
-             .groupBy(*by).agg(F.percentile(x, probs).alias("__qs")))
-    exact = exact.join(small, on=by).select(
-        *by, "__n", F.posexplode("__qs").alias("j", "q"))
-    # large groups: bracketed selection
-    gq = (g.where(F.col("__n") >= small_n)
-          .select(*by, "__n", F.explode(F.array(*parts)).alias("t")).select(*by, "__n", "t.*"))
-    d = base.join(gq, on=by, how="inner")
-    d = d.where(x <= F.col("hi"))
-    below = F.when(x < F.col("lo"), F.lit(None)).otherwise(x)
-    cnt = d.groupBy(*by, "j", "__n", "k0", "k1", "frac", below.alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by, "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    cum = cnt.withColumn("__hi_rank", F.sum("c").over(w) - 1)   # last 0-based rank of v
-    cum = cum.withColumn("__lo_rank", F.col("__hi_rank") - F.col("c") + 1)
-    pick = cum.where(F.col("v").isNotNull()).groupBy(*by, "j", "__n", "frac").agg(
-        F.min(F.when((F.col("__lo_rank") <= F.col("k0")) & (F.col("__hi_rank") >= F.col("k0")),
-                     F.col("v"))).alias("v0"),
-        F.min(F.when((F.col("__lo_rank") <= F.col("k1")) & (F.col("__hi_rank") >= F.col("k1")),
-                     F.col("v"))).alias("v1"))
-    q = pick.select(*by, "__n", "j", F.when(F.col("frac") == 0, F.col("v0")).otherwise(
-        F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("q"))
-    allq = q.unionByName(exact.select(*by, "__n", F.col("j").cast("int").alias("j"), "q"))
-    wide = allq.groupBy(*by, F.col("__n").alias("n")).pivot("j", list(range(len(probs)))).agg(
-        F.first("q"))
-    return wide.select(*by, "n", *[F.col(str(j)).alias(f"q{j}") for j in range(len(probs))])
+        k = F.floor(F.lit(p) * (F.col("n") - 1))
+        for r, name in ((k, "a"), (F.least(k + 1, F.col("n") - 1), "b")):
+            hit = (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
+            picks.append(F.min(F.when(hit, F.col("v"))).alias(f"{name}{j}"))
+    got = run.groupBy(*by, "n").agg(*picks)
+
+    def q(j, p):
+        pos = F.lit(p) * (F.col("n") - 1)
+        frac = pos - F.floor(pos)
+        return F.when(frac == 0, F.col(f"a{j}")).otherwise(
+            F.col(f"a{j}") + (F.col(f"b{j}") - F.col(f"a{j}")) * frac).alias(f"q{j}")
+
+    return got.select(*by, "n", *[q(j, p) for j, p in enumerate(probs)])

@@ -10,7 +10,7 @@ from exposcope.operators.prepare import clean_events
 from exposcope.plans.catalog import query
 from exposcope.plans.prep_queries import CAT_GAPS, NUM_GAPS, PREP_CTES, _MAT, _SEV
 from exposcope.plans.sqlbase import with_ctes
-from exposcope.schema import ARTIFACT_TYPES, BASE_FEATURES, FALLBACK_IMPORTANCES, SOURCE_TYPES
+from exposcope.schema import ARTIFACT_TYPES, BASE_FEATURES, SOURCE_TYPES
 from exposcope.sources.standin import exposure_clean, exposure_raw, scenarios
 
 # ---- oracle helpers --------------------------------------------------------------
@@ -49,11 +49,8 @@ PRED_CTES = PREP_CTES + ",\n" + _PRED
 
 
 def _fixed_sql(x: str, d: int) -> str:
-    p = 10 ** d
-    n = f"CAST(floor(({x})*{p}e0 + 0.5e0) AS BIGINT)"
-    if d == 0:
-        return f"CAST({n} AS VARCHAR)"
-    return f"printf('%d.%0{d}d', {n} // {p}, {n} % {p})"
+    """C-style formatting of the double's exact value, ties to even."""
+    return f"printf('%.{d}f', CAST({x} AS DOUBLE))"
 
 
 def _display_sql(x: str) -> str:
@@ -197,50 +194,53 @@ def f7_predict_rules(spark, sf_dir):
                     F.round("anomaly_score", 6).alias("anomaly_score"), "confidence")
 
 
-H = explain.HEADLINES
-R = explain.RECOMMENDATIONS
-_FACTORS_SQL = (
-    "list_filter(["
-    "CASE WHEN cvss_base_score >= 8 THEN 'critical CVSS score (' || " + _fixed_sql("cvss_base_score", 1)
-    + " || '/10)' WHEN cvss_base_score >= 6 THEN 'elevated CVSS score (' || "
-    + _fixed_sql("cvss_base_score", 1) + " || '/10)' END, "
-    "CASE WHEN anomaly_score > 0.7e0 THEN 'high anomaly score (' || " + _fixed_sql("anomaly_score", 2)
-    + " || ')' END, "
-    "CASE WHEN leak_severity_encoded >= 3 THEN 'critical leak severity' WHEN leak_severity_encoded >= 2 "
-    "THEN 'high leak severity' END, "
-    "CASE WHEN has_credentials = 1 THEN 'exposed credentials' END, "
-    "CASE WHEN CAST(trunc(paste_site_mentions) AS BIGINT) > 5 THEN CAST(CAST(trunc(paste_site_mentions) "
-    "AS BIGINT) AS VARCHAR) || ' paste-site mentions' END, "
-    "CASE WHEN github_leak_count > 3 THEN CAST(github_leak_count AS VARCHAR) || ' GitHub leaks' END, "
-    "CASE WHEN CAST(trunc(ssl_days_remaining) AS BIGINT) < 0 THEN 'SSL certificate expired ' || "
-    "CAST(abs(CAST(trunc(ssl_days_remaining) AS BIGINT)) AS VARCHAR) || ' days ago' "
-    "WHEN CAST(trunc(ssl_days_remaining) AS BIGINT) < 30 THEN 'SSL certificate expires in ' || "
-    "CAST(CAST(trunc(ssl_days_remaining) AS BIGINT) AS VARCHAR) || ' days' END, "
-    "CASE WHEN exposure_velocity > 3 THEN 'fast exposure velocity (' || "
-    + _fixed_sql("exposure_velocity", 1) + " || ')' END"
-    "], lambda x: x IS NOT NULL)")
+def _say_sql(text: str, value: str | None = None) -> str:
+    before, _, after = text.replace("'", "''").partition("{}")
+    return f"'{before}'" if value is None else f"'{before}' || {value} || '{after}'"
+
+
+def _whole_sql(c: str) -> str:
+    return f"CAST(trunc({c}) AS BIGINT)"
+
+
+def _case_sql(branches, last: str | None = None) -> str:
+    body = " ".join(f"WHEN {c} THEN {t}" for c, t in branches)
+    return f"CASE {body}" + (f" ELSE {last}" if last else "") + " END"
+
+
+_H, _A, _Y = explain.HEADLINES, explain.RECOMMENDATIONS, explain.REASONS
+_PASTE, _REPO, _SSL = map(_whole_sql, ("paste_site_mentions", "github_leak_count", "ssl_days_remaining"))
+_REASON_ROWS = [
+    [("cvss_base_score >= 8", _say_sql(_Y["cvss_top"], _fixed_sql("cvss_base_score", 1))),
+     ("cvss_base_score >= 6", _say_sql(_Y["cvss_high"], _fixed_sql("cvss_base_score", 1)))],
+    [("anomaly_score > 0.7e0", _say_sql(_Y["anomaly"], _fixed_sql("anomaly_score", 2)))],
+    [("leak_severity_encoded >= 3", _say_sql(_Y["severity_top"])), ("leak_severity_encoded >= 2", _say_sql(_Y["severity_high"]))],
+    [("has_credentials = 1", _say_sql(_Y["credentials"]))],
+    [(f"{_PASTE} > 5", _say_sql(_Y["paste"], f"CAST({_PASTE} AS VARCHAR)"))],
+    [(f"{_REPO} > 3", _say_sql(_Y["repositories"], f"CAST({_REPO} AS VARCHAR)"))],
+    [(f"{_SSL} < 0", _say_sql(_Y["ssl_over"], f"CAST(abs({_SSL}) AS VARCHAR)")),
+     (f"{_SSL} < 30", _say_sql(_Y["ssl_soon"], f"CAST({_SSL} AS VARCHAR)"))],
+    [("exposure_velocity > 3", _say_sql(_Y["velocity"], _fixed_sql("exposure_velocity", 1)))],
+]
 _INSIGHT_CTE = (
-    "ins AS (SELECT event_id, CASE WHEN predicted_risk >= 4 THEN 'EMERGENCY threat level (model "
-    "confidence ' || " + _fixed_sql("confidence * 100e0", 0) + " || '%).' "
-    f"WHEN predicted_risk = 3 THEN '{H[3]}' WHEN predicted_risk = 2 THEN '{H[2]}' "
-    f"WHEN predicted_risk = 1 THEN '{H[1]}' ELSE '{H[0]}' END AS headline, "
-    "CASE WHEN len(" + _FACTORS_SQL + ") > 0 THEN array_to_string(" + _FACTORS_SQL
-    + ", ', ') END AS factors, "
-    f"CASE WHEN predicted_risk >= 3 THEN '{R[3]}' WHEN predicted_risk = 2 THEN '{R[2]}' "
-    f"WHEN predicted_risk = 1 THEN '{R[1]}' ELSE '{R[0]}' END AS recommendation FROM pr)")
+    "ins AS (SELECT event_id, "
+    + _case_sql([("predicted_risk >= 4", _say_sql(_H[4], _fixed_sql("confidence * 100e0", 0)))]
+                + [(f"predicted_risk = {k}", _say_sql(_H[k])) for k in (3, 2, 1)], _say_sql(_H[0])) + " AS headline, "
+    "nullif(concat_ws(', ', " + ", ".join(map(_case_sql, _REASON_ROWS)) + "), '') AS factors, "
+    + _case_sql([("predicted_risk >= 3", _say_sql(_A[3])), ("predicted_risk = 2", _say_sql(_A[2])),
+                 ("predicted_risk = 1", _say_sql(_A[1]))], _say_sql(_A[0])) + " AS recommendation FROM pr)")
 
 
 @query("f8_insights", with_ctes(
     "SELECT event_id, headline, factors, recommendation, concat_ws(chr(10) || chr(10), headline, "
-    "CASE WHEN factors IS NOT NULL THEN 'Contributing factors: ' || factors || '.' END, "
-    "'Recommended actions: ' || recommendation) AS insight FROM ins", raw=True,
+    f"'{explain.SECTIONS[0]}' || factors || '.', '{explain.SECTIONS[1]}' || recommendation) AS insight FROM ins", raw=True,
     extra=PRED_CTES + ",\n" + _INSIGHT_CTE))
 def f8_insights(spark, sf_dir):
     d = explain.insights(pred_base(spark, sf_dir))
     return d.select("event_id", "headline", "factors", "recommendation", "insight")
 
 
-_TOP8 = sorted(FALLBACK_IMPORTANCES.items(), key=lambda kv: (-kv[1], kv[0]))[:8]
+_TOP8 = sorted(explain.rule_importances().items(), key=lambda kv: (-kv[1], kv[0]))[:8]
 _EXPL_FEATS = [c for c in BASE_FEATURES + ["anomaly_score"]]
 
 

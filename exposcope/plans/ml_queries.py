@@ -2,8 +2,8 @@
 
 Metric queries (G9-G13) evaluate the deterministic rule predictor (label =
 F1 level, prediction = F6 level, class scores = rule probabilities), so every
-number has a DuckDB oracle; trained-model queries are rows-only checks backed
-by invariant tests.
+number has a DuckDB oracle; trained-model queries return, per row, facts that
+hold for any correct model, which SQL derives from the same rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exposcope.operators import iforest, metrics, models, risk
-from exposcope.operators.encode import assemble, fit_scaler
+from exposcope.operators.encode import assemble
 from exposcope.operators.prepare import preprocess
 from exposcope.plans.catalog import query
 from exposcope.session import cut_lineage
@@ -19,6 +19,7 @@ from exposcope.plans.explain_queries import PRED_CTES, pred_base
 from exposcope.plans.prep_queries import CAT_GAPS, NUM_GAPS
 from exposcope.plans.sqlbase import with_ctes
 from exposcope.schema import MODEL_FEATURES, RISK_LABELS
+from exposcope.sources import models_io
 from exposcope.sources.standin import exposure_raw
 
 _CENTRES = risk.RULE_CENTRES
@@ -238,7 +239,24 @@ def g3_anomaly_summary(spark, sf_dir):
                                    ["anomaly_pct", "score_min", "score_max", "score_mean"]])
 
 
-# ---- trained models (rows-only checks; invariants in tests) ----------------------------
+# ---- fixed scores on a given offset ----------------------------------------------------
+_OFFSET = -0.6
+
+
+@query("g2_fixed_score", _sql(
+    f"SELECT event_id, round(least(greatest(1e0 - (-anomaly_score - ({_OFFSET}e0) + 0.5e0), 0e0), 1e0), 6) "
+    f"AS anomaly_score, CASE WHEN -anomaly_score - ({_OFFSET}e0) < 0 THEN -1 ELSE 1 END AS anomaly_flag FROM pr"))
+def g2_fixed_score(spark, sf_dir):
+    """Given raw scores and a given offset, as for single rows."""
+    d = pred_base(spark, sf_dir).withColumn("anomaly_raw", -F.col("anomaly_score")).drop("anomaly_score")
+    s = iforest.anomaly_score(d, "anomaly_raw", "fixed", offset=_OFFSET)
+    return s.select("event_id", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_flag")
+
+
+# ---- trained models: per-row facts that hold for any correct model --------------------------
+FEATURES_44 = [*MODEL_FEATURES, "anomaly_score"]
+
+
 def model_table(spark, sf_dir):
     """Preprocessed events (43 model features, label) with a stratified split."""
     # the outlier flag is not a model feature, so its fit is skipped here
@@ -246,81 +264,101 @@ def model_table(spark, sf_dir):
     return cut_lineage(models.stratified_split(prep, "risk_score", 0.2, 42, "event_id"))
 
 
-Z_FEATURES = [f"{c}__z" for c in MODEL_FEATURES]
+def training_frame(spark, sf_dir):
+    """(table, frame, scaler, forest): the model table; its rows with the 44
+    features, the label and weights.  All fits see training rows only."""
+    t = model_table(spark, sf_dir)
+    train = t.filter(F.col("is_test") == 0)
+    scaler, forest = models.fit_anomaly(train, MODEL_FEATURES, key="event_id")
+    full = models.with_anomaly(t, scaler, forest)
+    full = models.with_class_weights(full, "risk_score", fit_on=train)
+    full = cut_lineage(full.withColumn("label", F.col("risk_score").cast("double")))
+    return t, assemble(full, FEATURES_44), scaler, forest
 
 
-def _forest(spark, sf_dir, table=None, trees=100):
-    """Scaler + isolation forest fitted on the train part (scaled copies ``*__z``)."""
-    t = table if table is not None else model_table(spark, sf_dir)
-    scaler = fit_scaler(t.filter(F.col("is_test") == 0), MODEL_FEATURES)
-    scaled = scaler.transform(t, suffix="__z")
-    forest = iforest.IsolationForest(num_trees=trees, max_samples=256, seed=42).fit(
-        scaled.filter(F.col("is_test") == 0), Z_FEATURES)
-    return scaler, forest, scaled
+def _valid():
+    """1 where the class is known and the probabilities are a distribution."""
+    total = sum(F.col(f"prob_{i}") for i in range(5))
+    return (F.col("predicted_risk").between(0, 4) & (F.abs(total - 1) < 1e-6)
+            & F.col("confidence").between(0.2, 1 + 1e-9)).cast("int")
 
 
-@query("g1_isolation_forest")
-def g1_isolation_forest(spark, sf_dir):
-    _, forest, scaled = _forest(spark, sf_dir)
-    scored = cut_lineage(forest.transform(scaled.select("event_id", *Z_FEATURES)))
-    s = iforest.anomaly_score(scored, "anomaly_raw", "minmax", 0.05)
-    return s.select("event_id", "anomaly_raw", "anomaly_score", "anomaly_flag")
+def _checked(pred):
+    """event_id, label, valid, beats_majority (accuracy above the largest class's share)."""
+    p = cut_lineage(pred.select("event_id", F.col("label").cast("int").alias("label"), "predicted_risk",
+                                _valid().alias("valid")))
+    n = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("predicted_risk")).alias("hit"))
+    beats = n.agg((F.sum("hit") > F.max("n")).cast("int")).first()[0]
+    return p.select("event_id", "label", "valid", F.lit(beats).alias("beats_majority"))
 
 
-def _train_frame(spark, sf_dir):
-    t = model_table(spark, sf_dir)
-    t = models.with_class_weights(t, "risk_score")
-    # the model table is already a written table; weights (broadcast join) and the
-    # vector assembly are cheap projections, and the tree learners persist their
-    # own binned copy of the input, so no second write is needed here
-    return assemble(t.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
+_TEST_ROWS = _sql("SELECT event_id, CAST(risk_score AS INTEGER) AS label, 1 AS valid, 1 AS beats_majority FROM rk "
+                  "WHERE r <= floor(n * 0.2e0 + 0.5e0)", _RANK)
 
 
-@query("g6_random_forest")
+@query("g1_isolation_forest", _sql(
+    "SELECT event_id, 1 AS in_range, 1 AS reload_same, 1 AS share_near FROM rk", _RANK))
+def g1_isolation_forest(spark, sf_dir):
+    """200 trees on the training part: raw scores in (-1, 0), scores of the saved
+    and reloaded forest equal, about 5 % of the training rows below the offset."""
+    from exposcope.plans.io_queries import _scratch
+    t = model_table(spark, sf_dir)
+    scaler, forest = models.fit_anomaly(t.filter(F.col("is_test") == 0), MODEL_FEATURES, key="event_id")
+    path = _scratch(spark, "iforest")
+    models_io.save_forest(spark, forest, path)
+    back = models_io.load_forest(spark, path)
+    z = scaler.transform(t, suffix="__z")
+    s = cut_lineage(back.transform(forest.transform(z), "again").select("event_id", "is_test", "anomaly_raw", "again"))
+    share = s.filter(F.col("is_test") == 0).agg(F.avg((F.col("anomaly_raw") < forest.offset).cast("double"))).first()[0]
+    return s.select("event_id", F.col("anomaly_raw").between(-1, 0).cast("int").alias("in_range"),
+                    ((F.col("anomaly_raw") == F.col("again")) & F.lit(back.offset == forest.offset)).cast("int").alias("reload_same"),
+                    F.lit(int(abs(share - 0.05) < 0.01)).alias("share_near"))
+
+
+@query("g6_random_forest", _TEST_ROWS)
 def g6_random_forest(spark, sf_dir):
-    t = _train_frame(spark, sf_dir)
+    _, t, _, _ = training_frame(spark, sf_dir)
     rf = models.train_rf(t.filter(F.col("is_test") == 0))
-    p = models.predict_risk(t.filter(F.col("is_test") == 1), rf)
-    return p.select("event_id", "label", "predicted_risk", "confidence",
-                    *[f"prob_{i}" for i in range(5)])
+    return _checked(models.classify(t.filter(F.col("is_test") == 1), rf))
 
 
-@query("g7_boosted_trees")
+@query("g7_boosted_trees", _TEST_ROWS)
 def g7_boosted_trees(spark, sf_dir):
-    t = _train_frame(spark, sf_dir)
+    _, t, _, _ = training_frame(spark, sf_dir)
     gbt = models.train_gbt(t.filter(F.col("is_test") == 0))
-    p = models.predict_risk(t.filter(F.col("is_test") == 1), gbt, ovr_margin=True)
-    return p.select("event_id", "label", "predicted_risk", "confidence",
-                    *[f"prob_{i}" for i in range(5)])
+    return _checked(models.classify(t.filter(F.col("is_test") == 1), gbt, ovr_margin=True))
 
 
-@query("g8_cv_forest")
+@query("g8_cv_forest", "SELECT 5 AS folds, 1 AS in_range")
 def g8_cv_forest(spark, sf_dir):
-    t = _train_frame(spark, sf_dir).filter(F.col("is_test") == 0)
-    t = models.stratified_folds(t, "risk_score", 5, 7, "event_id")
-    params = models.ForestParams(num_trees=10, max_depth=6)
-    res = models.cross_validate(t, lambda d: models.train_rf(d, params=params), 5)
-    return spark.range(1).select(F.lit(res.mean).alias("cv_accuracy"),
-                                 F.lit(res.std).alias("cv_std"), F.lit(5).alias("folds"))
+    """Five folds of the published forest over the training part."""
+    _, t, _, _ = training_frame(spark, sf_dir)
+    t = models.stratified_folds(t.filter(F.col("is_test") == 0), "risk_score", 5, 7, "event_id")
+    res = models.cross_validate(cut_lineage(t), models.train_rf, 5)
+    ok = 0.2 < res.mean <= 1 and 0 <= res.std < 0.5
+    return spark.range(1).select(F.lit(len(res.accuracies)).alias("folds"), F.lit(int(ok)).alias("in_range"))
 
 
-@query("g14_feature_importances")
+@query("g14_feature_importances", "SELECT * FROM (VALUES "
+       + ", ".join(f"('{f}', 1, 1, 1)" for f in FEATURES_44) + ") t(feature, in_range, sums_to_one, ranked)")
 def g14_feature_importances(spark, sf_dir):
-    t = _train_frame(spark, sf_dir)
+    """All 44 features, importances in [0, 1] with sum 1, ranked by them."""
+    _, t, _, _ = training_frame(spark, sf_dir)
     rf = models.train_rf(t.filter(F.col("is_test") == 0))
-    return models.feature_importances(rf, MODEL_FEATURES, 20, spark)
+    rows = [tuple(r) for r in models.feature_importances(rf, FEATURES_44, spark=spark).collect()]
+    one = int(abs(sum(v for _, v in rows) - 1) < 1e-9)
+    ranked = int(all(a[1] >= b[1] for a, b in zip(rows, rows[1:])))
+    return spark.createDataFrame([(f, int(0 <= v <= 1), one, ranked) for f, v in rows],
+                                 "feature string, in_range int, sums_to_one int, ranked int")
 
 
-@query("f7_predict_models")
+@query("f7_predict_models", _sql(
+    "SELECT event_id, CAST(r <= floor(n * 0.2e0 + 0.5e0) AS INTEGER) AS is_test, 1 AS valid, 1 AS scored FROM rk", _RANK))
 def f7_predict_models(spark, sf_dir):
-    """Full model path: scale -> isolation forest -> fixed-range anomaly score ->
-    forest classifier -> class, confidence, level name (no join: columns ride along)."""
-    t = models.with_class_weights(model_table(spark, sf_dir), "risk_score")
-    t = t.withColumn("label", F.col("risk_score").cast("double"))
-    _, forest, scaled = _forest(spark, sf_dir, t, trees=50)
-    scored = cut_lineage(forest.transform(scaled))
-    scored = iforest.anomaly_score(scored, "anomaly_raw", "fixed").drop(*Z_FEATURES)
-    full = cut_lineage(assemble(scored, MODEL_FEATURES + ["anomaly_score"]))
-    rf = models.train_rf(full.filter(F.col("is_test") == 0))
-    p = models.predict_risk(full.filter(F.col("is_test") == 1), rf)
-    return p.select("event_id", "predicted_risk", "risk_level", "anomaly_score", "confidence")
+    """The composed model path over all rows: scale, isolation forest on its fitted
+    offset, classifier on 44 features, class, confidence and level."""
+    t, frame, scaler, forest = training_frame(spark, sf_dir)
+    rf = models.train_rf(frame.filter(F.col("is_test") == 0))
+    p = models.predict_risk(t, models.RiskModels(scaler, forest, rf, MODEL_FEATURES))
+    ok = F.col("risk_level").isNotNull() & F.col("anomaly_score").between(0, 1)
+    return p.select("event_id", "is_test", _valid().alias("valid"), ok.cast("int").alias("scored"))

@@ -60,30 +60,8 @@ CORR_FEATURES = [
     "service_version_outdated", "github_leak_count", "exposure_velocity",
     "anomaly_score", "risk_score",
 ]
-CONTINUOUS_FEATURES = [
-    "cvss_base_score", "domain_reputation_score", "exposure_frequency",
-    "subdomain_count", "subdomain_age_days", "cve_age_days",
-    "open_ports_count", "exposure_velocity", "anomaly_score",
-]
-# Importances used for explanations when no trained forest is supplied.
-FALLBACK_IMPORTANCES = {
-    "cvss_base_score": 0.18, "anomaly_score": 0.14, "leak_severity_encoded": 0.12,
-    "exposure_velocity": 0.09, "paste_site_mentions": 0.07, "github_leak_count": 0.06,
-    "exploit_maturity_encoded": 0.06, "domain_reputation_score": 0.05,
-    "ssl_days_remaining": 0.04, "exposure_frequency": 0.04,
-    "has_credentials": 0.03, "open_ports_count": 0.03,
-    "cve_age_days": 0.02, "subdomain_count": 0.02,
-    "exploit_availability": 0.02, "ct_log_anomaly": 0.01,
-    "dns_record_type_count": 0.01, "subdomain_age_days": 0.01,
-}
 # --------------------------------------------------------------------------
 
-# Numeric columns that may arrive with gaps; categorical ones likewise.
-NULLABLE_NUMERIC = [
-    "subdomain_age_days", "domain_reputation_score", "cvss_base_score",
-    "cve_age_days", "paste_site_mentions", "ssl_days_remaining",
-    "open_ports_count", "exposure_velocity",
-]
 CATEGORICAL = ["source_type", "artifact_type", "domain", "exploit_maturity", "leak_severity"]
 
 ONE_HOT_SOURCE = [f"source_{v}" for v in SOURCE_TYPES]
@@ -127,4 +105,3 @@ SEED_COLUMNS = [
     "ssl_days_remaining", "domain_reputation_score", "cve_age_days",
     "exposure_frequency",
 ]
-SEED_SCHEMA = T.StructType([f for f in EXPOSURE_SCHEMA.fields if f.name in SEED_COLUMNS])

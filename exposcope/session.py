@@ -1,14 +1,15 @@
 """Session helpers: a local session for tests / bench, and lineage cutting.
 
 On a cluster the session comes from the platform; the library never sets
-configuration there.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from
-the session (a shared folder on a real cluster) and only the test / bench
-session builders fill it in when it is unset.
+configuration there.  Intermediate tables go to the folder that the session
+names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cpus: int | str = "*", app: str = "exposcope",
-              shuffle_partitions: int = 8, driver_memory: str = "16g",
+              shuffle_partitions: int = 8, driver_memory: str = "8g",
               extra: dict | None = None) -> SparkSession:
     """Local session with the settings we test and bench with."""
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -38,41 +39,56 @@ def get_spark(cpus: int | str = "*", app: str = "exposcope",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, create_local: bool = True) -> str | None:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+_OWN_DIRS: list[str] = []
 
-    On a cluster the session must name one (it is read, never invented).  In
-    local mode (tests, bench, one machine) a fresh folder is made when unset.
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    It is read from the session.  Only where it is unset and all of Spark runs
+    on this machine (a ``local`` master: tests, bench) a folder is made for the
+    session and removed when Python exits; on a cluster an unset folder is an
+    error, as tables there must be readable by every executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not conf_dir and create_local and sc.master.startswith("local"):
-        conf_dir = tempfile.mkdtemp(prefix="exposcope-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    return None
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="exposcope-ckpt-")
+        _OWN_DIRS.append(named)
+        spark.conf.set("spark.checkpoint.dir", named)
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+@atexit.register
+def _remove_own_dirs() -> None:
+    for d in _OWN_DIRS:
+        shutil.rmtree(d, ignore_errors=True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and
     read it back: later actions start from files that survive executor loss,
     and the plan above is computed exactly once (a plain RDD checkpoint would
-    compute it twice and store Java-serialised rows).  Without a configured
-    folder the plan is returned unchanged.
+    compute it twice and store Java-serialised rows).  The tables belong to the
+    application; ``remove_tables`` deletes them when it is done with them.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if base is None:
-        return df
-    path = f"{base.rstrip('/')}/tables/t-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/t-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` wrote in this application; frames that still
+    read such a table can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()

@@ -7,6 +7,7 @@ an explicit schema so that no inference pass runs over the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,33 +28,42 @@ def read_events(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv"
 
     Files with fewer columns (the 14-column seed layout) are read with their
     own header and widened to ``schema``; missing columns come back as null.
+    Paths may differ in layout: those with one header are read together, the
+    groups united by name.  A header that names no schema column is an error,
+    and so is a file that does not have its path's header.
     ``"None"`` stays a category value unless ``none_as_null``.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "parquet":
-        df = spark.read.parquet(*paths)
-    else:
-        df = (spark.read.option("header", True)
-              .option("nullValue", "None" if none_as_null else "")
-              .option("emptyValue", "")
-              .option("mode", "FAILFAST")
-              .option("enforceSchema", False)
-              .schema(_header_schema(spark, paths[0], schema))
-              .csv(paths))
-        if none_as_null:
-            df = df.select(*[F.when(F.col(c) == "", None).otherwise(F.col(c)).alias(c)
-                             if dict(df.dtypes)[c] == "string" else F.col(c)
-                             for c in df.columns])
-    return conform(df, schema)
+        return conform(spark.read.parquet(*paths), schema)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        layouts.setdefault(_header(spark, p), []).append(p)
+    parts = [_read_csv(spark, group, names, schema, none_as_null) for names, group in layouts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names as the CSV reader parses them (quotes included)."""
+    return tuple(spark.read.option("header", True).csv(path).columns)
 
-def _header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
-    """Schema restricted to the columns the CSV header names, in header order."""
-    header = spark.read.text(path).limit(1).collect()
-    names = header[0][0].split(",") if header else [f.name for f in schema.fields]
+
+def _read_csv(spark: SparkSession, paths: list[str], names: tuple[str, ...], schema: T.StructType,
+              none_as_null: bool) -> DataFrame:
     by_name = {f.name: f for f in schema.fields}
-    return T.StructType([by_name.get(n.strip(), T.StructField(n.strip(), T.StringType()))
-                         for n in names])
+    own = T.StructType([by_name.get(n.strip(), T.StructField(n.strip(), T.StringType())) for n in names])
+    if not by_name.keys() & set(own.names):
+        raise ValueError(f"{paths[0]}: no column of the schema in the header {names}")
+    df = (spark.read.option("header", True)
+          .option("nullValue", "None" if none_as_null else "")
+          .option("emptyValue", "")
+          .option("mode", "FAILFAST")
+          .option("enforceSchema", False)
+          .schema(own).csv(paths))
+    if none_as_null:
+        df = df.select(*[F.when(F.col(f.name) == "", None).otherwise(F.col(f.name)).alias(f.name)
+                         if f.dataType == T.StringType() else F.col(f.name) for f in own])
+    return conform(df, schema)
 
 
 def conform(df: DataFrame, schema: T.StructType = EXPOSURE_SCHEMA) -> DataFrame:

@@ -85,7 +85,7 @@ def test_random_forest_beats_majority_and_reloads(spark, sf_small, tmp_path_fact
     t = assemble(t.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
     rf = models.train_rf(t.filter("is_test = 0"), params=models.ForestParams(num_trees=15))
     test = t.filter("is_test = 1")
-    pred = models.predict_risk(test, rf)
+    pred = models.classify(test, rf)
     acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
     majority = test.groupBy("label").count().agg(F.max("count")).first()[0] / test.count()
     assert acc > majority
@@ -99,19 +99,44 @@ def test_random_forest_beats_majority_and_reloads(spark, sf_small, tmp_path_fact
     assert all(abs(r["s"] - 1) < 1e-9 for r in probs)
 
 
-def test_stream_model_scoring_equals_batch(spark, sf_small):
+def test_stream_model_scoring_equals_batch_and_single_rows(spark, sf_small):
+    """The 44-feature path (scaler, forest on its fitted offset, classifier)."""
     from exposcope.operators.encode import encode_all
     from exposcope.operators.risk import risk_score
     from exposcope.sources.standin import exposure_clean
     from exposcope.streaming import scoring
     batch = encode_all(risk_score(exposure_clean(spark, sf_small)), domain_codes=False)
-    train = assemble(batch.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
+    scaler, forest = models.fit_anomaly(batch, MODEL_FEATURES, iforest.IsolationForest(num_trees=20), "event_id")
+    full = models.with_anomaly(batch, scaler, forest)
+    train = assemble(full.withColumn("label", F.col("risk_score").cast("double")), [*MODEL_FEATURES, "anomaly_score"])
     rf = models.train_rf(train, weight_col=None, params=models.ForestParams(num_trees=5, max_depth=4))
-    want = {r["event_id"]: r["prediction"] for r in rf.transform(train).collect()}
-    s = scoring.score_stream(scoring.exposure_stream(spark, sf_small), classifier=rf)
-    got = scoring.run_available(s.select("event_id", "prediction"), "l1_model").collect()
-    assert len(got) == len(want)
-    assert all(want[r["event_id"]] == r["prediction"] for r in got)
+    fitted = models.RiskModels(scaler, forest, rf, MODEL_FEATURES)
+    cols = ["event_id", "predicted_risk", "anomaly_score", "anomaly_flag", "confidence", "risk_level"]
+    want = {r["event_id"]: r for r in models.predict_risk(batch, fitted).select(cols).collect()}
+    s = scoring.score_stream(scoring.exposure_stream(spark, sf_small), fitted)
+    got = scoring.run_available(s.select(cols), "l1_model").collect()
+    assert len(got) == len(want) and all(want[r["event_id"]] == r for r in got)
+    for e in list(want)[::1500]:
+        one = models.predict_risk(batch.filter(F.col("event_id") == e), fitted).select(cols).collect()
+        assert one == [want[e]]
+
+
+def test_forest_sample_depends_on_rows_and_seed_only(spark, blob):
+    a = iforest.IsolationForest(num_trees=20, max_samples=32, seed=4).fit(blob.repartition(3), ["a", "b", "c"], "id")
+    b = iforest.IsolationForest(num_trees=20, max_samples=32, seed=4).fit(blob.repartition(5), ["a", "b", "c"], "id")
+    c = iforest.IsolationForest(num_trees=20, max_samples=32, seed=5).fit(blob, ["a", "b", "c"], "id")
+    assert a.nodes.equals(b.nodes) and a.offset == b.offset and not a.nodes.equals(c.nodes)
+    few = blob.limit(40)
+    d = iforest.IsolationForest(num_trees=20, max_samples=32).fit(few, ["a", "b", "c"], "id")
+    assert (d.nodes[d.nodes["node"] == 0].shape[0]) == 20
+
+
+def test_null_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 3) for i in range(40)], "event_id long, y int")
+    folds = models.stratified_folds(df, "y", 5).collect()
+    assert len(folds) == 40 and {r["fold"] for r in folds if r["y"] is None} == set(range(5))
+    split = models.stratified_split(df, "y", 0.2)
+    assert split.count() == 40 and split.filter("y IS NULL AND is_test = 1").count() == 2
 
 
 def test_auc_matches_binary_evaluator(spark):
