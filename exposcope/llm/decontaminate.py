@@ -74,37 +74,40 @@ def build_index(texts: DataFrame, terms: DataFrame) -> DataFrame:
                    .select("term", "key", F.explode("at").alias("pos")))
 
 
-def test_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                 size: int = WINDOW) -> DataFrame:
-    """(item, at, terms): every run of ``size`` words; an item of fewer words, but
-    not none, is one window.  Repeated items give their windows once."""
-    w = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words")) \
-        .where(F.size("words") > 0).distinct()
+def test_units(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(unit, item, words): each different test text of each item that has words."""
+    return items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words")) \
+        .where(F.size("words") > 0).distinct() \
+        .select(F.xxhash64(F.col("item"), F.concat_ws(" ", "words")).alias("unit"), "item", "words")
+
+
+def windows_of(units: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(unit, at, terms): every run of ``size`` words; a text of fewer words is one window."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
-    return w.select("item", "words", F.explode(starts).alias("at")) \
-        .select("item", "at", F.slice("words", F.col("at") + 1, size).alias("terms"))
+    return units.select("unit", "words", F.explode(starts).alias("at")) \
+        .select("unit", "at", F.slice("words", F.col("at") + 1, size).alias("terms"))
 
 
 def rarest_terms(windows: DataFrame, lengths: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(item, at, rank, term, offset) of each window's rarest terms.  Windows with
+    """(unit, at, rank, term, offset) of each window's rarest terms.  Windows with
     a term that no text holds are left out, as they cannot occur."""
-    term = windows.select("item", "at", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    term = windows.select("unit", "at", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     found = term.join(lengths, "term")
-    whole = found.groupBy("item", "at", "size").agg(
+    whole = found.groupBy("unit", "at", "size").agg(
         F.count("*").alias("held"), F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
     return whole.where("held = size").select(
-        "item", "at", F.posexplode(F.slice("by", 1, lists)).alias("rank", "t")) \
-        .select("item", "at", "rank", F.col("t.term").alias("term"), F.col("t.offset").alias("offset"))
+        "unit", "at", F.posexplode(F.slice("by", 1, lists)).alias("rank", "t")) \
+        .select("unit", "at", "rank", F.col("t.term").alias("term"), F.col("t.offset").alias("offset"))
 
 
 def intersect(rarest: DataFrame, index: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(item, at, key, start): where the shifted lists of a window's rarest terms meet."""
+    """(unit, at, key, start): where the shifted lists of a window's rarest terms meet."""
     one = rarest.where("rank = 0").join(index, "term") \
-        .select("item", "at", "key", (F.col("pos") - F.col("offset")).alias("start"))
+        .select("unit", "at", "key", (F.col("pos") - F.col("offset")).alias("start"))
     got = one
     for r in range(1, lists):
-        more = rarest.where(F.col("rank") == r).select("item", "at", "term", "offset")
-        want = got.join(more, ["item", "at"], "left")
+        more = rarest.where(F.col("rank") == r).select("unit", "at", "term", "offset")
+        want = got.join(more, ["unit", "at"], "left")
         # a window with fewer terms than lists has nothing left to intersect
         short = want.where(F.col("term").isNull()).select(got.columns)
         got = want.where(F.col("term").isNotNull()) \
@@ -119,28 +122,36 @@ def phrase_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id",
     (item, start, size) per window occurrence, ``start`` counting words from 0
     (from 1 where the text begins with a separator).
 
-    The index is built from ``texts`` (columns key, text).  Candidates of one text
-    are bounded by its length and the items; each is compared word by word.
+    The index is built from ``texts`` (columns key, text).  Windows of a test text
+    that begin at one shift against a training text form one candidate, so a
+    text's candidates are bounded by the passages it shares; each window is
+    compared word by word.  Only (key, text) of the texts is shuffled, once, and
+    the same way at any size.
     """
-    windows = written(test_windows(items, id_col, text_col, size))
+    units = written(test_units(items, id_col, text_col))
+    windows = written(windows_of(units, size))
     vocab = windows.select(F.explode("terms").alias("term")).distinct()
     vocab = broadcast_if_small(written(vocab), F.octet_length("term") + 48)
     lengths = written(list_lengths(texts, vocab))
     rarest = written(rarest_terms(windows, lengths))
     needed = broadcast_if_small(written(rarest.select("term").distinct()), F.octet_length("term") + 48)
     index = build_index(texts, needed)
-    small = broadcast_if_small(windows, F.size("terms") * 24 + 64)
-    found = written(intersect(rarest, index).distinct()).join(small, ["item", "at"]) \
-        .groupBy("key").agg(F.collect_list(F.struct("item", "start", "terms")).alias("__c"))
-    found = written(found)
-    size_of = F.aggregate("__c", F.lit(0), lambda a, c: a + F.size(c["terms"]) * 24 + 64)
-    found = broadcast_if_small(found, size_of)
-    got = texts.join(found, "key").withColumn("__raw", raw_words(F.col("text"))) \
-        .withColumn("__words", F.transform("__raw", _fold))
-    same = lambda c: (c["start"] >= 0) & (F.slice("__words", F.greatest(c["start"], F.lit(0)) + 1, F.size(c["terms"])) == c["terms"])
-    return got.select("key", F.transform(F.filter("__c", same), lambda c: F.struct(
-        c["item"].alias("item"), c["start"].alias("start"), F.size(c["terms"]).alias("size"))).alias("hits")) \
-        .dropDuplicates(["key"])
+    small = broadcast_if_small(units, F.size("words") * 24 + 64)
+    found = intersect(rarest, index).groupBy("key", "unit", (F.col("start") - F.col("at")).alias("shift")) \
+        .agg(F.collect_set("at").alias("at")).join(small, "unit") \
+        .groupBy("key").agg(F.collect_list(F.struct("item", "shift", "at", "words")).alias("__c"))
+    found = written(found).hint("shuffle_merge")
+    got = texts.join(found, "key").withColumn("__words", F.transform(raw_words(F.col("text")), _fold))
+
+    def same(c, at):
+        here = F.slice("__words", F.greatest(c["shift"] + at, F.lit(0)) + 1, F.least(F.size(c["words"]), F.lit(size)))
+        return (c["shift"] + at >= 0) & (here == F.slice(c["words"], at + 1, size))
+
+    hits = F.flatten(F.transform("__c", lambda c: F.transform(
+        F.filter(c["at"], lambda at: same(c, at)),
+        lambda at: F.struct(c["item"].alias("item"), (c["shift"] + at).alias("start"),
+                            F.least(F.size(c["words"]), F.lit(size)).alias("size")))))
+    return got.select("key", hits.alias("hits")).dropDuplicates(["key"])
 
 
 def proximity_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -152,7 +163,7 @@ def proximity_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id
     Lists are met from the rarest term on: an occurrence of it opens a scope, cut
     into blocks of ``slop`` words so that the other lists join on (key, block).
     """
-    every = written(test_windows(items, id_col, text_col, 1 << 20))
+    every = written(test_units(items, id_col, text_col).select("item", F.col("words").alias("terms")))
     vocab = broadcast_if_small(written(every.select(F.explode("terms").alias("term")).distinct()),
                                F.octet_length("term") + 48)
     lengths = written(list_lengths(texts, vocab))
@@ -175,9 +186,10 @@ def proximity_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id
     return got.select("key", "item", "start", "end").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus n_words, n_hit, n_items, items_sha256, contaminated (columns of
-    these names are replaced).
+def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text",
+                  keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, else all) plus n_words, n_hit, n_items,
+    items_sha256, contaminated (columns of these names are replaced).
 
     A word is hit if it lies in an occurrence of any item's window; a text is
     contaminated if it has hits and 1 word in HIT_SHARE at least is hit.  Null and
@@ -194,7 +206,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text") ->
     hits = written(hits.select("key", F.size(covered).cast("long").alias("n_hit"),
                                F.size(names).cast("long").alias("n_items"),
                                F.sha2(F.array_join(names, ","), 256).alias("items_sha256")))
-    rest = [c for c in docs.columns if c not in added]
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in added]
     src = docs.select(F.struct(*rest).alias("__row"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"),
                       _count(raw_words(F.col(text_col))).alias("n_words"))
     hits = broadcast_if_small(hits.where("n_hit > 0"), 160)
@@ -227,5 +239,4 @@ FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
 
 @query("op4_decontamination", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
