@@ -9,9 +9,9 @@
 4. Survivors are verified exactly on their full sets.
 
 Buckets are first tested against one anchor each, so a bucket of k nodes makes
-k - 1 pairs; only members that are still in another component than the rest of
-their bucket are compared further, blockwise in numpy where a bucket is large.
-Links join nodes to components.
+k - 1 pairs.  Members that are still in another component than the rest of their
+bucket meet other anchors, and those left after that their whole bucket,
+blockwise in numpy where it is large.  Links join nodes to components.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ BATCHES = (32, 64, 96, 128, 192, 256, VALUES)
 MISS = 1e-6
 #: Chunks into which the partners of one anchor are dealt.
 CHUNKS = 256
-#: Buckets with more open members than this are compared in blocks of this size.
+#: Further turns with other anchors for members that are off their bucket's main component.
+TURNS = 2
+#: Larger buckets are then compared in blocks of this size.
 BLOCK = 64
 
 _MULTIPLIERS = np.random.default_rng(20_240_101).integers(0, 1 << 31, VALUES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -163,6 +165,16 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(broadcast_if_small(per, 48), "key")
 
 
+def star_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs between the open members of a bucket and one member of its main
+    component, another one each turn and in each bucket."""
+    main = open_.where("component = main").groupBy("key").agg(
+        F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("anchor"))
+    main = broadcast_if_small(written(main), 32)
+    both = open_.where("component <> main").select("key", "node").join(main, "key")
+    return both.select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b")).distinct()
+
+
 def cross_pairs(open_: DataFrame) -> DataFrame:
     """Pairs between the components of small buckets; one side is off the main one."""
     s = open_.where(F.col("members") <= BLOCK)
@@ -172,35 +184,42 @@ def cross_pairs(open_: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _block_pairs(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Survivors between a block of open members and a block of their bucket."""
+def _block_links(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block of open members and a block of their bucket, one for
+    each component that a member is linked to."""
     found = []
     right = right.rename(columns=lambda c: c.removeprefix("r_"))
     if len(left) and len(right):
         sl, vl = _unpack(left["value"])
         sr, vr = _unpack(right["value"])
-        cr, nr = right["component"].to_numpy(), right["node"].to_numpy()
+        component, node, full = right["component"].to_numpy(), right["node"].to_numpy(), right["full"].tolist()
         for i in range(len(left)):
-            other = np.flatnonzero(cr != left["component"].iat[i])
-            if len(other):
-                keep = other[survivors(np.full(len(other), sl[i]), np.repeat(vl[i:i + 1], len(other), 0), sr[other], vr[other])]
-                found.append(pd.DataFrame({"a": np.minimum(left["node"].iat[i], nr[keep]), "b": np.maximum(left["node"].iat[i], nr[keep])}))
-    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-
-def block_survivors(open_: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Survivors in large buckets: the members off the main component, in blocks,
-    meet their bucket's blocks; a group holds two blocks, pairs never become rows."""
+            other = np.flatnonzero(component != left["component"].iat[i])
+            keep = other[survivors(np.full(len(other), sl[i]), np.repeat(vl[i:i + 1], len(other), 0), sr[other], vr[other])]
+            done = set()
+            for k in keep:
+                if component[k] not in done and _similar(left["full"].iat[i], full[k]):
+                    done.add(component[k])
+                    found.append((left["node"].iat[i], node[k]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def block_links(open_: DataFrame, values: DataFrame) -> DataFrame:
+    """Links (a, b) in large buckets: the members off the main component, in blocks,
+    meet their bucket's blocks.  A group holds two blocks with their signatures
+    and full sets; pairs never become rows."""
     s = open_.where(F.col("members") > BLOCK).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")) \
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .join(sigs, "node")
+        .join(values, "node")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = s.where("component <> main").withColumn("i", F.col("mine")).withColumn("j", each)
-    right = s.withColumn("j", F.col("mine")).withColumn("i", each)
-    cols = ["key", "i", "j", "node", "component", "value"]
+    # blocks without an open member meet nobody
+    asked = left.select("key", "i").distinct()
+    right = s.withColumn("j", F.col("mine")).join(broadcast_if_small(written(asked), 32), "key")
+    cols = ["key", "i", "j", "node", "component", "value", "full"]
     other = right.select(*[F.col(c).alias(f"r_{c}") for c in cols])
     return left.select(cols).groupBy("key", "i", "j").cogroup(other.groupBy("r_key", "r_i", "r_j")) \
-        .applyInPandas(_block_pairs, "a long, b long").distinct()
+        .applyInPandas(_block_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -244,17 +263,25 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     met = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     met = broadcast_if_small(met, 24)
     sigs = written(nodes.join(met, "node", "left_semi"))
-    likely = written(compare(pairs, sigs, _bayes).distinct())
-    full = full_sets(src, likely)
-    links = written(compare(likely, full, _exact).distinct())
+    links = verified_links(pairs, sigs, src)
     labels = written(connected_components(links))
 
-    rest = written(open_members(members.select("key", "node"), labels))
-    again = cross_pairs(rest).join(pairs, ["a", "b"], "left_anti")
-    likely2 = written(compare(written(again), sigs, _bayes).distinct().unionByName(block_survivors(rest, sigs)).distinct())
-    if likely2.limit(1).count():
-        more = compare(likely2, full_sets(src, likely2), _exact).distinct()
-        labels = written(connected_components(links.unionByName(more)))
+    members = members.select("key", "node")
+    rest = written(open_members(members, labels))
+    full = full_sets(src, rest.select("node").distinct())
+    for turn in range(TURNS):
+        if not rest.limit(1).count():
+            break
+        likely = written(compare(written(star_pairs(rest, turn)), sigs, _bayes).distinct())
+        links = written(links.unionByName(compare(likely, full, _exact)).distinct())
+        labels = written(connected_components(links))
+        rest = written(open_members(members, labels))
+    if rest.limit(1).count():
+        small = written(cross_pairs(rest).join(pairs, ["a", "b"], "left_anti"))
+        likely = written(compare(small, sigs, _bayes).distinct())
+        both = sigs.join(full.withColumnRenamed("value", "full"), "node")
+        links = written(links.unionByName(compare(likely, full, _exact)).unionByName(block_links(rest, both)).distinct())
+        labels = written(connected_components(links))
 
     of = sets.join(copies, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("digest").isNotNull(), F.coalesce("first", "doc_id")).alias("node"))
@@ -264,10 +291,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def full_sets(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, value): the full shingle sets of the pairs' nodes only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = broadcast_if_small(written(ids), 24)
+def verified_links(pairs: DataFrame, sigs: DataFrame, src: DataFrame) -> DataFrame:
+    """The pairs that no posterior bound prunes and that are linked on their full sets."""
+    likely = written(compare(pairs, sigs, _bayes).distinct())
+    nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    return written(compare(likely, full_sets(src, nodes), _exact).distinct())
+
+
+def full_sets(src: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, value): the full shingle sets of the listed nodes only."""
+    ids = broadcast_if_small(written(nodes.withColumnRenamed("node", "doc_id")), 24)
     wanted = src.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     return written(map_texts(wanted, "text", ["node"], "value binary",
                              lambda: lambda texts: [(shingle_set(t).tobytes(),) for t in texts]))
