@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposcope.functions.columns import risk_label
-from exposcope.operators.joins import attach
+from exposcope.operators.joins import attach, running_count
 from exposcope.operators.quantiles import quantiles_of_counts
 from exposcope.session import cut_lineage
 from exposcope.schema import RISK_LABELS
@@ -219,13 +219,12 @@ def pair_sample(df: DataFrame, cols: Sequence[str], n: int = 3000, seed: int = 4
 
 def crosstab_pct(df: DataFrame, row: str, col: str = "risk_score",
                  values: Sequence = tuple(range(5)), names: Sequence[str] = RISK_LABELS) -> DataFrame:
-    """Counts of ``row`` x ``col`` pivoted on a fixed value list, as row %."""
-    p = df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1)))
-    cols = [str(v) for v in values]
-    p = p.na.fill(0, subset=cols)
-    total = sum(F.col(c) for c in cols)
-    return p.select(row, *[(F.col(c) * 100.0 / total).alias(f"pct_{nm}")
-                           for c, nm in zip(cols, names)])
+    """Shares of ``values`` among all rows of each ``row`` value, in %; rows
+    with another value (or none) count in the total, so what is missing to 100
+    is theirs."""
+    hit = [F.count_if(F.col(col) == v).alias(f"__{i}") for i, v in enumerate(values)]
+    return df.groupBy(row).agg(F.count(F.lit(1)).alias("__n"), *hit).select(
+        row, *[(F.col(f"__{i}") * 100.0 / F.col("__n")).alias(f"pct_{nm}") for i, nm in enumerate(names)])
 
 
 def sort_events(df: DataFrame, ts: str = "ts", key: str = "event_id") -> DataFrame:
@@ -233,6 +232,14 @@ def sort_events(df: DataFrame, ts: str = "ts", key: str = "event_id") -> DataFra
     return df.orderBy(ts, key)
 
 
+def with_position(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """The place (from 1) of each row in the order that ``ordered`` has: row
+    numbers inside partitions, shifted by the sizes of earlier partitions."""
+    at = ordered.withColumn("__at", F.monotonically_increasing_id()).withColumn("__one", F.lit(1))
+    return running_count(cut_lineage(at), [], "__at", "__one", out) \
+        .withColumn(out, F.col(out) + 1).drop("__at", "__one")
+
+
 def top_k(df: DataFrame, col: str, k: int, key: str | None = None) -> DataFrame:
     """K rows with the largest ``col`` (ties by ``key``)."""
     order = [F.col(col).desc()] + ([F.col(key)] if key else [])

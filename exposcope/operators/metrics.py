@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from exposcope.operators.joins import attach, running_count
+from exposcope.session import cut_lineage
+
 from exposcope.schema import RISK_LABELS
 
 
@@ -89,22 +92,23 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                      classes: Sequence[int] = tuple(range(5))) -> DataFrame:
-    """rows = true class, one count column per predicted class (fixed list, 0-filled)."""
-    p = (pred.groupBy(F.col(label).cast("int").alias("label"))
-         .pivot(prediction, list(classes)).agg(F.count(F.lit(1))))
-    cols = [str(c) for c in classes]
-    p = p.na.fill(0, subset=cols)
-    return p.select("label", *[F.col(c).cast("long").alias(f"pred_{c}") for c in cols])
+    """rows = true class, one count column per predicted class; with a
+    prediction outside ``classes`` (or none) there is a column ``pred_other`` too."""
+    counts = cut_lineage(pred.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).alias("p"))
+                         .agg(F.count(F.lit(1)).alias("n")))
+    known = F.coalesce(F.col("p").isin(list(classes)), F.lit(False))
+    cols = [F.coalesce(F.sum(F.when(F.col("p") == c, F.col("n"))), F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes]
+    if counts.where(~known).limit(1).count():
+        cols.append(F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).cast("long").alias("pred_other"))
+    return counts.groupBy("label").agg(*cols)
 
 
 def roc_points(pred: DataFrame, label: str = "label",
                score_cols: Sequence[str] = tuple(f"prob_{i}" for i in range(5)),
-               digits: int | None = 4) -> DataFrame:
-    """One-vs-rest ROC points per class at every distinct score (ties merged).
-
-    Scores are rounded to ``digits`` first, so each class has at most
-    10^digits + 1 points: the ordered window per class stays bounded however
-    many rows are scored (``digits=None`` keeps raw scores).
+               digits: int | None = None) -> DataFrame:
+    """One-vs-rest ROC points per class at every distinct score (ties merged),
+    exact on the scores as they are (``digits`` rounds them first).  Cumulative
+    counts are running counts over range partitions, so no task holds a class.
     """
     def sc(c):
         x = F.col(c).cast("double")
@@ -117,14 +121,14 @@ def roc_points(pred: DataFrame, label: str = "label",
                        (F.col("__y") == F.col("__s.cls")).cast("long").alias("pos"))
     g = long.groupBy("class", "score").agg(F.sum("pos").alias("p"),
                                            F.sum(1 - F.col("pos")).alias("q"))
-    w = Window.partitionBy("class").orderBy(F.col("score").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    tot = Window.partitionBy("class")
-    g = g.withColumns({"cum_p": F.sum("p").over(w), "cum_q": F.sum("q").over(w),
-                       "P": F.sum("p").over(tot), "Q": F.sum("q").over(tot)})
+    g = cut_lineage(g)
+    total = g.groupBy("class").agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    g = running_count(running_count(g, ["class"], "score", "p", "bp", descending=True),
+                      ["class"], "score", "q", "bq", descending=True)
+    g = attach(g, total, ["class"]).withColumns({"cum_p": F.col("bp") + F.col("p"), "cum_q": F.col("bq") + F.col("q")})
     return g.select("class", "score",
-                    F.when(F.col("P") == 0, None).otherwise(F.col("cum_p") / F.col("P")).alias("tpr"),
-                    F.when(F.col("Q") == 0, None).otherwise(F.col("cum_q") / F.col("Q")).alias("fpr"))
+                    F.when(F.col("all_p") == 0, None).otherwise(F.col("cum_p") / F.col("all_p")).alias("tpr"),
+                    F.when(F.col("all_q") == 0, None).otherwise(F.col("cum_q") / F.col("all_q")).alias("fpr"))
 
 
 def roc_auc(points: DataFrame) -> DataFrame:

@@ -46,9 +46,10 @@ def dataset_summary(df: DataFrame, ts_col: str | None = "ts") -> DataFrame:
     return df.agg(*exprs)
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    """C9 (schema part): column names and types, from metadata only."""
-    return list(df.dtypes)
+def column_types(df: DataFrame) -> DataFrame:
+    """C9 (schema part): position, name and type of each column, from metadata only."""
+    rows = [(i + 1, c, t) for i, (c, t) in enumerate(df.dtypes)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 2,
@@ -93,22 +94,16 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] = ()) -> DataFram
 def preprocess_report(raw: DataFrame, cleaned: DataFrame, flagged: DataFrame,
                       outlier_col: str = "is_outlier") -> DataFrame:
     """Cleaning funnel — nulls imputed, duplicates dropped, outlier rows, final size."""
-    nulls = raw.agg(sum(F.count_if(F.col(c).isNull()) for c in raw.columns)
-                    .cast("long").alias("v"))
-    before = raw.agg(F.count(F.lit(1)).alias("n_raw"))
-    after = cleaned.agg(F.count(F.lit(1)).alias("n_clean"))
-    out = flagged.agg(F.sum(outlier_col).cast("long").alias("n_out"),
-                      F.count(F.lit(1)).alias("n_final"))
-    parts = [
-        nulls.select(F.lit("nulls_imputed").alias("step"), F.col("v").alias("value")),
-        before.select(F.lit("rows_raw").alias("step"), F.col("n_raw").alias("value")),
-        after.select(F.lit("rows_deduplicated").alias("step"), F.col("n_clean").alias("value")),
-        out.select(F.lit("outlier_rows").alias("step"), F.col("n_out").alias("value")),
-        out.select(F.lit("rows_final").alias("step"), F.col("n_final").alias("value")),
-        before.select(F.lit("columns_final").alias("step"),
-                      F.lit(len(flagged.columns)).cast("long").alias("value")),
-    ]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    before = raw.agg(F.count(F.lit(1)).alias("rows"),
+                     sum(F.count_if(F.col(c).isNull()) for c in raw.columns).cast("long").alias("nulls"))
+    after = cleaned.agg(F.count(F.lit(1)).alias("rows"))
+    end = flagged.agg(F.count(F.lit(1)).alias("rows"), F.sum(outlier_col).cast("long").alias("out"))
+    width = F.lit(len(flagged.columns)).cast("long")
+
+    def long(one_row, **steps):  # one aggregate per table, turned long
+        each = [F.struct(F.lit(k).alias("step"), v.alias("value")) for k, v in steps.items()]
+        return one_row.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+
+    return (long(before, nulls_imputed=F.col("nulls"), rows_raw=F.col("rows"))
+            .unionByName(long(after, rows_deduplicated=F.col("rows")))
+            .unionByName(long(end, outlier_rows=F.col("out"), rows_final=F.col("rows"), columns_final=width)))

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from exposcope.operators.joins import attach
+
 
 def _w(by: Sequence[str], order: str = "date"):
     w = Window.orderBy(order)
@@ -50,30 +52,35 @@ def rolling_std(daily: DataFrame, n: int = 30, min_periods: int = 7, col: str =
                                         F.stddev_samp(col).over(w)))
 
 
-def ewma_column(col: str, span: float = 14, by: Sequence[str] = (), order: str = "date",
-                horizon: int | None = None) -> Column:
-    """I4 as a column: recursive EWMA (adjust=False, y0 = x0).
-
-    y_t = (1-a) y_{t-1} + a x_t is folded over the last ``horizon`` rows of an
-    ordered window; weights older than the horizon are below 1e-16 relative,
-    so the result equals the full recursion to double precision while each
-    row reads a bounded frame (no per-series array of unbounded length).
+def ewma(daily: DataFrame, span: float = 14, col: str = "mean_risk", out: str | None = None,
+         by: Sequence[str] = (), order: str = "date", block: int = 128) -> DataFrame:
+    """I4: recursive EWMA (adjust=False, y0 = x0), span 14 by default; rows without
+    a value repeat the average so far.
+
+    y_t = (1-a) y_{t-1} + a x_t is linear in the value that enters a block of
+    rows: each block is folded from zero, the block ends are carried over the
+    blocks (rows / ``block`` of them per series), and a row is its block's fold
+    plus the decayed carry.  Exact, and linear in the rows.
     """
     alpha = 2.0 / (span + 1.0)
-    if horizon is None:
-        horizon = 1
-        while (1.0 - alpha) ** horizon > 1e-17:
-            horizon += 1
-    w = _w(by, order).rowsBetween(-(horizon - 1), 0)
-    xs = F.collect_list(F.col(col).cast("double")).over(w)
-    return F.aggregate(F.slice(xs, 2, horizon), F.element_at(xs, 1),
-                       lambda acc, x: acc * (1.0 - alpha) + x * alpha)
-
-
-def ewma(daily: DataFrame, span: float = 14, col: str = "mean_risk", out: str | None = None,
-         by: Sequence[str] = ()) -> DataFrame:
-    """I4: exponentially weighted moving average, span 14 by default."""
-    return daily.withColumn(out or f"ewma_{int(span)}d", ewma_column(col, span, by))
+    keep = 1.0 - alpha
+    w, keys = _w(by, order), [*by, "__block"]
+    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = daily.withColumns({"__row": F.row_number().over(w),
+                           "__x0": F.first(F.col(col).cast("double"), ignorenulls=True).over(all_rows)})
+    d = d.withColumn("__block", F.floor((F.col("__row") - 1) / block))
+    d = d.withColumn("__xs", F.collect_list(F.col(col).cast("double")).over(inside))
+    d = d.withColumns({"__fold": F.aggregate("__xs", F.lit(0.0), lambda y, x: y * keep + x * alpha),
+                       "__decay": F.pow(F.lit(keep), F.size("__xs")),
+                       "__seen": F.count(col).over(w.rowsBetween(Window.unboundedPreceding, 0))}).drop("__xs")
+    ends = d.groupBy(*keys, "__x0").agg(F.max_by(F.struct("__fold", "__decay"), "__row").alias("__end"))
+    before = _w(by, "__block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, F.aggregate(F.collect_list("__end").over(before), F.col("__x0"),
+                                           lambda y, e: y * e["__decay"] + e["__fold"]).alias("__carry"))
+    y = F.when(F.col("__seen") > 0, F.col("__fold") + F.col("__decay") * F.col("__carry"))
+    return attach(d, carry, keys).withColumn(out or f"ewma_{int(span)}d", y) \
+        .drop("__row", "__x0", "__block", "__fold", "__decay", "__seen", "__carry")
 
 
 def detect_spikes(daily: DataFrame, k: float = 2.0, n: int = 30, min_periods: int = 7,

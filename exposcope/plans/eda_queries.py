@@ -13,6 +13,7 @@ from exposcope.plans.catalog import query
 from exposcope.plans.prep_queries import CAT_GAPS, NUM_GAPS, PREP_CTES, _SEV
 from exposcope.plans.sqlbase import with_ctes
 from exposcope.schema import CORR_FEATURES, SEED_COLUMNS
+from exposcope.session import cut_lineage
 from exposcope.sources.standin import exposure_labeled, exposure_raw
 
 _EDA = ("eda AS (SELECT dd.*, least(greatest(cvss_base_score/10e0*0.5e0 + CAST(" + _SEV
@@ -26,9 +27,13 @@ def _sql(body, extra=EDA_CTES):
     return with_ctes(body, raw=True, extra=extra)
 
 
-def eda_base(spark, sf_dir):
-    """Cleaned events with an anomaly score (rule form), the input of every chart."""
-    return heuristic_anomaly(clean_events(exposure_raw(spark, sf_dir), NUM_GAPS, CAT_GAPS))
+def eda_base(spark, sf_dir, cols=None, again=True):
+    """Cleaned events with an anomaly score (rule form), the input of every chart.
+    ``cols``: the columns that the chart reads; ``again``: whether more than one
+    pass reads them (then they, and only they, are written once)."""
+    d = heuristic_anomaly(clean_events(exposure_raw(spark, sf_dir), NUM_GAPS, CAT_GAPS, materialize=False))
+    d = d.select(*cols) if cols else d
+    return cut_lineage(d) if again else d
 
 
 @query("h1_risk_distribution", _sql(
@@ -37,14 +42,14 @@ def eda_base(spark, sf_dir):
     "FROM (SELECT CAST(range AS INTEGER) AS risk_score FROM range(5)) l LEFT JOIN "
     "(SELECT risk_score, count(*) AS n FROM eda GROUP BY 1) c ON l.risk_score = c.risk_score"))
 def h1_risk_distribution(spark, sf_dir):
-    return eda.risk_distribution(eda_base(spark, sf_dir))
+    return eda.risk_distribution(eda_base(spark, sf_dir, ["risk_score"], again=False))
 
 
 @query("h2_source_distribution", _sql(
     "SELECT source_type, count(*) AS count, count(*) * 100e0 / sum(count(*)) OVER () AS pct "
     "FROM eda GROUP BY 1"))
 def h2_source_distribution(spark, sf_dir):
-    return eda.value_distribution(eda_base(spark, sf_dir), "source_type")
+    return eda.value_distribution(eda_base(spark, sf_dir, ["source_type"], again=False), "source_type")
 
 
 @query("h4_histogram_by_risk", _sql(
@@ -56,7 +61,11 @@ def h2_source_distribution(spark, sf_dir):
                    FROM eda GROUP BY 1) s ON e.risk_score = s.risk_score)
 GROUP BY risk_score, bin, lo, hi"""))
 def h4_histogram_by_risk(spark, sf_dir):
-    h = eda.histogram_by(eda_base(spark, sf_dir), "cvss_base_score", ["risk_score"], 40)
+    return _histogram(eda_base(spark, sf_dir, ["risk_score", "cvss_base_score"]), "cvss_base_score")
+
+
+def _histogram(base, feat):
+    h = eda.histogram_by(base, feat, ["risk_score"], 40)
     return h.select("risk_score", "bin", F.round("bin_lo", 6).alias("bin_lo"),
                     F.round("bin_hi", 6).alias("bin_hi"), "count")
 
@@ -69,7 +78,7 @@ _PAIRS = [(a, b) for i, a in enumerate(CORR_FEATURES) for j, b in enumerate(CORR
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr(CAST({a} AS DOUBLE), "
         f"CAST({b} AS DOUBLE)), 6) AS r FROM eda" for a, b in _PAIRS) + ")"))
 def h5_correlation(spark, sf_dir):
-    c = eda.correlation_matrix(eda_base(spark, sf_dir), CORR_FEATURES)
+    c = eda.correlation_matrix(eda_base(spark, sf_dir, CORR_FEATURES), CORR_FEATURES)
     return c.select("feature_a", "feature_b", F.round("r", 6).alias("r"))
 
 
@@ -85,7 +94,38 @@ JOIN (SELECT risk_score, count(*) AS n, quantile_cont(CAST(exposure_velocity AS
   ON e.risk_score = q.risk_score
 GROUP BY q.risk_score, q.n, q.q1, q.median, q.q3"""))
 def h6_box_stats(spark, sf_dir):
-    return eda.box_stats(eda_base(spark, sf_dir), "exposure_velocity", ["risk_score"])
+    return eda.box_stats(eda_base(spark, sf_dir, ["risk_score", "exposure_velocity"], again=False), "exposure_velocity", ["risk_score"])
+
+
+_HIST_SQL = """SELECT risk_score, bin, round(lo + bin * (hi - lo) / 40e0, 6) AS bin_lo,
+  round(lo + (bin + 1) * (hi - lo) / 40e0, 6) AS bin_hi, count(*) AS count FROM (
+  SELECT e.risk_score, s.lo, s.hi, CAST(CASE WHEN (s.hi - s.lo) / 40e0 = 0 THEN 0 ELSE
+    least(floor((CAST(e.{f} AS DOUBLE) - s.lo) / ((s.hi - s.lo) / 40e0)), 39) END AS INTEGER) AS bin
+  FROM eda e JOIN (SELECT risk_score, CAST(min({f}) AS DOUBLE) AS lo, CAST(max({f}) AS DOUBLE) AS hi
+                   FROM eda GROUP BY 1) s ON e.risk_score = s.risk_score)
+GROUP BY risk_score, bin, lo, hi"""
+_BOX_SQL = """SELECT q.risk_score, q.n, q.q1, q.median, q.q3,
+  min(CASE WHEN v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1) THEN v END) AS whisker_lo,
+  max(CASE WHEN v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1) THEN v END) AS whisker_hi,
+  CAST(count_if(NOT (v >= q.q1 - 1.5e0*(q.q3-q.q1) AND v <= q.q3 + 1.5e0*(q.q3-q.q1))) AS BIGINT) AS outliers
+FROM (SELECT risk_score, CAST({f} AS DOUBLE) AS v FROM eda) e
+JOIN (SELECT risk_score, count(*) AS n, quantile_cont(CAST({f} AS DOUBLE), 0.25) AS q1,
+        quantile_cont(CAST({f} AS DOUBLE), 0.5) AS median,
+        quantile_cont(CAST({f} AS DOUBLE), 0.75) AS q3 FROM eda GROUP BY 1) q
+  ON e.risk_score = q.risk_score
+GROUP BY q.risk_score, q.n, q.q1, q.median, q.q3"""
+
+
+def _register_feature_charts():
+    for f in ("anomaly_score", "exposure_velocity", "domain_reputation_score"):
+        query(f"h4_histogram_{f}", _sql(_HIST_SQL.format(f=f)))(
+            lambda spark, sf_dir, f=f: _histogram(eda_base(spark, sf_dir, ["risk_score", f]), f))
+    for f in ("cvss_base_score", "anomaly_score", "domain_reputation_score"):
+        query(f"h6_box_{f}", _sql(_BOX_SQL.format(f=f)))(
+            lambda spark, sf_dir, f=f: eda.box_stats(eda_base(spark, sf_dir, ["risk_score", f], again=False), f))
+
+
+_register_feature_charts()
 
 
 _NORM = 1.0 / math.sqrt(2 * math.pi)
@@ -104,7 +144,7 @@ FROM (SELECT vals.risk_score, vals.v, vals.c, st.n, st.bw, st.lo - 2e0 * st.bw A
       WHERE st.bw > 0) d, range(100) t(i)
 GROUP BY risk_score, i, g0, step, n, bw"""))
 def h7_density_by_risk(spark, sf_dir):
-    d = eda.density_by(eda_base(spark, sf_dir), "cvss_base_score", ["risk_score"])
+    d = eda.density_by(eda_base(spark, sf_dir, ["risk_score", "cvss_base_score"], again=False), "cvss_base_score", ["risk_score"])
     return d.select("risk_score", F.col("i").cast("bigint").alias("i"),
                     F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
@@ -118,7 +158,22 @@ def h7_density_by_risk(spark, sf_dir):
                     min(anomaly_score) AS y0, max(anomaly_score) AS y1 FROM eda) s)
 GROUP BY 1, 2"""))
 def h8_density_2d(spark, sf_dir):
-    return eda.density_2d(eda_base(spark, sf_dir), "cvss_base_score", "anomaly_score")
+    return eda.density_2d(eda_base(spark, sf_dir, ["cvss_base_score", "anomaly_score", "risk_score"]), "cvss_base_score", "anomaly_score")
+
+
+_CELLS_SQL = """SELECT bin_x, bin_y, count(*) AS count, avg(risk_score) AS mean_risk_score FROM (
+  SELECT risk_score,
+    CAST(CASE WHEN s.x1 = s.x0 THEN 0 ELSE least(floor((exposure_velocity - s.x0) / ((s.x1 - s.x0) / 20e0)), 19) END AS INTEGER) AS bin_x,
+    CAST(CASE WHEN s.y1 = s.y0 THEN 0 ELSE least(floor((anomaly_score - s.y0) / ((s.y1 - s.y0) / 20e0)), 19) END AS INTEGER) AS bin_y
+  FROM eda, (SELECT min(exposure_velocity) AS x0, max(exposure_velocity) AS x1,
+                    min(anomaly_score) AS y0, max(anomaly_score) AS y1 FROM eda) s)
+GROUP BY 1, 2"""
+
+
+@query("h8_density_velocity_anomaly", _sql(_CELLS_SQL))
+def h8_density_velocity_anomaly(spark, sf_dir):
+    return eda.density_2d(eda_base(spark, sf_dir, ["exposure_velocity", "anomaly_score", "risk_score"]),
+                          "exposure_velocity", "anomaly_score")
 
 
 _PAIR_COLS = ["cvss_base_score", "domain_reputation_score", "exposure_frequency", "anomaly_score"]
@@ -128,20 +183,22 @@ _PAIR_COLS = ["cvss_base_score", "domain_reputation_score", "exposure_frequency"
     "SELECT event_id, " + ", ".join(_PAIR_COLS) + ", risk_score FROM eda "
     "ORDER BY md5(concat('42-', event_id)), event_id LIMIT 3000"))
 def h9_pair_sample(spark, sf_dir):
-    return eda.pair_sample(eda_base(spark, sf_dir), _PAIR_COLS, 3000, 42)
+    return eda.pair_sample(eda_base(spark, sf_dir, ["event_id", *_PAIR_COLS, "risk_score"], again=False), _PAIR_COLS, 3000, 42)
 
 
 @query("h10_mean_risk_by_source", _sql(
-    "SELECT source_type, avg(risk_score) AS mean_risk FROM eda GROUP BY 1"))
+    "SELECT *, row_number() OVER (ORDER BY mean_risk, source_type) AS position FROM "
+    "(SELECT source_type, avg(risk_score) AS mean_risk FROM eda GROUP BY 1)"))
 def h10_mean_risk_by_source(spark, sf_dir):
-    return eda.mean_risk_by(eda_base(spark, sf_dir), "source_type")
+    base = eda_base(spark, sf_dir, ["source_type", "risk_score"], again=False)
+    return eda.with_position(eda.mean_risk_by(base, "source_type"))
 
 
 @query("h11_sample_n", _sql(
     "SELECT event_id, ts, risk_score FROM eda ORDER BY md5(concat('7-', event_id)), event_id "
     "LIMIT 500"))
 def h11_sample_n(spark, sf_dir):
-    return eda.sample_n(eda_base(spark, sf_dir), 500, seed=7).select("event_id", "ts", "risk_score")
+    return eda.sample_n(eda_base(spark, sf_dir, ["event_id", "ts", "risk_score"], again=False), 500, seed=7)
 
 
 @query("h12_crosstab_source_risk", _sql(
@@ -150,12 +207,14 @@ def h11_sample_n(spark, sf_dir):
         for i, nm in enumerate(["Low", "Medium", "High", "Critical", "Emergency"]))
     + " FROM eda GROUP BY 1"))
 def h12_crosstab_source_risk(spark, sf_dir):
-    return eda.crosstab_pct(eda_base(spark, sf_dir), "source_type")
+    return eda.crosstab_pct(eda_base(spark, sf_dir, ["source_type", "risk_score"], again=False), "source_type")
 
 
-@query("j1_sort_events", with_ctes("SELECT event_id, ts, risk_score FROM labeled ORDER BY ts, event_id"))
+@query("j1_sort_events", with_ctes(
+    "SELECT event_id, ts, risk_score, row_number() OVER (ORDER BY ts, event_id) AS position FROM labeled"))
 def j1_sort_events(spark, sf_dir):
-    return eda.sort_events(exposure_labeled(spark, sf_dir)).select("event_id", "ts", "risk_score")
+    return eda.with_position(eda.sort_events(
+        exposure_labeled(spark, sf_dir).select("event_id", "ts", "risk_score")))
 
 
 @query("j2_top_k_velocity", with_ctes(
@@ -169,11 +228,9 @@ def j2_top_k_velocity(spark, sf_dir):
 @query("j3_union_events", with_ctes(
     "SELECT event_id, ts, source_type, cvss_base_score, risk_score FROM labeled UNION ALL "
     "SELECT NULL AS event_id, NULL AS ts, source_type, cvss_base_score, NULL AS risk_score "
-    "FROM raw WHERE _o % 101 = 0", raw=True))
+    "FROM raw", raw=True))
 def j3_union_events(spark, sf_dir):
     a = exposure_labeled(spark, sf_dir).select("event_id", "ts", "source_type", "cvss_base_score",
                                                "risk_score")
-    raw = exposure_raw(spark, sf_dir)
-    seed_layout = raw.filter(F.col("_o") % 101 == 0).select(*SEED_COLUMNS)
-    u = eda.union_events(a, seed_layout)
+    u = eda.union_events(a, exposure_raw(spark, sf_dir).select(*SEED_COLUMNS))
     return u.select("event_id", "ts", "source_type", "cvss_base_score", "risk_score")

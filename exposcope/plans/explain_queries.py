@@ -270,6 +270,16 @@ def f10_bands(spark, sf_dir):
     return d.select("event_id", "anomaly_band", "risk_alert", "anomaly_alert", "confident")
 
 
+@query("f10_importance_bands", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{f}', '{'top' if v > 0.1 else 'high' if v > 0.05 else 'mid' if v > 0.03 else 'low'}')"
+    for f, v in explain.rule_importances().items()) + ") t(feature, band)")
+def f10_importance_bands(spark, sf_dir):
+    """Bands of the rule's importances, for the features that the events have."""
+    have = pred_base(spark, sf_dir).columns
+    t = explain.importance_table(spark).where(F.col("feature").isin(have))
+    return t.select("feature", risk.importance_band("importance").alias("band"))
+
+
 @query("b5_features_long", with_ctes(
     "SELECT event_id, feature, " + _display_sql("feature") + " AS display_name, value FROM ("
     + " UNION ALL ".join(f"SELECT event_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM pr"

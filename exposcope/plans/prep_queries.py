@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from exposcope.functions.columns import lookup
 from exposcope.operators import clean, encode, outliers, profile
 from exposcope.operators.prepare import clean_events, preprocess
 from exposcope.plans.catalog import query
@@ -142,6 +143,18 @@ def c9_dataset_summary(spark, sf_dir):
     return profile.dataset_summary(_raw(spark, sf_dir).drop("_o"), "ts")
 
 
+_C9_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "bigint": "BIGINT"}
+
+
+@query("c9_column_types", with_ctes(
+    "SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name AS column, column_type AS type FROM "
+    "(DESCRIBE SELECT * EXCLUDE (_o) FROM raw)", raw=True))
+def c9_column_types(spark, sf_dir):
+    """Types under their SQL names."""
+    t = profile.column_types(_raw(spark, sf_dir).drop("_o"))
+    return t.select("position", "column", lookup("type", _C9_TYPES).alias("type"))
+
+
 @query("c10_preprocess_report", with_ctes(
     "SELECT * FROM (VALUES ('nulls_imputed', (SELECT CAST(" + " + ".join(
         f"count(*) - count({c})" for c in RAW_COLS) + " AS BIGINT) FROM raw)), "
