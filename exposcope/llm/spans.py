@@ -87,8 +87,10 @@ def runs(text: str | None):
     return out[0], out[1], first.astype(np.int32), last.astype(np.int32)
 
 
-def cut(text: str, spans) -> tuple[str, int, int]:
-    """The text without the sentences of ``spans`` (first, last), their number and all."""
+def cut(text: str | None, spans) -> tuple[str | None, int]:
+    """The text without the sentences of ``spans`` (first, last), and their number."""
+    if not spans:
+        return text, 0
     units = sentences(text)
     drop = np.zeros(len(units) + 1, np.int64)
     for s in spans:
@@ -103,12 +105,12 @@ def cut(text: str, spans) -> tuple[str, int, int]:
                 out.append("\n")
             at = e
     out.append(text[at:])
-    return "".join(out).strip() if gone.any() else text, int(gone.sum()), len(units)
+    return "".join(out).strip(), int(gone.sum())
 
 
 def remove_repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``text_col`` freed of sentences that a non-first repeated run
-    covers, plus n_sentences and n_removed (columns of these names are replaced).
+    covers, plus n_removed (a column of this name is replaced).
 
     Null texts stay null, texts without long enough runs stay as they are.  Rows
     equal in id and text are one document (all get the same result); a null id
@@ -129,15 +131,14 @@ def remove_repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str =
         .groupBy("__id", "__t").agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
     gone = written(gone)
     hinted = broadcast_if_small(gone, F.size("__gone") * 16 + 64)
-    rest = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed")]
+    rest = [c for c in docs.columns if c not in (text_col, "n_removed")]
     left = docs.select(F.struct(*rest).alias("__row"), *key, F.col(text_col).alias("__text"))
     both = left.join(hinted.select(F.col("__id").alias("__i"), F.col("__t").alias("__u"), "__gone"),
                      F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left")
     got = map_texts(both.select("__row", F.struct("__text", "__gone").alias("__v")), "__v", ["__row"],
-                    f"{text_col} string, n_removed long, n_sentences long",
-                    lambda: lambda rows: [(None, 0, 0) if r["__text"] is None else cut(r["__text"], r["__gone"] or [])
-                                          for r in rows])
-    return got.select("__row.*", text_col, "n_sentences", "n_removed")
+                    f"{text_col} string, n_removed long",
+                    lambda: lambda rows: [cut(r["__text"], r["__gone"]) for r in rows])
+    return got.select("__row.*", text_col, "n_removed")
 
 
 @query("op10_substring_dedup")
