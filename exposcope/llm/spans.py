@@ -9,6 +9,7 @@ are removed.  A repeated passage is so covered up to its last whole sentence.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -20,9 +21,9 @@ from exposcope.llm.common import broadcast_if_small, explode_values, map_texts,
 
 #: A run has this many words and sentences at least, and no more than it needs to.
 MIN_WORDS, MIN_SENTENCES = 20, 2
-#: Longer sentences are cut after word pairs whose hash is divisible by CUT, so
-#: that the same long passage is cut alike wherever it stands.
-LONG_SENTENCE, CUT = 25, 12
+#: Longer sentences are cut after words whose hash is divisible by CUT (and after
+#: this many words), so that the same passage is cut alike wherever it stands.
+LONG_SENTENCE, CUT = 12, 4
 
 END = re.compile(r"""[.!?]+["')\]»”]*(?=\s)|\n""")
 WORD = re.compile(r"\S+")
@@ -30,6 +31,11 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+@functools.lru_cache(maxsize=100_000)
+def _ends_piece(word: str) -> bool:
+    return xxhash.xxh3_64_intdigest(word) % CUT == 0
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences with words; they partition the text
     but for blank pieces."""
@@ -38,13 +44,12 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     for e in (*ends, len(text)):
         words = text[at:e].split()
         if len(words) > LONG_SENTENCE:
-            begin, mine, before = at, [], ""
+            begin, mine = at, []
             for m in WORD.finditer(text, at, e):
                 mine.append(m[0])
-                if xxhash.xxh3_64_intdigest(f"{before} {m[0]}") % CUT == 0:
+                if len(mine) == LONG_SENTENCE or _ends_piece(m[0]):
                     out.append((begin, m.end(), mine))
                     begin, mine = m.end(), []
-                before = m[0]
             if mine:
                 out.append((begin, e, mine))
         elif words:

@@ -10,7 +10,7 @@ import tiktoken
 import __spark_entry__
 import corpus_pipeline as C
 from exposcope.llm import boilerplate, bpe, toxicity
-from tests.llm.test_neardup import brute as components
+from test_neardup import brute as components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
