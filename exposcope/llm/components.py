@@ -12,29 +12,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest node.
 
     Each round hooks every node to its smallest neighbour (map-side minima, so a
-    star's centre is no hot key), jumps one pointer further, relabels the edges
-    and drops those that became loops; tables are written between rounds.  Loops
+    star's centre is no hot key), follows the hook twice, relabels the edges and
+    drops those that became loops.  A round writes its hooks and its edges, and
+    edges shrink from round to round; the hooks are composed at the end.  Loops
     and repeated edges are fine; without edges the result is empty.
     """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    edges = written(_contracted(edges))
+    hooks: list[DataFrame] = []
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))
-        up = written(up)
-        small = broadcast_if_small(up, 32)
-        jump = small.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        up = written(up.join(jump, "up", "left").select("a", F.coalesce("top", "up").alias("up")))
-        small = broadcast_if_small(up, 32)
-        if labels is None:
-            labels = up.select(F.col("a").alias("node"), F.col("up").alias("component"))
-        else:
-            labels = written(labels.join(small.withColumnRenamed("a", "component"), "component", "left")
-                             .select("node", F.coalesce("up", "component").alias("component")))
-        for side in ("a", "b"):
-            edges = edges.join(small.select(F.col("a").alias(side), "up"), side) \
-                .withColumn(side, F.col("up")).drop("up")
-        edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if labels is None:
+        hooks.append(broadcast_if_small(written(up), 32))
+        edges = written(_contracted(_follow(_follow(edges, "a", hooks[-1]), "b", hooks[-1])))
+    if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = hooks[0].select(F.col("a").alias("node"), F.col("a").alias("component"))
+    for up in hooks:
+        labels = _follow(labels, "component", up)
     return labels
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Each undirected edge once, smaller node first, without loops."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _follow(df: DataFrame, col: str, up: DataFrame) -> DataFrame:
+    """``col`` moved along two hooks (a node without one stays)."""
+    for _ in range(2):
+        step = up.select(F.col("a").alias("__from"), F.col("up").alias("__to"))
+        df = df.join(step, F.col(col) == F.col("__from"), "left") \
+            .withColumn(col, F.coalesce("__to", col)).drop("__from", "__to")
+    return df

@@ -39,8 +39,8 @@ BATCHES = (32, 64, 96, 128, 192, 256, VALUES)
 MISS = 1e-6
 #: Chunks into which the partners of one anchor are dealt.
 CHUNKS = 256
-#: Further turns with other anchors for members that are off their bucket's main component.
-TURNS = 2
+#: Further anchors, in each bucket others, for members off the bucket's main component.
+ANCHORS = 3
 #: Larger buckets are then compared in blocks of this size.
 BLOCK = 64
 
@@ -165,13 +165,14 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(broadcast_if_small(per, 48), "key")
 
 
-def star_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Pairs between the open members of a bucket and one member of its main
-    component, another one each turn and in each bucket."""
-    main = open_.where("component = main").groupBy("key").agg(
-        F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("anchor"))
-    main = broadcast_if_small(written(main), 32)
-    both = open_.where("component <> main").select("key", "node").join(main, "key")
+def star_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs between the open members of a bucket and ANCHORS members of its main
+    component, others in each bucket."""
+    main = open_.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*[
+        F.min_by("node", F.xxhash64("node", "key", F.lit(k))) for k in range(ANCHORS)])).alias("anchors"))
+    main = broadcast_if_small(written(main), 32 + 16 * ANCHORS)
+    both = open_.where("component <> main").select("key", "node").join(main, "key") \
+        .select("node", F.explode("anchors").alias("anchor"))
     return both.select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b")).distinct()
 
 
@@ -185,40 +186,45 @@ def cross_pairs(open_: DataFrame) -> DataFrame:
 
 
 def _block_links(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between a block of open members and a block of their bucket, one for
-    each component that a member is linked to."""
+    """One link of each asking member to a block of a component, if it has any."""
     found = []
-    right = right.rename(columns=lambda c: c.removeprefix("r_"))
     if len(left) and len(right):
         sl, vl = _unpack(left["value"])
-        sr, vr = _unpack(right["value"])
-        component, node, full = right["component"].to_numpy(), right["node"].to_numpy(), right["full"].tolist()
+        sr, vr = _unpack(right["r_value"])
+        node, full = right["r_node"].to_numpy(), right["r_full"].tolist()
         for i in range(len(left)):
-            other = np.flatnonzero(component != left["component"].iat[i])
-            keep = other[survivors(np.full(len(other), sl[i]), np.repeat(vl[i:i + 1], len(other), 0), sr[other], vr[other])]
-            done = set()
-            for k in keep:
-                if component[k] not in done and _similar(left["full"].iat[i], full[k]):
-                    done.add(component[k])
-                    found.append((left["node"].iat[i], node[k]))
+            near = survivors(np.full(len(node), sl[i]), np.repeat(vl[i:i + 1], len(node), 0), sr, vr)
+            k = next((k for k in near if _similar(left["full"].iat[i], full[k])), None)
+            if k is not None:
+                found.append((left["node"].iat[i], node[k]))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def block_links(open_: DataFrame, values: DataFrame) -> DataFrame:
-    """Links (a, b) in large buckets: the members off the main component, in blocks,
-    meet their bucket's blocks.  A group holds two blocks with their signatures
-    and full sets; pairs never become rows."""
-    s = open_.where(F.col("members") > BLOCK).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")) \
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .join(values, "node")
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = s.where("component <> main").withColumn("i", F.col("mine")).withColumn("j", each)
-    # blocks without an open member meet nobody
-    asked = left.select("key", "i").distinct()
-    right = s.withColumn("j", F.col("mine")).join(broadcast_if_small(written(asked), 32), "key")
-    cols = ["key", "i", "j", "node", "component", "value", "full"]
-    other = right.select(*[F.col(c).alias(f"r_{c}") for c in cols])
-    return left.select(cols).groupBy("key", "i", "j").cogroup(other.groupBy("r_key", "r_i", "r_j")) \
+    """Links (a, b) in large buckets between members off the main component and the
+    other components there.
+
+    Each (member, component) is asked once, in however many buckets they meet.
+    The members that ask for a component and the component itself are dealt into
+    blocks; a group holds a block of either with signatures and full sets, so
+    pairs never become rows and no group grows with the component."""
+    s = open_.where(F.col("members") > BLOCK)
+    asks = s.where("component <> main").select("key", "node", F.col("component").alias("mine")) \
+        .join(s.select("key", "component").distinct(), "key").where("mine <> component") \
+        .select("node", "mine", "component").distinct()
+    asks = written(asks)
+    inside = written(s.select("node", "component").distinct())
+    size = asks.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")) \
+        .join(inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")), "component")
+    size = broadcast_if_small(written(size), 40)
+    part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asks.join(size, "component").withColumn("i", part("rows")).join(values, "node") \
+        .select("component", "i", every("columns").alias("j"), "node", "value", "full")
+    right = inside.join(size, "component").withColumn("j", part("columns")).join(values, "node") \
+        .select("component", "j", every("rows").alias("i"), "node", "value", "full")
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    return left.groupBy("component", "i", "j").cogroup(right.groupBy("r_component", "r_i", "r_j")) \
         .applyInPandas(_block_links, "a long, b long").distinct()
 
 
@@ -269,10 +275,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     members = members.select("key", "node")
     rest = written(open_members(members, labels))
     full = full_sets(src, rest.select("node").distinct())
-    for turn in range(TURNS):
-        if not rest.limit(1).count():
-            break
-        likely = written(compare(written(star_pairs(rest, turn)), sigs, _bayes).distinct())
+    if rest.limit(1).count():
+        likely = written(compare(written(star_pairs(rest)), sigs, _bayes).distinct())
         links = written(links.unionByName(compare(likely, full, _exact)).distinct())
         labels = written(connected_components(links))
         rest = written(open_members(members, labels))
