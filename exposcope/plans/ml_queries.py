@@ -255,11 +255,6 @@ def g2_fixed_score(spark, sf_dir):
 
 # ---- trained models: per-row facts that hold for any correct model --------------------------
 FEATURES_44 = [*MODEL_FEATURES, "anomaly_score"]
-#: What the registered queries train, so that a run over all queries ends in
-#: minutes; the operators' defaults are the published sizes (README).
-FOREST = models.ForestParams(num_trees=20, max_depth=8)
-FOLD_FOREST = models.ForestParams(num_trees=10, max_depth=6)
-BOOST = models.BoostParams(max_iter=5, max_depth=5)
 
 
 def model_table(spark, sf_dir):
@@ -323,14 +318,14 @@ def g1_isolation_forest(spark, sf_dir):
 @query("g6_random_forest", _TEST_ROWS)
 def g6_random_forest(spark, sf_dir):
     _, t, _, _ = training_frame(spark, sf_dir)
-    rf = models.train_rf(t.filter(F.col("is_test") == 0), params=FOREST)
+    rf = models.train_rf(t.filter(F.col("is_test") == 0), params=models.ForestParams())
     return _checked(models.classify(t.filter(F.col("is_test") == 1), rf))
 
 
 @query("g7_boosted_trees", _TEST_ROWS)
 def g7_boosted_trees(spark, sf_dir):
     _, t, _, _ = training_frame(spark, sf_dir)
-    gbt = models.train_gbt(t.filter(F.col("is_test") == 0), params=BOOST)
+    gbt = models.train_gbt(t.filter(F.col("is_test") == 0), params=models.BoostParams())
     return _checked(models.classify(t.filter(F.col("is_test") == 1), gbt, ovr_margin=True))
 
 
@@ -339,7 +334,7 @@ def g8_cv_forest(spark, sf_dir):
     """Five stratified folds over the training part."""
     _, t, _, _ = training_frame(spark, sf_dir)
     t = models.stratified_folds(t.filter(F.col("is_test") == 0), "risk_score", 5, 7, "event_id")
-    res = models.cross_validate(cut_lineage(t), lambda d: models.train_rf(d, params=FOLD_FOREST), 5)
+    res = models.cross_validate(cut_lineage(t), lambda d: models.train_rf(d, params=models.ForestParams()), 5)
     ok = 0.2 < res.mean <= 1 and 0 <= res.std < 0.5
     return spark.range(1).select(F.lit(len(res.accuracies)).alias("folds"), F.lit(int(ok)).alias("in_range"))
 
@@ -349,7 +344,7 @@ def g8_cv_forest(spark, sf_dir):
 def g14_feature_importances(spark, sf_dir):
     """All 44 features, importances in [0, 1] with sum 1, ranked by them."""
     _, t, _, _ = training_frame(spark, sf_dir)
-    rf = models.train_rf(t.filter(F.col("is_test") == 0), params=FOREST)
+    rf = models.train_rf(t.filter(F.col("is_test") == 0), params=models.ForestParams())
     rows = [tuple(r) for r in models.feature_importances(rf, FEATURES_44, spark=spark).collect()]
     one = int(abs(sum(v for _, v in rows) - 1) < 1e-9)
     ranked = int(all(a[1] >= b[1] for a, b in zip(rows, rows[1:])))
@@ -363,7 +358,7 @@ def f7_predict_models(spark, sf_dir):
     """The composed model path over all rows: scale, isolation forest on its fitted
     offset, classifier on 44 features, class, confidence and level."""
     t, frame, scaler, forest = training_frame(spark, sf_dir)
-    rf = models.train_rf(frame.filter(F.col("is_test") == 0), params=FOREST)
+    rf = models.train_rf(frame.filter(F.col("is_test") == 0), params=models.ForestParams())
     p = models.predict_risk(t, models.RiskModels(scaler, forest, rf, MODEL_FEATURES))
     ok = F.col("risk_level").isNotNull() & F.col("anomaly_score").between(0, 1)
     return p.select("event_id", "is_test", _valid().alias("valid"), ok.cast("int").alias("scored"))
