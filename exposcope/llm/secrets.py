@@ -70,8 +70,9 @@ def weak_spans(text: str, base: list) -> list[tuple[int, int, int]]:
 def link(text: str, base: list, weak: list) -> list:
     """Weak parts whose complements lie in scope.  A secret needs an identifier
     or an access id; an identifier needs a secret, an assignment or hex run; an
-    endpoint needs both sides.  Each role's parts are sorted, so every scope is
-    joined by two binary searches; no pairs are listed."""
+    endpoint needs both sides.  A part of any length is in scope if the gap to it
+    is at most SCOPE, on either side.  Each role's starts and ends are sorted, so
+    the nearest part of a side is one binary search; no pairs are listed."""
     sections = [m.start() for m in SECTION.finditer(text)]
     roles = {"who": [], "what": []}
     for s, k, e in sorted(base + weak):
@@ -79,14 +80,16 @@ def link(text: str, base: list, weak: list) -> list:
             roles["who"].append((s, e))
         elif k in (0, 2, 4):
             roles["what"].append((s, e))
-    at = {r: [s for s, _ in v] for r, v in roles.items()}
+    starts = {r: [s for s, _ in v] for r, v in roles.items()}
+    ends = {r: sorted(e for _, e in v) for r, v in roles.items()}
 
     def near(role: str, s: int, e: int) -> bool:
+        # no part holds a line end, so one that ends in the section lies in it
         i = bisect.bisect_right(sections, s)
-        low = max(s - SCOPE, sections[i - 1] if i else 0)
+        low = max(s - SCOPE, sections[i - 1] + 1 if i else 0)
         high = min(e + SCOPE, sections[i] if i < len(sections) else len(text))
-        parts = roles[role][bisect.bisect_left(at[role], low):bisect.bisect_right(at[role], high)]
-        return any(pe <= s or ps >= e for ps, pe in parts)
+        before, after = bisect.bisect_right(ends[role], s), bisect.bisect_left(starts[role], e)
+        return before > 0 and ends[role][before - 1] >= low or after < len(starts[role]) and starts[role][after] <= high
 
     needs = {3: ("what",), 4: ("who",), 5: ("who", "what")}
     return [(s, k, e) for s, k, e in weak if all(near(r, s, e) for r in needs[k])]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from exposcope.llm import secrets as S
@@ -45,6 +46,38 @@ def test_scopes_end_at_distance_and_sections():
     assert kinds(f"id {KEY}\n\nvalue {BARE}") == ["access"]
 
 
+def test_long_parts_link_on_either_side():
+    long = BARE * 12
+    for what in (f"token={long}", "0123456789abcdef" * 30, "q7Rz" + long):
+        name = {"t": "assign", "0": "hex", "q": "secret"}[what[0]]
+        assert kinds(f"{what}\nclient_id=alice01") == [name, "identifier"]
+        assert kinds(f"client_id=alice01\n{what}") == ["identifier", name]
+        assert "identifier" not in kinds(f"{what}\n\nclient_id=alice01")
+        assert "identifier" not in kinds(f"{what}{' ' * (S.SCOPE + 1)}client_id=alice01")
+        assert "identifier" in kinds(f"{what}{' ' * S.SCOPE}client_id=alice01")
+    assert kinds(f"token={long} https://db.example.com/x {KEY}") == ["assign", "endpoint", "access"]
+
+
+def test_links_equal_all_pairs():
+    rng = random.Random(3)
+    bits = [KEY, BARE, "client_id=alice01", "token=" + "k9" * 250, "password=hunter22", "https://db.example.com/x",
+            "https://db.example.com/" + "y" * 700, "ab12" * 90, "x " * 60, "x " * 149, "\n", "\n \n", "word"]
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(2, 14)))
+        base = S.base_spans(text)
+        weak = S.weak_spans(text, base)
+        parts, ends = base + weak, [m.start() for m in S.SECTION.finditer(text)]
+        side = {"who": (1, 3), "what": (0, 2, 4)}
+
+        def near(role, s, e):
+            return any(k in side[role] and (0 <= s - pe <= S.SCOPE and not any(pe <= x <= s for x in ends)
+                                            or 0 <= ps - e <= S.SCOPE and not any(e <= x <= ps for x in ends))
+                       for ps, k, pe in parts)
+
+        needs = {3: ("what",), 4: ("who",), 5: ("who", "what")}
+        assert S.link(text, base, weak) == [(s, k, e) for s, k, e in weak if all(near(r, s, e) for r in needs[k])]
+
+
 def test_odd_rows(spark, odd):
     rows = S.scan_secrets(odd("spans")).collect()
     assert len(rows) == 8 and all(r.base == [] and r.spans == [] for r in rows)
