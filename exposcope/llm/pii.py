@@ -58,7 +58,8 @@ NUMBER = re.compile(
     r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
     r"|(?<!\w)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))")
-_WORD = r"[^\W\d_][^\W\d_'’-]*[^\W\d_]"
+#: Two letters or more; hyphens and apostrophes join letters, but 's, 'll and the like end a name.
+_WORD = r"[^\W\d_](?:-?[^\W\d_]|['’](?!(?i:s|d|ll|ve|re)(?!\w))[^\W\d_])+"
 TITLED = re.compile(r"(?<!\w)(%s)\.? (%s)(?: (%s))?" % ("|".join(sorted(_TITLE_GENDER, key=len, reverse=True)), _WORD, _WORD))
 NAMED = re.compile(r"(?<!\w)(%s) (%s)" % ("|".join(sorted(GENDER, key=len, reverse=True)), _WORD))
 
@@ -71,6 +72,10 @@ def _named(word: str | None) -> bool:
     return bool(word) and word[0].isupper() and (len(word) == 1 or not word.isupper())
 
 
+def _norm(word: str) -> str:
+    return word.lower().replace("’", "'")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -91,10 +96,11 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     names: dict[str, tuple[str, str]] = {}  # lower-case name -> (kind, word as written)
 
     def person(m, gender, given, family):
-        if family:
-            names.setdefault(family.lower(), (f"family:{gender}:{_script(family)}", family))
-        if given:
-            names.setdefault(given.lower(), (f"given:{gender}:{_script(given)}", given))
+        for base, word in (("family", family), ("given", given)):
+            # the halves of a double name may stand alone elsewhere
+            for w in dict.fromkeys((word, *word.split("-")) if word else ()):
+                if w == word or len(w) > 1 and _named(w):
+                    names.setdefault(_norm(w), (f"{base}:{gender}:{_script(w)}", w))
 
     for m in TITLED.finditer(text):
         g = _TITLE_GENDER[m[1]]
@@ -106,8 +112,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         if _named(m[2]):
             person(m, GENDER[m[1]], m[1], m[2])
     if names:  # every later mention of a part, alone or not
-        part = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(re.escape(w) for _, w in names.values()))
-        found += [(m.start(), m.end(), names[m[0].lower()][0], m[0].lower()) for m in part.finditer(text)]
+        longest = sorted((w for _, w in names.values()), key=len, reverse=True)
+        part = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(re.sub("['’]", "['’]", re.escape(w)) for w in longest))
+        found += [(m.start(), m.end(), names[_norm(m[0])][0], _norm(m[0])) for m in part.finditer(text)]
     out, reach = [], 0
     for a in sorted(found, key=lambda x: (x[0], -x[1])):
         if a[0] >= reach:

@@ -64,6 +64,20 @@ def test_query_on_whole_table(spark, sf_small):
             assert texts[r.doc_id][s:e] not in r.text
 
 
+def test_hyphens_and_apostrophes_in_names(spark):
+    texts = ["Mr O'Brien met Dr. Jean-Pierre Müller-Lüdenscheid. Müller called O’Brien's office.",
+             "Frau D’Angelo saw Anna Smith-Jones; Smith-Jones and Jones left. Mr Smith's car, Mr Weber'll drive, Smith-Jones' too.",
+             "Госпожа Иванова-Петрова знает. Mr Kai-shek stayed, Sir Thomas-led."]
+    got = run(spark, texts)
+    for i, names in enumerate((["Brien", "Jean", "Pierre", "Müller", "Lüdenscheid"], ["Angelo", "Smith", "Jones", "Weber"],
+                               ["Иванова", "Петрова", "Kai", "shek", "Thomas"])):
+        assert not [n for n in names if n in got[i].text]
+    words = [got[0].text[e.start:e.end] for e in got[0].entities]
+    assert len(words) == 5 and words[0] == words[4] and re.fullmatch(r"Mr \w+ met Dr\. \w+ \w+\. \w+ called \w+'s office\.", got[0].text)
+    assert re.fullmatch(r"Frau \w+ saw \w+ \w+; \w+ and \w+ left\. Mr \w+'s car, Mr \w+'ll drive, \w+' too\.", got[1].text)
+    assert [m[0] for m in re.finditer(P._WORD, "O'Brien a b's D’Angelo -Li- x--y It's")] == ["O'Brien", "D’Angelo", "Li", "It"]
+
+
 def test_odd_rows(spark, odd):
     df = odd("surrogate")
     rows = P.replace_pii(df).collect()
