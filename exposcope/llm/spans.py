@@ -5,6 +5,10 @@ Every run of consecutive sentences that just reaches MIN_WORDS words is hashed
 are joined over the whole corpus; the first occurrence of a run (smallest
 doc_id, then position) stays, and sentences that any later occurrence covers
 are removed.  A repeated passage is so covered up to its last whole sentence.
+
+A passage without sentence ends of its own is found only if two cuts by content
+lie MIN_WORDS words apart in it, or its forced cuts agree by chance (miss rates:
+README).
 """
 
 from __future__ import annotations
