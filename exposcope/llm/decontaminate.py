@@ -157,8 +157,9 @@ def phrase_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id",
 def proximity_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                       terms: int = LISTS, slop: int = 20) -> DataFrame:
     """(key, item, start, end): places where the ``terms`` rarest words of an item
-    (of those that the texts hold) all occur within ``slop`` words, in any order;
-    ``start`` and ``end`` are the first and last of these positions.
+    (of those that the texts hold; all of them if they are fewer) all occur within
+    ``slop`` words, in any order; ``start`` and ``end`` are the first and last of
+    these positions.  Words that no text holds are left out of an item.
 
     Lists are met from the rarest term on: an occurrence of it opens a scope, cut
     into blocks of ``slop`` words so that the other lists join on (key, block).
@@ -167,22 +168,24 @@ def proximity_matches(texts: DataFrame, items: DataFrame, id_col: str = "item_id
     vocab = broadcast_if_small(written(every.select(F.explode("terms").alias("term")).distinct()),
                                F.octet_length("term") + 48)
     lengths = written(list_lengths(texts, vocab))
-    held = every.select("item", F.explode(F.array_distinct("terms")).alias("term")).join(lengths, "term") \
+    held = every.select("item", F.explode("terms").alias("term")).distinct().join(lengths, "term") \
         .groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, terms).alias("by"))
-    rank = written(held.where(F.size("by") == terms).select("item", F.posexplode("by").alias("rank", "t"))
-                   .select("item", "rank", F.col("t.term").alias("term")))
+    rank = written(held.select("item", F.size("by").alias("held"), F.posexplode("by").alias("rank", "t"))
+                   .select("item", "held", "rank", F.col("t.term").alias("term")))
     index = build_index(texts, broadcast_if_small(written(rank.select("term").distinct()), F.octet_length("term") + 48))
     got = rank.where("rank = 0").join(index, "term") \
-        .select("item", "key", F.col("pos").alias("anchor"), F.col("pos").alias("start"), F.col("pos").alias("end"))
+        .select("item", "held", "key", F.col("pos").alias("anchor"), F.col("pos").alias("start"), F.col("pos").alias("end"))
     for r in range(1, terms):
+        short = got.where(F.col("held") <= r)  # has no more terms to meet
         post = rank.where(F.col("rank") == r).join(index, "term").select("item", "key", "pos") \
             .withColumn("block", F.floor(F.col("pos") / slop))
-        scope = got.withColumn("block", F.explode(F.sequence(
+        scope = got.where(F.col("held") > r).withColumn("block", F.explode(F.sequence(
             F.floor((F.col("anchor") - slop) / slop), F.floor((F.col("anchor") + slop) / slop))))
         both = scope.join(post, ["item", "key", "block"]) \
             .withColumn("lo", F.least("start", "pos")).withColumn("hi", F.greatest("end", "pos")) \
             .where(F.col("hi") - F.col("lo") < slop)
-        got = both.select("item", "key", "anchor", F.col("lo").alias("start"), F.col("hi").alias("end")).distinct()
+        got = both.select("item", "held", "key", "anchor", F.col("lo").alias("start"), F.col("hi").alias("end")).distinct() \
+            .unionByName(short)
     return got.select("key", "item", "start", "end").distinct()
 
 
@@ -240,3 +243,13 @@ FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
 @query("op4_decontamination", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+@query("op4_proximity")
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_near: how many items have their rarest words close together in the text."""
+    docs = table(spark, sf_dir, "documents")
+    near = proximity_matches(keyed(docs), table(spark, sf_dir, "benchmark"))
+    near = broadcast_if_small(written(near.groupBy("key").agg(F.count_distinct("item").alias("n_near"))), 64)
+    src = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    return src.join(near, "key", "left").select("doc_id", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))

@@ -57,3 +57,31 @@ def test_proximity_equals_brute_force(spark):
     got = D.proximity_matches(D.keyed(df), items(spark, [(1, "alpha beta gamma")]), slop=6).join(
         df.select("doc_id", F.md5("text").alias("key")), "key").collect()
     assert sorted((r.doc_id, r.start, r.end) for r in got) == [(0, 0, 5), (1, 0, 2)]
+
+
+def test_proximity_of_items_with_few_held_words(spark):
+    df = docs(spark, ["alpha one beta", "beta " + "z " * 30 + "alpha", "gamma", "none"])
+    got = D.proximity_matches(D.keyed(df), items(spark, [(1, "alpha beta unheard"), (2, "Gamma"), (3, "unheard"), (4, "")]), slop=6).join(
+        df.select("doc_id", F.md5("text").alias("key")), "key").collect()
+    assert sorted((r.doc_id, r.item, r.start, r.end) for r in got) == [(0, 1, 0, 2), (2, 2, 0, 0)]
+
+
+def test_proximity_query_equals_brute_force(spark, sf_small):
+    import collections
+    import re
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if w]
+    texts = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    n = collections.Counter(w for t in texts.values() for w in t)
+    item = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect():
+        item[r.item_id] |= {w for w in words(r.text) if n[w]}
+    rare = {i: sorted(ws, key=lambda w: (n[w], w))[:D.LISTS] for i, ws in item.items() if ws}
+    want = {}
+    for d, t in texts.items():
+        at = collections.defaultdict(list)
+        for p, w in enumerate(t):
+            at[w].append(p)
+        near = lambda ws: any(all(any(s <= p < s + 20 for p in at.get(w, ())) for w in ws)
+                              for x in ws for s in at.get(x, ()))
+        want[d] = sum(near(ws) for ws in rare.values() if all(w in at for w in ws))
+    assert {r.doc_id: r.n_near for r in D.op4_proximity(spark, sf_small).collect()} == want and any(want.values())
