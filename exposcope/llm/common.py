@@ -102,3 +102,35 @@ def explode_values(df: DataFrame, value_col: str, keep: list[str], schema: str,
 
     return df.select(*keep, F.col(value_col).alias("__value")).mapInArrow(
         run, StructType([*kept.fields, *added.fields]))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``written`` made for ``df``, once later tables replace it."""
+    files = df.inputFiles()
+    if files:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getName().startswith("t-"):  # a folder of cut_lineage, never an input
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def packed(values: "np.ndarray") -> pa.Array:
+    """Rows of a 2-D array as a binary column."""
+    import numpy as np
+
+    values = np.ascontiguousarray(values)
+    n, width = len(values), values.itemsize * values.shape[1]
+    offsets = (np.arange(n + 1, dtype=np.int64) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array, dtype) -> "np.ndarray":
+    """The 2-D array behind a binary column of equally long values without nulls."""
+    import numpy as np
+
+    n = len(column)
+    if not n:
+        return np.zeros((0, 0), dtype)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4)
+    flat = np.frombuffer(column.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0])
+    return flat.reshape(n, -1).view(dtype)
