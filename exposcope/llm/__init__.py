@@ -2,7 +2,7 @@
 
 from exposcope.llm.catalog import ORACLES, QUERIES
 from exposcope.llm import (  # noqa: F401  (registration)
-    boilerplate, bpe, codes, decontaminate, langid, neardup, pii, ranking, repetition, secrets, spans, toxicity,
+    boilerplate, bpe, codes, decontaminate, langid, mil, neardup, pii, ranking, repetition, secrets, spans, toxicity,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
