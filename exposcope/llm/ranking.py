@@ -135,13 +135,14 @@ def impact_vectors(counts: DataFrame, weight: np.ndarray, docs: int, total: int)
             length = np.sqrt(np.add.reduceat(impact.astype(np.float64) ** 2, at[:-1]))  # no row is empty
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("doc")), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(term.astype(np.int32))),
-                 pa.ListArray.from_arrays(at.astype(np.int32), pa.array(impact)), pa.array(length)],
-                names=["doc", "terms", "impacts", "length"])
+                 pa.ListArray.from_arrays(at.astype(np.int32), pa.array(impact)), pa.array(length), pa.array(np.arange(b.num_rows))],
+                names=["doc", "terms", "impacts", "length", "place"])
 
-    vectors = counts.where(F.size("terms") > 0).mapInArrow(run, f"doc {key}, terms array<int>, impacts array<bigint>, length double")
+    vectors = counts.where(F.size("terms") > 0).mapInArrow(run, f"doc {key}, terms array<int>, impacts array<bigint>, length double, place bigint")
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(vectors.where("length > 0").repartitionByRange(parts, F.col("length").desc())
-                   .sortWithinPartitions(F.col("length").desc()))
+    # by place too, as copies of a text have one length and would all be in one range
+    return written(vectors.where("length > 0").repartitionByRange(parts, F.col("length").desc(), "place")
+                   .sortWithinPartitions(F.col("length").desc()).drop("place"))
 
 
 class Bucket:
