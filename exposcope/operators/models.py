@@ -1,9 +1,8 @@
 """Splits, class weights, classifier training / cross-validation, importances
 and model-based prediction (G4-G8, G14, F7).
 
-Classifiers are Spark ML estimators (distributed tree learners).  Splits and
-folds are exact and stratified without ranking a whole class in one task:
-rows are ordered by a seeded md5, bucketed by the hash prefix, and a row's
+Classifiers are this library's trees on binned features (``trees``).  Splits and
+folds are exact and stratified without ranking a whole class in one task: rows are ordered by a seeded md5, bucketed by the hash prefix, and a row's
 rank inside its class is (rows of the class in earlier buckets) + (rank inside
 its bucket).  Buckets are uniform in size by construction, so a class holding
 a third of all rows spreads over all buckets.
@@ -11,18 +10,19 @@ a third of all rows spreads over all buckets.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposcope.functions.columns import risk_label
-from exposcope.operators.encode import ScalerModel, assemble, fit_scaler
+from exposcope.operators.encode import ScalerModel, fit_scaler
 from exposcope.operators.iforest import IsolationForest, IsolationForestModel, anomaly_score
 from exposcope.operators.joins import attach
 from exposcope.operators.risk import predict_risk_rules
+from exposcope.operators.trees import BoostParams, Boosted, ForestParams, TreeModel, train_boosted, train_forest
 
 
 def _hash(key: str, seed: int):
@@ -129,68 +129,16 @@ def with_class_weights(df: DataFrame, label: str = "risk_score", out: str = "wei
 
 
 # ---------------------------------------------------------------- classifiers
-@dataclass
-class ForestParams:
-    """G6 parameters; the defaults are the published configuration."""
-    num_trees: int = 300
-    max_depth: int = 20
-    min_instances_per_node: int = 2
-    feature_subset: str = "sqrt"
-    subsampling_rate: float = 1.0
-    seed: int = 42
+def train_rf(train: DataFrame, features: Sequence[str], label: str = "risk_score", key: str = "event_id",
+             params: ForestParams | None = None) -> TreeModel:
+    """Random forest with balanced class weights."""
+    return train_forest(train, features, label, key, params)
 
 
-@dataclass
-class BoostParams:
-    """G7 parameters; the defaults are the published configuration (its L1 / L2
-    penalties have no Spark counterpart)."""
-    max_iter: int = 300
-    max_depth: int = 10
-    step_size: float = 0.1
-    subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
-    seed: int = 42
-
-
-def train_rf(train: DataFrame, features_col: str = "features", label: str = "label",
-             weight_col: str | None = "weight", params: ForestParams = ForestParams()):
-    """Random forest with balanced class weights."""
-    from pyspark.ml.classification import RandomForestClassifier
-    rf = RandomForestClassifier(
-        featuresCol=features_col, labelCol=label, numTrees=params.num_trees,
-        maxDepth=params.max_depth, minInstancesPerNode=params.min_instances_per_node,
-        featureSubsetStrategy=params.feature_subset, subsamplingRate=params.subsampling_rate,
-        seed=params.seed)
-    if weight_col:
-        rf = rf.setWeightCol(weight_col)
-    return rf.fit(train)
-
-
-def train_gbt(train: DataFrame, features_col: str = "features", label: str = "label",
-              params: BoostParams = BoostParams(), parallelism: int = 5):
-    """Multiclass boosted trees as one-vs-rest binary GBTs."""
-    from pyspark.ml.classification import GBTClassifier, OneVsRest
-    gbt = GBTClassifier(maxIter=params.max_iter, maxDepth=params.max_depth,
-                        stepSize=params.step_size, subsamplingRate=params.subsampling_rate,
-                        featureSubsetStrategy=params.feature_subset, seed=params.seed)
-    ovr = OneVsRest(classifier=gbt, featuresCol=features_col, labelCol=label,
-                    parallelism=parallelism)
-    return ovr.fit(train)
-
-
-def with_probabilities(pred: DataFrame, n_classes: int = 5, prefix: str = "prob_",
-                       ovr_margin: bool = False) -> DataFrame:
-    """Per-class probability columns; for one-vs-rest GBT margins m the class
-    score is sigmoid(2m), normalised over classes."""
-    from pyspark.ml.functions import vector_to_array
-    if not ovr_margin:
-        arr = vector_to_array(F.col("probability"))
-        return pred.withColumns({f"{prefix}{i}": arr[i] for i in range(n_classes)})
-    raw = vector_to_array(F.col("rawPrediction"))
-    d = pred.withColumn("__s", F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m))))
-    d = d.withColumn("__t", F.aggregate("__s", F.lit(0.0), lambda a, x: a + x))
-    d = d.withColumns({f"{prefix}{i}": F.col("__s")[i] / F.col("__t") for i in range(n_classes)})
-    return d.drop("__s", "__t")
+def train_gbt(train: DataFrame, features: Sequence[str], label: str = "risk_score", key: str = "event_id",
+              params: BoostParams | None = None) -> Boosted:
+    """Multiclass boosted trees with softmax, L1 and L2."""
+    return train_boosted(train, features, label, key, params)
 
 
 def confidence(pred: DataFrame, n_classes: int = 5, prefix: str = "prob_",
@@ -198,31 +146,23 @@ def confidence(pred: DataFrame, n_classes: int = 5, prefix: str = "prob_",
     return pred.withColumn(out, F.greatest(*[F.col(f"{prefix}{i}") for i in range(n_classes)]))
 
 
-@dataclass
-class CVResult:
-    accuracies: list[float] = field(default_factory=list)
-
-    @property
-    def mean(self) -> float:
-        return sum(self.accuracies) / len(self.accuracies)
-
-    @property
-    def std(self) -> float:
-        m = self.mean
-        return math.sqrt(sum((a - m) ** 2 for a in self.accuracies) / len(self.accuracies))
+def cross_validate_forest(df: DataFrame, features: Sequence[str], label: str = "risk_score", key: str = "event_id",
+                          k: int = 5, params: ForestParams | None = None, fold_col: str = "fold") -> DataFrame:
+    """Out-of-fold predictions.  ``df`` carries ``fold_col`` (see ``stratified_folds``);
+    the forests of all folds grow in the same passes, each without its fold's rows.
+    Returns ``df`` with probabilities and prediction; class weights are those of all rows,
+    which stratified folds share."""
+    model = train_forest(df, features, label, key, params, fold_col, k)
+    parts = [model.transform(df.where(F.col(fold_col) == f), f) for f in range(k)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def cross_validate(df: DataFrame, fit: Callable[[DataFrame], object], k: int = 5,
-                   label: str = "label", fold_col: str = "fold") -> CVResult:
-    """K-fold accuracy (mean, population std).  ``df`` carries ``fold_col``
-    (see ``stratified_folds``); each fold trains a distributed model."""
-    res = CVResult()
-    for i in range(k):
-        model = fit(df.filter(F.col(fold_col) != i))
-        pred = model.transform(df.filter(F.col(fold_col) == i))
-        acc = pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        res.accuracies.append(float(acc) if acc is not None else 0.0)
-    return res
+def cross_validate_boosted(df: DataFrame, features: Sequence[str], label: str = "risk_score", key: str = "event_id",
+                           k: int = 5, params: BoostParams | None = None, fold_col: str = "fold") -> DataFrame:
+    """G8 for boosted trees: ``label``, ``fold_col``, probabilities and prediction per row of
+    ``df``; the margins that training carries for a row's own fold are its out-of-fold prediction."""
+    got = train_boosted(df, features, label, key, params, fold_col, k).out_of_fold()
+    return got.withColumnsRenamed({"y": label, "fold": fold_col}).drop("rid")
 
 
 def fold_accuracy(pred: DataFrame, label: str, prediction: str, fold_col: str = "fold") -> DataFrame:
@@ -233,23 +173,18 @@ def fold_accuracy(pred: DataFrame, label: str, prediction: str, fold_col: str =
                    F.count(F.lit(1)).alias("folds"))
 
 
-def feature_importances(model, names: Sequence[str], k: int | None = None,
-                        spark=None) -> DataFrame:
+def feature_importances(model: TreeModel, k: int | None = None) -> DataFrame:
     """Named importances, largest first (top ``k``)."""
-    imp = model.featureImportances.toArray().tolist()
-    from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
-    df = spark.createDataFrame(list(zip(list(names), [float(x) for x in imp])),
-                               "feature string, importance double")
+    rows = [(c, float(v)) for c, v in zip(model.cols, model.importances())]
+    df = model.trees.sparkSession.createDataFrame(rows, "feature string, importance double")
     df = df.orderBy(F.col("importance").desc(), F.col("feature"))
     return df.limit(k) if k else df
 
 
-def classify(df: DataFrame, classifier, ovr_margin: bool = False, n_classes: int = 5) -> DataFrame:
+def classify(df: DataFrame, classifier: TreeModel) -> DataFrame:
     """A trained classifier's class, per-class probabilities, confidence (largest
-    probability) and level name, for rows with a feature vector."""
-    pred = with_probabilities(classifier.transform(df), n_classes, ovr_margin=ovr_margin)
-    pred = confidence(pred, n_classes)
+    probability) and level name, for rows with its features."""
+    pred = confidence(classifier.transform(df), classifier.classes)
     pred = pred.withColumn("predicted_risk", F.col("prediction").cast("int"))
     return pred.withColumn("risk_level", risk_label(F.col("predicted_risk")))
 
@@ -259,9 +194,8 @@ class RiskModels:
     """What F7 needs of a training run; every part is fitted on training rows."""
     scaler: ScalerModel
     forest: IsolationForestModel
-    classifier: object
+    classifier: TreeModel
     features: list[str]
-    ovr_margin: bool = False
 
 
 def fit_anomaly(train: DataFrame, features: Sequence[str], forest: IsolationForest | None = None,
@@ -287,5 +221,4 @@ def predict_risk(df: DataFrame, models: RiskModels | None = None) -> DataFrame:
     if models is None:
         return predict_risk_rules(df)
     full = with_anomaly(df, models.scaler, models.forest)
-    full = assemble(full, [*models.features, "anomaly_score"], handle_invalid="keep")
-    return classify(full, models.classifier, models.ovr_margin)
+    return classify(full, models.classifier)

@@ -1,9 +1,10 @@
 """Anomaly scoring, splits, weights, evaluation and model queries.
 
-Metric queries (G9-G13) evaluate the deterministic rule predictor (label =
-F1 level, prediction = F6 level, class scores = rule probabilities), so every
-number has a DuckDB oracle; trained-model queries return, per row, facts that
-hold for any correct model, which SQL derives from the same rows.
+The SQL-checked metric queries (G9-G13) evaluate the deterministic rule predictor
+(label = F1 level, prediction = F6 level, class scores = rule probabilities); the
+``g*_forest_*`` and ``g13_trained_models`` queries evaluate trained models on
+their hold-out and out-of-fold predictions.  Training queries also return, per
+row, facts that hold for any correct model, which SQL derives from the same rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from exposcope.operators import iforest, metrics, models, risk
-from exposcope.operators.encode import assemble
 from exposcope.operators.prepare import preprocess
 from exposcope.plans.catalog import query
 from exposcope.session import cut_lineage
@@ -264,16 +264,64 @@ def model_table(spark, sf_dir):
     return cut_lineage(models.stratified_split(prep, "risk_score", 0.2, 42, "event_id"))
 
 
+#: What a session trained already: (application, data) -> models.  Queries that need the
+#: same model train it once; a model is a table, so the session holds paths, not trees.
+_TRAINED: dict = {}
+
+
+def _once(spark, sf_dir, what, make):
+    at = (spark.sparkContext.applicationId, sf_dir, what)
+    if at not in _TRAINED:
+        _TRAINED[at] = make()
+    return _TRAINED[at]
+
+
 def training_frame(spark, sf_dir):
-    """(table, frame, scaler, forest): the model table; its rows with the 44
-    features, the label and weights.  All fits see training rows only."""
-    t = model_table(spark, sf_dir)
-    train = t.filter(F.col("is_test") == 0)
-    scaler, forest = models.fit_anomaly(train, MODEL_FEATURES, key="event_id")
-    full = models.with_anomaly(t, scaler, forest)
-    full = models.with_class_weights(full, "risk_score", fit_on=train)
-    full = cut_lineage(full.withColumn("label", F.col("risk_score").cast("double")))
-    return t, assemble(full, FEATURES_44), scaler, forest
+    """(table, frame, scaler, forest): the model table, and its rows with the 44
+    features.  All fits see training rows only."""
+    def make():
+        t = model_table(spark, sf_dir)
+        scaler, forest = models.fit_anomaly(t.filter(F.col("is_test") == 0), MODEL_FEATURES, key="event_id")
+        return t, cut_lineage(models.with_anomaly(t, scaler, forest)), scaler, forest
+    return _once(spark, sf_dir, "frame", make)
+
+
+def train_part(spark, sf_dir):
+    return training_frame(spark, sf_dir)[1].filter(F.col("is_test") == 0)
+
+
+def test_part(spark, sf_dir):
+    return training_frame(spark, sf_dir)[1].filter(F.col("is_test") == 1)
+
+
+def forest_model(spark, sf_dir):
+    return _once(spark, sf_dir, "rf", lambda: models.train_rf(train_part(spark, sf_dir), FEATURES_44, params=models.ForestParams()))
+
+
+def boosted_model(spark, sf_dir):
+    return _once(spark, sf_dir, "gbt", lambda: models.train_gbt(train_part(spark, sf_dir), FEATURES_44, params=models.BoostParams()))
+
+
+def _folds(spark, sf_dir):
+    return _once(spark, sf_dir, "folds", lambda: cut_lineage(
+        models.stratified_folds(train_part(spark, sf_dir), "risk_score", 5, 7, "event_id")))
+
+
+def _out_of_fold(spark, sf_dir, kind):
+    """label, prediction and fold of every training row, by the model that did not see it."""
+    def make():
+        f = _folds(spark, sf_dir)
+        p = models.cross_validate_forest(f, FEATURES_44, params=models.ForestParams()) if kind == "rf" \
+            else models.cross_validate_boosted(f, FEATURES_44, params=models.BoostParams())
+        return cut_lineage(p.select(F.col("risk_score").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "fold"))
+    return _once(spark, sf_dir, f"oof {kind}", make)
+
+
+def _predicted(spark, sf_dir, kind):
+    """Hold-out rows with label, prediction and class scores."""
+    model = forest_model(spark, sf_dir) if kind == "rf" else boosted_model(spark, sf_dir).model
+    return _once(spark, sf_dir, f"test {kind}", lambda: cut_lineage(
+        models.classify(test_part(spark, sf_dir), model).withColumn("label", F.col("risk_score").cast("int"))))
 
 
 def _valid():
@@ -283,16 +331,22 @@ def _valid():
             & F.col("confidence").between(0.2, 1 + 1e-9)).cast("int")
 
 
-def _checked(pred):
-    """event_id, label, valid, beats_majority (accuracy above the largest class's share)."""
-    p = cut_lineage(pred.select("event_id", F.col("label").cast("int").alias("label"), "predicted_risk",
-                                _valid().alias("valid")))
+#: Accuracy that a trained model must reach on the rule label (the published models have 0.76
+#: and 0.77 on a label with noise), by training rows: small tables hold too little to learn from.
+def least_accuracy(rows: int) -> float:
+    return 0.75 if rows >= 20_000 else 0.6
+
+
+def _checked(p, rows):
+    """event_id, label, valid, accurate (hold-out accuracy of at least ``least_accuracy`` and
+    above the largest class's share)."""
     n = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("predicted_risk")).alias("hit"))
-    beats = n.agg((F.sum("hit") > F.max("n")).cast("int")).first()[0]
-    return p.select("event_id", "label", "valid", F.lit(beats).alias("beats_majority"))
+    total, hit, most = n.agg(F.sum("n"), F.sum("hit"), F.max("n")).first()
+    ok = int(hit > most and hit >= least_accuracy(rows) * total)
+    return p.select("event_id", "label", _valid().alias("valid"), F.lit(ok).alias("accurate"))
 
 
-_TEST_ROWS = _sql("SELECT event_id, CAST(risk_score AS INTEGER) AS label, 1 AS valid, 1 AS beats_majority FROM rk "
+_TEST_ROWS = _sql("SELECT event_id, CAST(risk_score AS INTEGER) AS label, 1 AS valid, 1 AS accurate FROM rk "
                   "WHERE r <= floor(n * 0.2e0 + 0.5e0)", _RANK)
 
 
@@ -317,39 +371,93 @@ def g1_isolation_forest(spark, sf_dir):
 
 @query("g6_random_forest", _TEST_ROWS)
 def g6_random_forest(spark, sf_dir):
-    _, t, _, _ = training_frame(spark, sf_dir)
-    rf = models.train_rf(t.filter(F.col("is_test") == 0), params=models.ForestParams())
-    return _checked(models.classify(t.filter(F.col("is_test") == 1), rf))
+    return _checked(_predicted(spark, sf_dir, "rf"), train_part(spark, sf_dir).count())
 
 
-@query("g7_boosted_trees", _TEST_ROWS)
+@query("g7_boosted_trees", _TEST_ROWS.replace("1 AS accurate", "1 AS accurate, 1 AS loss_falls"))
 def g7_boosted_trees(spark, sf_dir):
-    _, t, _, _ = training_frame(spark, sf_dir)
-    gbt = models.train_gbt(t.filter(F.col("is_test") == 0), params=models.BoostParams())
-    return _checked(models.classify(t.filter(F.col("is_test") == 1), gbt, ovr_margin=True))
+    """Hold-out rows as for the forest; the training log loss must fall from write to write."""
+    losses = [x[-1] for x in boosted_model(spark, sf_dir).losses]
+    falls = int(all(a > b for a, b in zip(losses, losses[1:])))
+    return _checked(_predicted(spark, sf_dir, "gbt"), train_part(spark, sf_dir).count()).withColumn("loss_falls", F.lit(falls))
+
+
+_FOLD_ROWS = _sql(
+    "SELECT CAST((f - 1) % 5 AS INTEGER) AS fold, CAST(label AS INTEGER) AS label, count(*) AS rows, 1 AS accurate FROM "
+    "(SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('7-', event_id)), event_id) AS f "
+    "FROM (SELECT event_id, risk_score AS label FROM rk WHERE r > floor(n * 0.2e0 + 0.5e0))) GROUP BY 1, 2", _RANK)
 
 
-@query("g8_cv_forest", "SELECT 5 AS folds, 1 AS in_range")
+def _checked_folds(p):
+    """Rows per fold and class, and whether the fold's out-of-fold accuracy is what a hold-out's must be."""
+    per = p.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc"), F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in per)
+    ok = [r["fold"] for r in per if r["acc"] >= least_accuracy(total)]
+    return p.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.col("fold").cast("int").alias("fold"), "label", "rows", F.col("fold").isin(ok).cast("int").alias("accurate"))
+
+
+@query("g8_cv_forest", _FOLD_ROWS)
 def g8_cv_forest(spark, sf_dir):
-    """Five stratified folds over the training part."""
-    _, t, _, _ = training_frame(spark, sf_dir)
-    t = models.stratified_folds(t.filter(F.col("is_test") == 0), "risk_score", 5, 7, "event_id")
-    res = models.cross_validate(cut_lineage(t), lambda d: models.train_rf(d, params=models.ForestParams()), 5)
-    ok = 0.2 < res.mean <= 1 and 0 <= res.std < 0.5
-    return spark.range(1).select(F.lit(len(res.accuracies)).alias("folds"), F.lit(int(ok)).alias("in_range"))
+    """Five stratified folds over the training part, forests of the published size."""
+    return _checked_folds(_out_of_fold(spark, sf_dir, "rf"))
+
+
+@query("g8_cv_boosted", _FOLD_ROWS)
+def g8_cv_boosted(spark, sf_dir):
+    """The same for the boosted trees."""
+    return _checked_folds(_out_of_fold(spark, sf_dir, "gbt"))
+
+
+# ---- evaluation of the trained forest (values have no SQL form; tests recompute them) ----------
+@query("g9_forest_metrics")
+def g9_forest_metrics(spark, sf_dir):
+    return metrics.classification_metrics(_predicted(spark, sf_dir, "rf"))
+
+
+@query("g10_forest_report")
+def g10_forest_report(spark, sf_dir):
+    return metrics.classification_report(_predicted(spark, sf_dir, "rf"))
+
+
+@query("g11_forest_confusion")
+def g11_forest_confusion(spark, sf_dir):
+    return metrics.confusion_matrix(_predicted(spark, sf_dir, "rf"))
+
+
+@query("g12_forest_auc")
+def g12_forest_auc(spark, sf_dir):
+    return metrics.roc_auc(metrics.roc_points(_predicted(spark, sf_dir, "rf")))
+
+
+@query("g13_trained_models")
+def g13_trained_models(spark, sf_dir):
+    """Forest and boosted trees: hold-out metrics, 5-fold mean and std, and the best by accuracy."""
+    named = []
+    for name, kind in (("Random Forest", "rf"), ("Boosted Trees", "gbt")):
+        m = metrics.classification_metrics(_predicted(spark, sf_dir, kind))
+        cv = models.fold_accuracy(_out_of_fold(spark, sf_dir, kind), "label", "prediction").select("cv_accuracy", "cv_std")
+        named.append((name, m.crossJoin(F.broadcast(cv))))  # one row each
+    both = cut_lineage(metrics.compare_models(named))
+    best = metrics.best_model(both).first()["model"]
+    return both.withColumn("is_best", (F.col("model") == best).cast("int"))
+
+
+#: Features that the rule's label depends on, of which a good model must rank some on top.
+_RULE_FEATURES = ["cvss_base_score", "leak_severity_encoded", "exploit_maturity_encoded", "has_credentials",
+                  "exploit_availability", "domain_reputation_score", "anomaly_score"]
 
 
 @query("g14_feature_importances", "SELECT * FROM (VALUES "
-       + ", ".join(f"('{f}', 1, 1, 1)" for f in FEATURES_44) + ") t(feature, in_range, sums_to_one, ranked)")
+       + ", ".join(f"('{f}', 1, 1, 1, 1)" for f in FEATURES_44) + ") t(feature, in_range, sums_to_one, ranked, useful_first)")
 def g14_feature_importances(spark, sf_dir):
-    """All 44 features, importances in [0, 1] with sum 1, ranked by them."""
-    _, t, _, _ = training_frame(spark, sf_dir)
-    rf = models.train_rf(t.filter(F.col("is_test") == 0), params=models.ForestParams())
-    rows = [tuple(r) for r in models.feature_importances(rf, FEATURES_44, spark=spark).collect()]
+    """All 44 features, importances in [0, 1] with sum 1, ranked by them; the first three are the rule's."""
+    rows = [tuple(r) for r in models.feature_importances(forest_model(spark, sf_dir)).collect()]  # a row per feature
     one = int(abs(sum(v for _, v in rows) - 1) < 1e-9)
     ranked = int(all(a[1] >= b[1] for a, b in zip(rows, rows[1:])))
-    return spark.createDataFrame([(f, int(0 <= v <= 1), one, ranked) for f, v in rows],
-                                 "feature string, in_range int, sums_to_one int, ranked int")
+    useful = int(all(f in _RULE_FEATURES for f, _ in rows[:3]))
+    return spark.createDataFrame([(f, int(0 <= v <= 1), one, ranked, useful) for f, v in rows],
+                                 "feature string, in_range int, sums_to_one int, ranked int, useful_first int")
 
 
 @query("f7_predict_models", _sql(
@@ -357,8 +465,38 @@ def g14_feature_importances(spark, sf_dir):
 def f7_predict_models(spark, sf_dir):
     """The composed model path over all rows: scale, isolation forest on its fitted
     offset, classifier on 44 features, class, confidence and level."""
-    t, frame, scaler, forest = training_frame(spark, sf_dir)
-    rf = models.train_rf(frame.filter(F.col("is_test") == 0), params=models.ForestParams())
-    p = models.predict_risk(t, models.RiskModels(scaler, forest, rf, MODEL_FEATURES))
+    t, _, scaler, forest = training_frame(spark, sf_dir)
+    p = models.predict_risk(t, models.RiskModels(scaler, forest, forest_model(spark, sf_dir), MODEL_FEATURES))
     ok = F.col("risk_level").isNotNull() & F.col("anomaly_score").between(0, 1)
     return p.select("event_id", "is_test", _valid().alias("valid"), ok.cast("int").alias("scored"))
+
+
+@query("f9_forest_explain")
+def f9_forest_explain(spark, sf_dir):
+    """F9 on the trained forest's importances instead of the rule's shares."""
+    from exposcope.operators.explain import explain
+    return explain(test_part(spark, sf_dir), models.feature_importances(forest_model(spark, sf_dir)), ["event_id"])
+
+
+@query("l1_model_stream", with_ctes("SELECT event_id, 1 AS same FROM labeled"))
+def l1_model_stream(spark, sf_dir):
+    """Streamed events scored by saved and reloaded models (scaler, isolation forest on its
+    offset, classifier): class, scores and level equal the batch result of the originals."""
+    from exposcope.operators.encode import encode_all
+    from exposcope.plans.io_queries import _scratch
+    from exposcope.sources.standin import exposure_clean
+    from exposcope.streaming import scoring
+    _, _, scaler, forest = training_frame(spark, sf_dir)
+    own = models.RiskModels(scaler, forest, forest_model(spark, sf_dir), MODEL_FEATURES)
+    path = _scratch(spark, "stream_models")
+    models_io.save_scaler(spark, scaler, f"{path}/scaler")
+    models_io.save_forest(spark, forest, f"{path}/iforest")
+    models_io.save_model(own.classifier, f"{path}/rf")
+    back = models.RiskModels(models_io.load_scaler(spark, f"{path}/scaler"), models_io.load_forest(spark, f"{path}/iforest"),
+                             models_io.load_model(spark, f"{path}/rf"), MODEL_FEATURES)
+    cols = ["predicted_risk", "anomaly_score", "anomaly_flag", "confidence", "risk_level"]
+    got = scoring.run_available(scoring.score_stream(scoring.exposure_stream(spark, sf_dir), back).select("event_id", *cols), "l1_models")
+    batch = encode_all(risk.risk_score(exposure_clean(spark, sf_dir)), domain_codes=False)
+    want = models.predict_risk(batch, own).select("event_id", F.struct(*cols).alias("want"))
+    both = got.select("event_id", F.struct(*cols).alias("got")).join(want, "event_id", "full")
+    return both.select("event_id", F.coalesce((F.col("got") == F.col("want")).cast("int"), F.lit(0)).alias("same"))

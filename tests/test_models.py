@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from exposcope.operators import iforest, models
-from exposcope.operators.encode import assemble
 from exposcope.schema import MODEL_FEATURES
 
 
@@ -81,17 +80,16 @@ def test_class_weights_balanced(spark):
 def test_random_forest_beats_majority_and_reloads(spark, sf_small, tmp_path_factory):
     from exposcope.plans.ml_queries import model_table
     from exposcope.sources import models_io
-    t = models.with_class_weights(model_table(spark, sf_small), "risk_score")
-    t = assemble(t.withColumn("label", F.col("risk_score").cast("double")), MODEL_FEATURES)
-    rf = models.train_rf(t.filter("is_test = 0"), params=models.ForestParams(num_trees=15))
+    t = model_table(spark, sf_small)
+    rf = models.train_rf(t.filter("is_test = 0"), MODEL_FEATURES, params=models.ForestParams(num_trees=15))
     test = t.filter("is_test = 1")
     pred = models.classify(test, rf)
-    acc = pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-    majority = test.groupBy("label").count().agg(F.max("count")).first()[0] / test.count()
+    acc = pred.agg(F.avg((F.col("risk_score") == F.col("prediction")).cast("double"))).first()[0]
+    majority = test.groupBy("risk_score").count().agg(F.max("count")).first()[0] / test.count()
     assert acc > majority
     path = str(tmp_path_factory.mktemp("rf"))
     models_io.save_model(rf, path)
-    back = models_io.load_model("rf", path)
+    back = models_io.load_model(spark, path)
     a = [r[0] for r in rf.transform(test).orderBy("event_id").select("prediction").collect()]
     b = [r[0] for r in back.transform(test).orderBy("event_id").select("prediction").collect()]
     assert a == b
@@ -108,8 +106,7 @@ def test_stream_model_scoring_equals_batch_and_single_rows(spark, sf_small):
     batch = encode_all(risk_score(exposure_clean(spark, sf_small)), domain_codes=False)
     scaler, forest = models.fit_anomaly(batch, MODEL_FEATURES, iforest.IsolationForest(num_trees=20), "event_id")
     full = models.with_anomaly(batch, scaler, forest)
-    train = assemble(full.withColumn("label", F.col("risk_score").cast("double")), [*MODEL_FEATURES, "anomaly_score"])
-    rf = models.train_rf(train, weight_col=None, params=models.ForestParams(num_trees=5, max_depth=4))
+    rf = models.train_rf(full, [*MODEL_FEATURES, "anomaly_score"], params=models.ForestParams(num_trees=5, max_depth=4))
     fitted = models.RiskModels(scaler, forest, rf, MODEL_FEATURES)
     cols = ["event_id", "predicted_risk", "anomaly_score", "anomaly_flag", "confidence", "risk_level"]
     want = {r["event_id"]: r for r in models.predict_risk(batch, fitted).select(cols).collect()}
