@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from exposcope.llm.catalog import query
 from exposcope.llm.common import map_texts, table
 
-#: Encodings kept per Python worker: so many recent pieces and as many older ones.
-MEMO_PIECES = 150_000
+#: Encodings kept per Python worker: so many recent pieces and as many older ones (of at
+#: most MEMO_BYTES, about 30 MB in all), and so many facts about pairs of tokens (30 MB).
+MEMO_PIECES, MEMO_PAIRS = 100_000, 300_000
 #: Longer pieces are encoded without the memo.
 MEMO_BYTES = 64
 
@@ -51,8 +52,9 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         #: Token -> its last (first) part at each step of its own merges; tokens
         #: that these do not rebuild are missing and can appear in no table.
-        self.ends: dict[int, list[tuple[bytes, int]]] = {}
-        self.begins: dict[int, list[tuple[bytes, int]]] = {}
+        self.ends: dict[int, tuple] = {}
+        self.begins: dict[int, tuple] = {}
+        self.own = {t: t for t in ranks}  # parts of tokens are tokens: one object for each
         self.tokens_in = ahocorasick.Automaton()
         for t, i in ranks.items():
             if self._trace(t, i):
@@ -81,7 +83,7 @@ class PrefixBPE:
             if k == len(parts) - 1:
                 right[-1][1] = r
                 right.append([parts[-1], never])
-        self.begins[i], self.ends[i] = left, right
+        self.begins[i], self.ends[i] = (tuple((self.own[t], r) for t, r in side) for side in (left, right))
         return True
 
     def merge(self, piece: bytes) -> list[int]:
@@ -109,7 +111,7 @@ class PrefixBPE:
         return True
 
     def _know(self, key: int) -> bool:
-        if len(self.pair_ok) > 2 * MEMO_PIECES:
+        if len(self.pair_ok) > MEMO_PAIRS:
             self.pair_ok.clear()
         ok = self.pair_ok[key] = self.compatible(key >> 20, key & 0xFFFFF)
         return ok
@@ -300,11 +302,24 @@ def decode_ids(df: DataFrame, vocabulary, ids_col: str = "ids", keep=("doc_id",)
 
 
 def round_trip(docs: DataFrame, vocabulary) -> DataFrame:
-    """Encode, then decode the ids: doc_id, ids, n_tokens, ids_sha256, decoded."""
-    coded = encode_texts(docs, vocabulary).select(
-        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"))
-    return decode_ids(coded, vocabulary, keep=("doc_id", "n_tokens", "ids_sha256"))
+    """Encode, then decode the ids: doc_id, ids, n_tokens, ids_sha256, decoded.
+
+    Both happen in one map, so that a core has one Python worker with one encoder;
+    the text is decoded from the ids as they are stored.  A null or empty text gives
+    zero ids and zero bytes; null ids of rows stay, repeated rows repeat, an empty
+    table gives an empty result; other columns, whatever their names, aren't carried.
+    """
+    def make():
+        enc = vocabulary.value.encoder()
+
+        def both(text):
+            ids = enc.encode(text) if text else b""
+            return ids, enc.decode(ids) if ids else b""
+        return lambda texts: [both(t) for t in texts]
+
+    coded = map_texts(docs, "text", ["doc_id"], "ids binary, decoded binary", make)
+    return coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), "decoded")
 
 
 @query("op1_bpe_encode_decode")
