@@ -8,14 +8,17 @@ inlines them as literals, so it is a map-only projection with no join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from exposcope.functions.columns import clamp as clamp_col
-from exposcope.operators.joins import attach
+from exposcope.session import cut_lineage, ship_package
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -115,35 +118,111 @@ def impute_mode(df: DataFrame, cols: Sequence[str] | None = None,
 def forward_fill(df: DataFrame, col: str, order_by: Sequence[str],
                  partition_by: Sequence[str] = (), bucket: Column | None = None,
                  out: str | None = None) -> DataFrame:
-    """C4: carry the last non-null value forward in ``order_by`` order.
-
-    With ``bucket`` (e.g. ``to_date(ts)``, monotone in ``order_by``) the fill is
-    two-level so that a hot partition key is spread over its buckets: (1) fill
-    inside each (key, bucket), null keys included; (2) per (key, bucket) keep the last non-null
-    value — a table bounded by keys x buckets — and carry it across buckets with
-    an ordered window; (3) join that carry back on (key, bucket).  Without
-    ``bucket`` a plain window over ``partition_by`` is used.
+    """C4: carry the last non-null value forward in ``order_by`` order, per key of
+    ``partition_by`` (null keys are keys; without any all rows are one).  Callers may
+    still name a ``bucket`` within keys; the scan doesn't need it.
+
+    A segmented scan over range partitions: rows are range-partitioned and sorted
+    by (key, order), so a key with very many rows spreads over tasks.  One map fills
+    inside each partition, in the order of the rows, and marks the rows at the start
+    of the partition's first key that saw no value yet; each partition reports its
+    last key and that key's last value.  These reports (a row per partition) give
+    the value carried into each partition, which the marked rows take.
     """
+    spark = df.sparkSession
+    ship_package(spark)
     out = out or col
-    order = [F.col(c) for c in order_by]
-    if bucket is None:
-        w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
-    keys = list(partition_by) + ["_ff_bucket"]
-    d = df.withColumn("_ff_bucket", bucket)
-    w_in = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_ff_local", F.last(col, ignorenulls=True).over(w_in))
-    present = F.col(col).isNotNull()
-    last_per_bucket = (d.groupBy(*keys).agg(
-        F.max_by(F.when(present, F.col(col)), F.when(present, F.struct(*order)))
-        .alias("_ff_last")))
-    w_b = Window.partitionBy(*partition_by).orderBy("_ff_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = last_per_bucket.withColumn("_ff_carry", F.last("_ff_last", ignorenulls=True).over(w_b))
-    d = attach(d, carry.select(*keys, "_ff_carry"), keys, "left")
-    return (d.withColumn(out, F.coalesce(F.col("_ff_local"), F.col("_ff_carry")))
-            .drop("_ff_bucket", "_ff_local", "_ff_carry"))
+    keys, names = [f"__k{i}" for i in range(len(partition_by))], list(df.columns)
+    order = [f"__o{i}" for i in range(len(order_by))]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(*names, F.col(col).alias("__v"), *[F.col(c).alias(k) for c, k in zip(partition_by, keys)],
+                  *[F.col(c).alias(o) for c, o in zip(order_by, order)])
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    d = (d.repartitionByRange(parts, *by) if by else d.repartition(1)).sortWithinPartitions(*by) \
+        .withColumn("__pid", F.spark_partition_id())
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True, f.metadata) for f in d.select(*names, "__v", *keys, "__pid").schema],
+                           T.StructField("__open", T.BooleanType()), T.StructField("__report", T.BooleanType())])
+    filled = cut_lineage(d.mapInArrow(_fill_partitions(len(names), len(keys)), schema))
+    carry = _carried(filled.where(F.col("__report")).select("__pid", *keys, "__v", "__open"), keys)
+    rows = filled.where(~F.col("__report"))
+    if not carry:
+        return rows.select(*[F.col("__v").alias(out) if c == out else F.col(c) for c in names],
+                           *([] if out in names else [F.col("__v").alias(out)]))
+    into = spark.createDataFrame(list(carry.items()), T.StructType([
+        T.StructField("__into", T.IntegerType()), T.StructField("__carry", filled.schema["__v"].dataType)]))
+    # a row per partition that a key with a value goes on in
+    rows = rows.join(F.broadcast(into), F.col("__pid") == F.col("__into"), "left")
+    value = F.when(F.col("__open"), F.col("__carry")).otherwise(F.col("__v"))
+    return rows.select(*[value.alias(out) if c == out else F.col(c) for c in names],
+                       *([] if out in names else [value.alias(out)]))
+
+
+def _fill_partitions(width: int, n_keys: int):
+    """The map of ``forward_fill``: rows in key order with ``__v`` filled as far as the
+    partition knows, then one report (first and last key are told by its own rows)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None  # (last key and value so far as one-row arrays, whether still in the first key, any value seen)
+        first_key, schema = None, None
+        last_v, in_first, has = None, True, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, key_cols, pid = b.column(width), [b.column(width + 1 + k) for k in range(n_keys)], b.column(b.num_columns - 1)
+            n = b.num_rows
+            change = np.zeros(n, bool)  # rows whose key differs from the row before
+            for k, c in enumerate(key_cols):
+                before = pa.concat_arrays([(state[k] if state else c.slice(0, 1)), c.slice(0, n - 1)])
+                differ = np.asarray(pc.fill_null(pc.not_equal(c, before), False)) if not pa.types.is_null(c.type) else np.zeros(n, bool)
+                change |= differ | (np.asarray(c.is_null()) != np.asarray(before.is_null()))
+            if first_key is None:
+                first_key = [c.slice(0, 1) for c in key_cols]
+            # position of the last value at or before each row, in an array that starts with the carried one
+            source = pa.concat_arrays([last_v if last_v is not None else pa.nulls(1, v.type), v])
+            at = np.arange(1, n + 1)
+            seen = np.maximum.accumulate(np.where(np.asarray(v.is_valid()), at, 0))
+            start = np.maximum.accumulate(np.where(change, at, 0))  # 0: the key that goes on from before
+            at = np.where(seen >= np.maximum(start, 1), seen, 0)
+            known = (at > 0) | ((start == 0) & has)
+            got = source.take(pa.array(np.where(at > 0, at, 0), mask=~known))
+            open_ = ~known & (start == 0) & in_first
+            out = [*b.columns[:width], got, *key_cols, pid, pa.array(open_), pa.array(np.zeros(n, bool))]
+            batch = pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:width + 1 + n_keys], "__pid", "__open", "__report"])
+            schema = batch.schema
+            yield batch
+            state = [c.slice(n - 1, 1) for c in key_cols]
+            last_v, has = got.slice(n - 1, 1), bool(known[-1])
+            in_first = in_first and not change.any()
+        if schema is not None:
+            blank = [pa.nulls(2, schema.field(i).type) for i in range(width)]
+            pids = pid.slice(0, 1)
+            yield pa.RecordBatch.from_arrays(
+                [*blank, pa.concat_arrays([pa.nulls(1, last_v.type), last_v]),
+                 *[pa.concat_arrays([a, z]) for a, z in zip(first_key, state)], pa.concat_arrays([pids, pids]),
+                 # the first report row tells the first key, the second the last key and its value; __open: one key only
+                 pa.array([in_first, None]), pa.array([True, True])], schema=schema)
+    return run
+
+
+def _carried(reports: DataFrame, keys: Sequence[str]) -> dict:
+    """Partition -> value that the key it starts with brings from earlier partitions.
+    Two report rows per partition: its first key, and its last key with the last value."""
+    first, last = {}, {}
+    for r in reports.collect():  # two rows per partition
+        key = tuple(r[k] for k in keys)
+        if r["__open"] is not None:
+            first[r["__pid"]] = (key, r["__open"])
+        else:
+            last[r["__pid"]] = (key, r["__v"])
+    out, key, value = {}, None, None
+    for pid in sorted(first):
+        starts, alone = first[pid]
+        if key is not None and starts == key[0] and value is not None:
+            out[pid] = value
+        ends, own = last[pid]
+        if alone and own is None and key is not None and starts == key[0]:
+            own = value  # a partition inside one key without any value hands on what it got
+        key, value = (ends,), own
+    return out
 
 
 class IncompleteDataError(ValueError):

@@ -1,5 +1,5 @@
 """The cleaning chain of the published pipeline as one composable function:
-impute (median / mode) -> dedupe -> encode -> flag outliers.
+impute (median / mode) -> fill times -> check -> dedupe -> encode -> flag outliers.
 
 Order matters: statistics are fitted before dedupe, over the duplicates too.
 """
@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
-from exposcope.operators.clean import dedupe
+from exposcope.operators.clean import IncompleteDataError, columns_with_nulls, dedupe, forward_fill
 from exposcope.operators.encode import encode_all
 from exposcope.operators.outliers import flag_outliers
 from exposcope.schema import OUTLIER_FEATURES
@@ -23,8 +24,7 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None,
            exact: bool = True) -> DataFrame:
     """Median for numeric gaps, mode for categorical gaps (plus one null-count
     pass when the columns are discovered)."""
-    from pyspark.sql import functions as F
-    from exposcope.operators.clean import columns_with_nulls, numeric_columns, string_columns
+    from exposcope.operators.clean import numeric_columns, string_columns
     if numeric is None or categorical is None:
         found = columns_with_nulls(df, numeric_columns(df, exclude) + string_columns(df, exclude))
         numeric = numeric if numeric is not None else [c for c in found
@@ -41,16 +41,29 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None,
 
 
 def clean_events(raw: DataFrame, numeric: Sequence[str] | None = None,
-                 categorical: Sequence[str] | None = None, materialize: bool = True) -> DataFrame:
-    """Imputed and deduplicated events.
+                 categorical: Sequence[str] | None = None, materialize: bool = True,
+                 timestamp: str = "ts", order: str = "_o") -> DataFrame:
+    """Imputed, time-filled, complete and deduplicated events.
 
-    With ``materialize`` the result is written once to the shared checkpoint
-    folder: every later fit (fences, scaler, codes) and the final query then
-    read it instead of re-running the imputation scan and the dedupe shuffle
-    (the published pipeline likewise hands a written table to its next stage).
+    Gaps in ``timestamp`` take the last earlier time in ``order`` of the rows (if both
+    columns are there).  With ``materialize`` the result is written once to the shared
+    checkpoint folder: every later fit (fences, scaler, codes) and the final query then
+    read it instead of re-running the imputation scan and the dedupe shuffle (the
+    published pipeline likewise hands a written table to its next stage).  What nulls
+    are left is counted while that table is written, and raises ``IncompleteDataError``.
     """
-    out = dedupe(impute(raw, numeric, categorical))
-    return cut_lineage(out) if materialize else out
+    filled = impute(raw, numeric, categorical)
+    if timestamp in raw.columns and order in raw.columns and columns_with_nulls(raw, [timestamp]):
+        filled = forward_fill(filled, timestamp, [order])
+    if not materialize:
+        return dedupe(filled)
+    seen = Observation()
+    counted = filled.observe(seen, F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in filled.columns])
+    out = cut_lineage(dedupe(counted))
+    left = {c: n for c, n in seen.get.items() if n and c != "__rows"}
+    if left:
+        raise IncompleteDataError(f"nulls remain: {left}")
+    return out
 
 
 def preprocess(raw: DataFrame, numeric: Sequence[str] | None = None,

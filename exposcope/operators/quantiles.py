@@ -1,13 +1,13 @@
 """Exact quantiles with bounded memory (linear interpolation, as pandas/numpy).
 
-Global quantiles narrow in on the order statistics by counting: each pass
-counts the rows of every still open (column, rank) in BUCKETS equal-width
-buckets of its interval, together with each bucket's least and largest value,
-and keeps the bucket that holds the rank.  A bucket with one distinct value
-ends the search, else its value range is the next interval.  Whatever the data
-size, a pass shuffles and returns at most BUCKETS rows per open rank; the
-number of passes depends on how values are spread, not on how many there are.
-There is one path for all sizes.
+Global quantiles are radix selection on order-preserving 64-bit keys: the bits of a
+double, flipped so that keys sort as values do.  Each pass counts, for every still
+open (column, rank), the keys of its interval in BUCKETS buckets of a power of two
+wide, with each bucket's least and greatest key, and keeps the bucket that holds
+the rank.  An interval loses 11 bits a pass, so that after the pass for counts and
+ranges at most 6 more find any rank, however values are spread; a bucket with one
+distinct value ends a search at once.  Whatever the data size, a pass shuffles and
+returns at most BUCKETS rows per open rank.  There is one path for all sizes.
 
 Grouped quantiles compress rows to (group, value, count) and read the order
 statistics off exact running counts.
@@ -16,14 +16,36 @@ statistics off exact running counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exposcope.operators.joins import attach, running_count
+from exposcope.session import ship_package
 
-BUCKETS = 1024
+BUCKETS = 2048
+_LOW63 = (1 << 63) - 1
+
+
+def to_key(v: float) -> int:
+    """A signed 64-bit number that sorts as ``v`` does (0.0 and -0.0 are one)."""
+    bits = struct.unpack("<q", struct.pack("<d", v + 0.0))[0]
+    return bits if bits >= 0 else bits ^ _LOW63
+
+
+def from_key(k: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", k if k >= 0 else k ^ _LOW63))[0]
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    """Keys of the values of a double column, nulls and NaN left out."""
+    v = np.asarray(column.drop_null(), np.float64)
+    bits = (v[~np.isnan(v)] + 0.0).view(np.int64)
+    return np.where(bits >= 0, bits, bits ^ np.int64(_LOW63))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -40,17 +62,17 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    *extra).first().asDict()
     out: dict = {"__extra": {k: v for k, v in first.items() if not k.startswith("__q")}}
     found: dict[tuple[int, int], float] = {}
-    # open searches: (column, rank) -> (low, high, rows below low)
-    search: dict[tuple[int, int], tuple[float, float, int]] = {}
+    # open searches: (column, rank) -> (least key, greatest key, rows below)
+    search: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i, c in enumerate(cols):
         n = first[f"__qn{i}"]
         for p in probs if n else []:
             k = math.floor(p * (n - 1))
             for r in {k, min(k + 1, n - 1)}:
-                search[i, r] = (first[f"__qlo{i}"], first[f"__qhi{i}"], 0)
+                search[i, r] = (to_key(first[f"__qlo{i}"]), to_key(first[f"__qhi{i}"]), 0)
     while True:
         for key in [k for k, (lo, hi, _) in search.items() if lo == hi]:
-            found[key] = search.pop(key)[0]
+            found[key] = from_key(search.pop(key)[0])
         if not search:
             break
         search = _narrow(df, x, cols, search, buckets)
@@ -70,20 +92,39 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 def _narrow(df, x, cols, search, buckets):
     """One counting pass: every open search moves to the bucket that holds its rank."""
+    ship_package(df.sparkSession)
     spans = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in search.items()})
-    marks = []
-    for s, (i, lo, hi) in enumerate(spans):
-        v = x[cols[i]]
-        if math.isinf(lo) or math.isinf(hi):  # infinities get buckets of their own
-            at = F.when(v == F.lit(-math.inf), F.lit(0)).when(v == F.lit(math.inf), F.lit(buckets - 1)).otherwise(F.lit(1))
-        else:  # halves keep the width finite for values near the ends of the range
-            at = F.floor((v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * buckets) if hi / 2 > lo / 2 \
-                else F.when(v > F.lit(lo), F.lit(1)).otherwise(F.lit(0))
-        b = F.greatest(F.lit(0), F.least(at, F.lit(buckets - 1))).cast("int")
-        marks.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                            F.struct(F.lit(s).alias("s"), b.alias("b"), v.alias("v"))))
-    rows = (df.select(F.explode(F.filter(F.array(*marks), lambda e: e.isNotNull())).alias("m"))
-            .groupBy("m.s", "m.b").agg(F.count(F.lit(1)).alias("n"), F.min("m.v").alias("lo"), F.max("m.v").alias("hi"))
+    used = sorted({i for i, _, _ in spans})
+    shifts = []
+    for _, lo, hi in spans:
+        shift = 0
+        while (hi - lo) >> shift >= buckets:
+            shift += 1
+        shifts.append(shift)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(spans), buckets), np.int64)
+        least, most = np.full(n.shape, _LOW63, np.int64), np.full(n.shape, -_LOW63 - 1, np.int64)
+        for b in batches:
+            keys = {i: np.sort(_keys(b.column(k))) for k, i in enumerate(used)}
+            for s, ((i, lo, hi), shift) in enumerate(zip(spans, shifts)):
+                k = keys[i][np.searchsorted(keys[i], lo):np.searchsorted(keys[i], hi, side="right")]
+                if not len(k):
+                    continue
+                with np.errstate(over="ignore"):  # the distance from lo, as an unsigned number
+                    at = (k.view(np.uint64) - np.array(lo, np.int64).view(np.uint64)) >> np.uint64(shift)
+                ends = np.append(np.flatnonzero(at[1:] != at[:-1]), len(k) - 1)
+                starts = np.append(0, ends[:-1] + 1)
+                mine = at[starts].astype(np.int64)
+                n[s, mine] += ends - starts + 1
+                least[s, mine] = np.minimum(least[s, mine], k[starts])
+                most[s, mine] = np.maximum(most[s, mine], k[ends])
+        s, at = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(at, pa.int32()), pa.array(n[s, at]),
+                                          pa.array(least[s, at]), pa.array(most[s, at])], names=["s", "b", "n", "lo", "hi"])
+
+    rows = (df.select(*[x[cols[i]].alias(f"x{i}") for i in used]).mapInArrow(count, "s int, b int, n bigint, lo bigint, hi bigint")
+            .groupBy("s", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .collect())  # at most ``buckets`` rows per open search
     table: dict[int, list] = {}
     for r in sorted(rows, key=lambda r: (r["s"], r["b"])):

@@ -104,7 +104,7 @@ def c3_impute_mode(spark, sf_dir):
     "FROM raw", raw=True))
 def c4_forward_fill(spark, sf_dir):
     d = clean.forward_fill(_raw(spark, sf_dir), "cvss_base_score", ["ts", "event_id"],
-                           ["source_type"], bucket=F.to_date("ts"), out="cvss_ffill")
+                           ["source_type"], out="cvss_ffill")
     return d.select("event_id", "cvss_ffill")
 
 

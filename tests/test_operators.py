@@ -51,6 +51,48 @@ def test_forward_fill_two_level_matches_window_with_hot_key(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_forward_fill_equals_a_plain_loop(spark, seed):
+    """Hot and null keys, keys over many partitions, long stretches without any value, all types."""
+    import random
+    r = random.Random(seed)
+    gap = [0.3, 0.9, 0.99, 1.0][seed]
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), i // 3, i, None if r.random() < gap else f"v{i}", i % 2) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, v string, __open int").repartition(6)
+    for keys in (["k"], ["k", "__open"], []):
+        last, want = {}, {}
+        for k, _, i, v, o in rows:
+            g = tuple({"k": k, "__open": o}[c] for c in keys)
+            last[g] = v if v is not None else last.get(g)
+            want[i] = last[g]
+        got = clean.forward_fill(df.drop("__open") if "__open" not in keys else df.withColumnRenamed("__open", "__open_"), "v", ["t", "id"],
+                                 [c.replace("__open", "__open_") for c in keys], out="f")
+        assert {x["id"]: x["f"] for x in got.collect()} == want
+        assert [x["v"] for x in got.orderBy("id").collect()] == [x[3] for x in rows]
+
+
+def test_forward_fill_spreads_one_key(spark):
+    """A key with all rows is filled by as many tasks as there are partitions, on the same column too."""
+    df = spark.range(4000).select(F.when(F.col("id") % 700 == 5, F.col("id")).alias("v"), F.col("id").alias("t"), F.lit(1).alias("k"))
+    got = clean.forward_fill(df, "v", ["t"], ["k"])
+    assert got.columns == ["v", "t", "k"]
+    assert all(r["v"] == (None if r["t"] < 5 else (r["t"] - 5) // 700 * 700 + 5) for r in got.collect())
+    assert got.select(F.spark_partition_id()).distinct().count() >= 4 or got.rdd.getNumPartitions() >= 4
+    assert clean.forward_fill(df.where("false"), "v", ["t"], ["k"]).count() == 0
+
+
+def test_cleaning_fills_times_and_raises_on_what_is_left(spark):
+    from exposcope.operators.prepare import clean_events
+    rows = [(i, None if i % 3 == 1 else dt.datetime(2024, 1, 1 + i), float(i), "x" if i else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "_o int, ts timestamp_ntz, a double, s string")
+    got = {r["_o"]: r["ts"] for r in clean_events(df).collect()}
+    assert all(got[i] == dt.datetime(2024, 1, 1 + (i - 1 if i % 3 == 1 else i)) for i in range(9))
+    with pytest.raises(clean.IncompleteDataError):
+        clean_events(df.withColumn("ts", F.when(F.col("_o") > 0, F.col("ts"))))  # nothing before the first row
+    with pytest.raises(clean.IncompleteDataError):
+        clean_events(df.withColumn("b", F.when(F.col("_o") > 2, F.current_date())))
+
+
 def test_clamp_keeps_null(spark):
     df = spark.createDataFrame([(-5,), (10,), (500,), (None,)], "x int")
     got = [r[0] for r in clean.clamp(df, "x", 0, 365).collect()]

@@ -58,3 +58,38 @@ def test_many_distinct_values(spark):
 def test_null_groups(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     assert {r["g"]: (r["n"], r["q0"]) for r in grouped_quantiles(df, ["g"], "x", [0.5]).collect()} == {None: (2, 2.0), "a": (1, 5.0)}
+
+
+def test_passes_do_not_depend_on_the_spread(spark, monkeypatch):
+    """601 powers of ten, values of both signs, infinities: at most 7 passes with the first one."""
+    from exposcope.operators import quantiles
+    passes = []
+    plain = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: (passes.append(1), plain(*a))[1])
+    wide = [10.0 ** k for k in range(-300, 301)]
+    near = [1.0 + k * 2.0 ** -52 for k in range(700)]  # neighbouring doubles
+    signed = [-v for v in wide] + wide + [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, float("nan")]
+    for values in (wide, near, signed):
+        passes.clear()
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
+        got = exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.77, 1.0])["x"]
+        want = sorted(v for v in values if v == v)
+        for p, g in zip([0.0, 0.1, 0.5, 0.77, 1.0], got):
+            at = p * (len(want) - 1)
+            a, b = want[int(at)], want[min(int(at) + 1, len(want) - 1)]
+            assert g == (a if at == int(at) else pytest.approx(a + (b - a) * (at - int(at))))
+        assert 1 + len(passes) <= 7
+
+
+def test_keys_sort_as_values():
+    from exposcope.operators.quantiles import from_key, to_key
+    values = [float("-inf"), -1e308, -1.5, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e308, float("inf")]
+    keys = [to_key(v) for v in values]
+    assert keys == sorted(keys) and len(set(keys)) == len(keys) and [from_key(k) for k in keys] == values
+    assert to_key(-0.0) == to_key(0.0)
+
+
+def test_empty_and_all_null_columns(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
+    assert exact_quantiles(df, ["a", "b"], [0.5]) == {"__extra": {}, "a": [None], "b": [1.5]}
+    assert exact_quantiles(df.where("false"), ["a"], [0.5])["a"] == [None]
