@@ -12,24 +12,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest node.
 
     Each round hooks every node to its smallest neighbour (map-side minima, so a
-    star's centre is no hot key), follows the hook twice, relabels the edges and
-    drops those that became loops.  A round writes its hooks and its edges, and
-    edges shrink from round to round; the hooks are composed at the end.  Loops
-    and repeated edges are fine; without edges the result is empty.
+    star's centre is no hot key), shortens the hooks to their roots by pointer
+    doubling, moves the labels and the edges there and drops edges that became
+    loops.  Doubling takes a logarithm of the longest chain of hooks, so neither
+    chains of ascending nodes nor stars need many rounds, and every step reads
+    written tables only, so plans stay small.  Loops and repeated edges are fine;
+    without edges the result is empty.
     """
     edges = written(_contracted(edges))
-    hooks: list[DataFrame] = []
+    labels = None
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))
-        hooks.append(broadcast_if_small(written(up), 32))
-        edges = written(_contracted(_follow(_follow(edges, "a", hooks[-1]), "b", hooks[-1])))
-    if not hooks:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = hooks[0].select(F.col("a").alias("node"), F.col("a").alias("component"))
-    for up in hooks:
-        labels = _follow(labels, "component", up)
-    return labels
+        up = _rooted(written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))))
+        if labels is None:  # the first round has every node
+            labels = up.select(F.col("a").alias("node"), F.col("up").alias("component"))
+        else:
+            labels = written(_follow(labels, "component", up))
+        edges = written(_contracted(_follow(_follow(edges, "a", up), "b", up)))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -37,10 +37,19 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _rooted(up: DataFrame) -> DataFrame:
+    """Hooks (a, up) that lead straight to their roots: each step follows every hook by
+    the hook of its end, which doubles its reach."""
+    while True:
+        table = broadcast_if_small(up, 32)
+        after = written(_follow(up.withColumn("from", F.col("up")), "up", table))
+        if not after.where(F.col("up") != F.col("from")).limit(1).count():
+            return broadcast_if_small(up, 32)
+        up = after.select("a", "up")
+
+
 def _follow(df: DataFrame, col: str, up: DataFrame) -> DataFrame:
-    """``col`` moved along two hooks (a node without one stays)."""
-    for _ in range(2):
-        step = up.select(F.col("a").alias("__from"), F.col("up").alias("__to"))
-        df = df.join(step, F.col(col) == F.col("__from"), "left") \
-            .withColumn(col, F.coalesce("__to", col)).drop("__from", "__to")
-    return df
+    """``col`` moved along its hook (a node without one stays)."""
+    step = up.select(F.col("a").alias("__from"), F.col("up").alias("__to"))
+    return df.join(step, F.col(col) == F.col("__from"), "left") \
+        .withColumn(col, F.coalesce("__to", col)).drop("__from", "__to")

@@ -43,6 +43,8 @@ CHUNKS = 256
 ANCHORS = 3
 #: Larger buckets are then compared in blocks of this size.
 BLOCK = 64
+#: Members of one side of a group in that comparison.
+GROUP = 512
 
 _MULTIPLIERS = np.random.default_rng(20_240_101).integers(0, 1 << 31, VALUES, np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,14 +168,20 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def star_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs between the open members of a bucket and ANCHORS members of its main
-    component, others in each bucket."""
-    main = open_.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*[
+    """Pairs between the members off a bucket's main component and members of it.
+
+    A node asks each main component that it shares buckets with once, through
+    ANCHORS members, other ones for each node: every bucket offers a few of its own,
+    of which the asking node takes ANCHORS, however many buckets they meet in."""
+    main = open_.where("component = main").groupBy("key", "main").agg(F.array_distinct(F.array(*[
         F.min_by("node", F.xxhash64("node", "key", F.lit(k))) for k in range(ANCHORS)])).alias("anchors"))
-    main = broadcast_if_small(written(main), 32 + 16 * ANCHORS)
+    main = broadcast_if_small(written(main), 40 + 16 * ANCHORS)
     both = open_.where("component <> main").select("key", "node").join(main, "key") \
-        .select("node", F.explode("anchors").alias("anchor"))
-    return both.select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b")).distinct()
+        .select("node", "main", F.explode("anchors").alias("anchor"))
+    asks = both.groupBy("node", "main").agg(F.array_distinct(F.array(*[
+        F.min_by("anchor", F.xxhash64("anchor", "node", F.lit(k))) for k in range(ANCHORS)])).alias("anchors"))
+    asks = asks.select("node", F.explode("anchors").alias("anchor"))
+    return asks.select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b")).distinct()
 
 
 def cross_pairs(open_: DataFrame) -> DataFrame:
@@ -214,8 +222,8 @@ def block_links(open_: DataFrame, values: DataFrame) -> DataFrame:
         .select("node", "mine", "component").distinct()
     asks = written(asks)
     inside = written(s.select("node", "component").distinct())
-    size = asks.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")) \
-        .join(inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")), "component")
+    size = asks.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("rows")) \
+        .join(inside.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("columns")), "component")
     size = broadcast_if_small(written(size), 40)
     part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from exposcope.llm import components, neardup as N
 
 rnd = random.Random(5)
@@ -121,3 +123,19 @@ def test_odd_rows(spark, odd):
     assert by[None].component_id is None and by[None].kept and by[None].n_shingles > 0
     assert [r.kept for r in rows if r.doc_id == 4] == [True, True] and by[4].n_shingles == 2
     assert N.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components_of_an_ascending_chain(spark, monkeypatch):
+    """5,000 nodes whose ids ascend along a chain, in few rounds."""
+    rounds = []
+    plain = components._rooted
+    monkeypatch.setattr(components, "_rooted", lambda up: (rounds.append(1), plain(up))[1])
+    edges = spark.range(4999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(4)
+    got = components.connected_components(edges)
+    assert got.count() == 5000 and got.where("component <> 0").count() == 0 and len(rounds) <= 20
+    rounds.clear()  # ids up and down, and a star whose centre is the greatest
+    zigzag = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(10000 - F.col("id")).alias("a"),
+                                      F.when(F.col("id") % 2 == 1, F.col("id") + 1).otherwise(9999 - F.col("id")).alias("b"))
+    star = spark.range(500).select((F.col("id") + 20000).alias("a"), F.lit(99999).alias("b"))
+    got = components.connected_components(zigzag.unionByName(star))
+    assert {r["component"] for r in got.collect()} == {0, 20000} and len(rounds) <= 20
