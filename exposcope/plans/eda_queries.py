@@ -149,6 +149,32 @@ def h7_density_by_risk(spark, sf_dir):
                     F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
+_VIOLIN = """SELECT i, t.risk_score, round(g0 + i * step, 6) AS x, round(sum(CASE WHEN abs(z) <= 8e0 THEN w * exp(-0.5e0 * z * z) ELSE 0e0 END) * {norm!r} / (n * bw), 6) AS density,
+  round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3
+FROM (SELECT *, (g0 + i * step - b) / bw AS z FROM (
+  SELECT risk_score, n, bw, lo - 2e0 * bw AS g0, (hi - lo + 2e0 * 2e0 * bw) / 99e0 AS step, lo + j * d AS b, sum(w) AS w FROM (
+    SELECT risk_score, n, bw, lo, hi, d, unnest([floor(p), floor(p) + 1]) AS j, unnest([floor(p) + 1 - p, p - floor(p)]) AS w FROM (
+      SELECT e.risk_score, n, bw, lo, hi, d, least((CAST({col} AS DOUBLE) - lo) / d, 1023e0) AS p FROM eda e JOIN (
+        SELECT *, (hi - lo) / 1023e0 AS d FROM (SELECT risk_score, count(*) AS n, min(CAST({col} AS DOUBLE)) AS lo, max(CAST({col} AS DOUBLE)) AS hi,
+          stddev_samp(CAST({col} AS DOUBLE)) * pow(CAST(count(*) AS DOUBLE), -0.2e0) AS bw FROM eda GROUP BY 1)) st
+      ON e.risk_score = st.risk_score WHERE bw > 0))
+  WHERE w > 0 GROUP BY risk_score, n, bw, lo, hi, d, j), range(100) r(i)) t
+JOIN (SELECT risk_score, quantile_cont(CAST({col} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({col} AS DOUBLE), 0.5) AS median,
+  quantile_cont(CAST({col} AS DOUBLE), 0.75) AS q3 FROM eda GROUP BY 1) q ON q.risk_score = t.risk_score
+GROUP BY t.risk_score, i, g0, step, n, bw"""
+
+
+def _violin(col):
+    def run(spark, sf_dir):
+        d = eda.violin(eda_base(spark, sf_dir, ["risk_score", col]), col, ["risk_score"])
+        return d.select("risk_score", F.col("i").cast("bigint").alias("i"), *[F.round(c, 6).alias(c) for c in ("x", "density", "q1", "median", "q3")])
+    return run
+
+
+for _col in ("cvss_base_score", "exposure_velocity", "anomaly_score"):
+    query(f"h7_violin_{_col}", _sql(_VIOLIN.format(col=_col, norm=_NORM)))(_violin(_col))
+
+
 @query("h8_density_2d", _sql(
     """SELECT bin_x, bin_y, count(*) AS count, avg(risk_score) AS mean_risk_score FROM (
   SELECT risk_score,

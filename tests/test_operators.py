@@ -265,3 +265,24 @@ def test_label_codes_distributed_rank(spark):
              for r in encode.label_codes(df, "domain").collect()}
     want = {v: i for i, v in enumerate(sorted(set(vals)))}
     assert codes == want
+
+
+def test_binned_density_stays_within_its_bound(spark):
+    """Against the exact kernel sum; null groups, nulls, a group without spread."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.normal(size=800)] + [(None, float(v)) for v in rng.exponential(size=500)] + [("one", 1.0)] * 5 + [("a", None)]
+    df = spark.createDataFrame(rows, "risk_score string, x double")
+    exact = {(r["risk_score"], r["i"]): (r["x"], r["density"]) for r in eda.density_by(df, "x").collect()}
+    for bins in (64, 1024):
+        got = {(r["risk_score"], r["i"]): (r["x"], r["density"]) for r in eda.binned_density(df, "x", bins=bins).collect()}
+        assert set(got) == set(exact) and {k[0] for k in got} == {"a", None}
+        for g in ("a", None):
+            v = np.array([x for k, x in rows if k == g and x is not None])
+            h = v.std(ddof=1) * len(v) ** -0.2
+            d = (v.max() - v.min()) / (bins - 1)
+            for i in range(100):
+                assert got[g, i][0] == pytest.approx(exact[g, i][0], abs=1e-9)
+                assert abs(got[g, i][1] - exact[g, i][1]) <= d * d / (8 * h * h) * 0.4 / h + 1e-12
+    q = {r["risk_score"]: (r["q1"], r["median"], r["q3"]) for r in eda.violin(df, "x").collect()}
+    assert q["a"] == pytest.approx(tuple(np.quantile([x for k, x in rows if k == "a" and x is not None], [0.25, 0.5, 0.75])))
