@@ -43,8 +43,8 @@ CHUNKS = 256
 ANCHORS = 3
 #: Larger buckets are then compared in blocks of this size.
 BLOCK = 64
-#: Members of one side of a group in that comparison.
-GROUP = 512
+#: Bytes of one side of a group in that comparison, about (a longer text is a block of its own).
+GROUP_BYTES = 1 << 20
 
 _MULTIPLIERS = np.random.default_rng(20_240_101).integers(0, 1 << 31, VALUES, np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,46 +193,60 @@ def cross_pairs(open_: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _similar_to(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted ``sets`` (none empty) are linked with the sorted set ``x``."""
+    sizes = np.array([len(t) for t in sets])
+    every = np.concatenate(sets)
+    at = np.searchsorted(x, every)
+    both = np.add.reduceat((x[np.minimum(at, len(x) - 1)] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= PERCENT * (len(x) + sizes - both)
+
+
 def _block_links(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """One link of each asking member to a block of a component, if it has any."""
+    """One link of each asking member to each component in a block, where there is any."""
     found = []
     if len(left) and len(right):
         sl, vl = _unpack(left["value"])
         sr, vr = _unpack(right["r_value"])
-        node, full = right["r_node"].to_numpy(), right["r_full"].tolist()
-        for i in range(len(left)):
-            near = survivors(np.full(len(node), sl[i]), np.repeat(vl[i:i + 1], len(node), 0), sr, vr)
-            k = next((k for k in near if _similar(left["full"].iat[i], full[k])), None)
-            if k is not None:
-                found.append((left["node"].iat[i], node[k]))
+        node, of, asks = (right[c].to_numpy() for c in ("r_node", "r_component", "r_asks"))
+        full = [np.frombuffer(v, np.uint64) for v in right["r_full"]]
+        for i, (me, mine) in enumerate(zip(left["node"], left["component"])):
+            # two askers meet in two blocks; the smaller one asks
+            other = np.flatnonzero((of != mine) & (~asks | (node > me)))
+            near = other[survivors(np.full(len(other), sl[i]), np.repeat(vl[i:i + 1], len(other), 0), sr[other], vr[other])]
+            if len(near):
+                near = near[_similar_to(np.frombuffer(left["full"].iat[i], np.uint64), [full[k] for k in near])]
+                _, one = np.unique(of[near], return_index=True)
+                found += [(me, node[k]) for k in near[one]]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def block_links(open_: DataFrame, values: DataFrame) -> DataFrame:
-    """Links (a, b) in large buckets between members off the main component and the
-    other components there.
-
-    Each (member, component) is asked once, in however many buckets they meet.
-    The members that ask for a component and the component itself are dealt into
-    blocks; a group holds a block of either with signatures and full sets, so
-    pairs never become rows and no group grows with the component."""
-    s = open_.where(F.col("members") > BLOCK)
-    asks = s.where("component <> main").select("key", "node", F.col("component").alias("mine")) \
-        .join(s.select("key", "component").distinct(), "key").where("mine <> component") \
-        .select("node", "mine", "component").distinct()
-    asks = written(asks)
-    inside = written(s.select("node", "component").distinct())
-    size = asks.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("rows")) \
-        .join(inside.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("columns")), "component")
-    size = broadcast_if_small(written(size), 40)
+    """Links (a, b) in large buckets between members off the main component and members
+    of other components there.
+
+    Buckets that share members are one cluster.  In each cluster the members that are
+    off a main component ask; they and all members are dealt into blocks of about
+    GROUP_BYTES, and a group holds one block of either with signatures and full
+    sets.  So a member is copied once per block of the other side, however many
+    buckets and components it meets, pairs never become rows, and no group grows with
+    the cluster."""
+    s = written(open_.where(F.col("members") > BLOCK).select("key", "node", "component", (F.col("component") != F.col("main")).alias("asks")))
+    heads = broadcast_if_small(written(s.groupBy("key").agg(F.min("node").alias("a"))), 32)
+    clusters = connected_components(s.join(heads, "key").select("a", F.col("node").alias("b")).distinct()) \
+        .withColumnRenamed("component", "cluster")
+    nodes = s.groupBy("node").agg(F.first("component").alias("component"), F.max("asks").alias("asks"))  # a node has one component
+    nodes = written(nodes.join(broadcast_if_small(clusters, 32), "node").join(values, "node")
+                    .withColumn("bytes", F.octet_length("value") + F.octet_length("full")))
+    blocks = lambda what: F.greatest(F.ceil(F.sum(what) / GROUP_BYTES), F.lit(1)).cast("int")
+    size = nodes.groupBy("cluster").agg(blocks(F.when(F.col("asks"), F.col("bytes")).otherwise(0)).alias("rows"), blocks("bytes").alias("columns"))
+    sized = nodes.join(broadcast_if_small(written(size), 24), "cluster")
     part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = asks.join(size, "component").withColumn("i", part("rows")).join(values, "node") \
-        .select("component", "i", every("columns").alias("j"), "node", "value", "full")
-    right = inside.join(size, "component").withColumn("j", part("columns")).join(values, "node") \
-        .select("component", "j", every("rows").alias("i"), "node", "value", "full")
+    left = sized.where("asks").select("cluster", part("rows").alias("i"), every("columns").alias("j"), "node", "component", "value", "full")
+    right = sized.select("cluster", part("columns").alias("j"), every("rows").alias("i"), "node", "component", "asks", "value", "full")
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    return left.groupBy("component", "i", "j").cogroup(right.groupBy("r_component", "r_i", "r_j")) \
+    return left.groupBy("cluster", "i", "j").cogroup(right.groupBy("r_cluster", "r_i", "r_j")) \
         .applyInPandas(_block_links, "a long, b long").distinct()
 
 
