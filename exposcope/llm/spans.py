@@ -6,9 +6,12 @@ are joined over the whole corpus; the first occurrence of a run (smallest
 doc_id, then position) stays, and sentences that any later occurrence covers
 are removed.  A repeated passage is so covered up to its last whole sentence.
 
-A passage without sentence ends of its own is found only if two cuts by content
-lie MIN_WORDS words apart in it, or its forced cuts agree by chance (miss rates:
-README).
+A sentence ends at its terminator or line end.  Only a stretch of more than
+LONG_SENTENCE words without any end is cut further, at local minima of its word
+hashes: in every WINDOW consecutive words the rightmost smallest one ends a unit,
+so the same passage is cut alike wherever it stands, but for WINDOW - 1 words at
+its ends.  A repeated passage of MIN_WORDS + 4 * WINDOW - 4 words or more that
+holds no end is therefore always found, if each place's stretch is long.
 """
 
 from __future__ import annotations
@@ -24,10 +27,9 @@ from exposcope.llm.catalog import query
 from exposcope.llm.common import broadcast_if_small, explode_values, map_texts, table, written
 
 #: A run has this many words and sentences at least, and no more than it needs to.
-MIN_WORDS, MIN_SENTENCES = 20, 2
-#: Longer sentences are cut after words whose hash is divisible by CUT (and after
-#: this many words), so that the same passage is cut alike wherever it stands.
-LONG_SENTENCE, CUT = 12, 4
+MIN_WORDS, MIN_SENTENCES = 30, 2
+#: Stretches of more words without an end are cut, once at least in WINDOW words.
+LONG_SENTENCE, WINDOW = 40, 6
 
 END = re.compile(r"""[.!?]+["')\]»”]*(?=\s)|\n""")
 WORD = re.compile(r"\S+")
@@ -35,27 +37,37 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=100_000)
-def _ends_piece(word: str) -> bool:
-    return xxhash.xxh3_64_intdigest(word) % CUT == 0
+@functools.lru_cache(maxsize=50_000)
+def _short_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _word_hash(word: str) -> int:
+    # only short words are kept, so the cache is bounded in bytes too
+    return _short_hash(word) if len(word) <= 32 else xxhash.xxh3_64_intdigest(word)
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Positions of the words that end a unit of a long stretch, ascending."""
+    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
+    return np.unique(np.arange(WINDOW - 1, len(h)) - np.argmin(windows[:, ::-1], axis=1)).tolist()
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences with words; they partition the text
     but for blank pieces."""
-    ends = [m.end() for m in END.finditer(text)]
     out, at = [], 0
-    for e in (*ends, len(text)):
+    for e in (*(m.end() for m in END.finditer(text)), len(text)):
         words = text[at:e].split()
         if len(words) > LONG_SENTENCE:
-            begin, mine = at, []
-            for m in WORD.finditer(text, at, e):
-                mine.append(m[0])
-                if len(mine) == LONG_SENTENCE or _ends_piece(m[0]):
-                    out.append((begin, m.end(), mine))
-                    begin, mine = m.end(), []
-            if mine:
-                out.append((begin, e, mine))
+            stops = [m.end() for m in WORD.finditer(text, at, e)]
+            begin, k = at, 0
+            for c in cuts(words):
+                out.append((begin, stops[c], words[k:c + 1]))
+                begin, k = stops[c], c + 1
+            if k < len(words):
+                out.append((begin, e, words[k:]))
         elif words:
             out.append((at, e, words))
         at = e
@@ -97,14 +109,14 @@ def runs(text: str | None):
 
 
 def cut(text: str | None, spans) -> tuple[str | None, int]:
-    """The text without the sentences of ``spans`` (first, last), and their number."""
+    """The text without the sentences of ``spans`` (first << 32 | last), and their number."""
     if not spans:
         return text, 0
     units = sentences(text)
     drop = np.zeros(len(units) + 1, np.int64)
     for s in spans:
-        drop[s["first"]] += 1
-        drop[s["last"] + 1] -= 1
+        drop[s >> 32] += 1
+        drop[(s & 0xFFFFFFFF) + 1] -= 1
     gone = np.cumsum(drop[:-1]) > 0
     out, at = [], 0
     for (s, e, _), g in zip(units, gone):
@@ -126,20 +138,22 @@ def remove_repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str =
     comes before all others.  Runs may repeat within a text; then the first of
     them stays.  An empty table gives an empty result.
 
-    Counts of a run are merged before the shuffle (smallest and largest place),
-    so a passage that a third of all texts hold is one row per task.  Runs that
-    repeat are joined to their places; hot ones are split by the adaptive join.
+    Texts are parsed once into a table of runs (40 bytes each).  Counts of a run are
+    merged before the shuffle (smallest and largest place), so a passage that a
+    third of all texts hold is one row per task.  Runs that repeat are joined to
+    their places; hot ones are split by the adaptive join.
     """
     key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t")]
     src = docs.select(*key, F.col(text_col).alias("__text"))
-    places = explode_values(src, "__text", ["__id", "__t"], "h1 long, h2 long, first int, last int", lambda: runs)
+    places = written(explode_values(src, "__text", ["__id", "__t"], "h1 long, h2 long, first int, last int", lambda: runs))
     place = F.struct("__id", "__t", "first")
     repeated = written(places.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("__max"))
                        .where("keep < __max").select("h1", "h2", "keep"))
+    span = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
     gone = places.join(broadcast_if_small(repeated, 64), ["h1", "h2"]).where(~place.eqNullSafe(F.col("keep"))) \
-        .groupBy("__id", "__t").agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
+        .groupBy("__id", "__t").agg(F.collect_set(span).alias("__gone"))
     gone = written(gone)
-    hinted = broadcast_if_small(gone, F.size("__gone") * 16 + 64)
+    hinted = broadcast_if_small(gone, F.size("__gone") * 8 + 64)
     rest = [c for c in docs.columns if c not in (text_col, "n_removed")]
     left = docs.select(F.struct(*rest).alias("__row"), *key, F.col(text_col).alias("__text"))
     both = left.join(hinted.select(F.col("__id").alias("__i"), F.col("__t").alias("__u"), "__gone"),
