@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from exposcope.llm.catalog import query
-from exposcope.llm.common import broadcast_if_small, explode_values, map_texts, table, written
+from exposcope.llm.common import discard, explode_values, map_texts, table, written
 
 #: A run has this many words and sentences at least, and no more than it needs to.
 MIN_WORDS, MIN_SENTENCES = 30, 2
@@ -138,26 +138,25 @@ def remove_repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str =
     comes before all others.  Runs may repeat within a text; then the first of
     them stays.  An empty table gives an empty result.
 
-    Texts are parsed once into a table of runs (40 bytes each).  Counts of a run are
-    merged before the shuffle (smallest and largest place), so a passage that a
-    third of all texts hold is one row per task.  Runs that repeat are joined to
-    their places; hot ones are split by the adaptive join.
+    Texts are parsed once into a table of runs (40 bytes each).  Only run hashes and
+    counts, merged before the shuffle, are grouped over all runs; the places of runs
+    that repeat are then joined out, and the first of each is found among those.
+    The plan is the same at every size; hot runs are split by the adaptive join.
     """
     key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t")]
     src = docs.select(*key, F.col(text_col).alias("__text"))
     places = written(explode_values(src, "__text", ["__id", "__t"], "h1 long, h2 long, first int, last int", lambda: runs))
+    repeated = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    held = written(places.join(written(repeated), ["h1", "h2"]))
+    discard(places)
     place = F.struct("__id", "__t", "first")
-    repeated = written(places.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.max(place).alias("__max"))
-                       .where("keep < __max").select("h1", "h2", "keep"))
     span = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
-    gone = places.join(broadcast_if_small(repeated, 64), ["h1", "h2"]).where(~place.eqNullSafe(F.col("keep"))) \
-        .groupBy("__id", "__t").agg(F.collect_set(span).alias("__gone"))
-    gone = written(gone)
-    hinted = broadcast_if_small(gone, F.size("__gone") * 8 + 64)
+    keep = held.groupBy("h1", "h2").agg(F.min(place).alias("keep"))
+    gone = held.join(keep, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keep"))) \
+        .groupBy("__id", "__t").agg(F.collect_set(span).alias("__gone")).withColumnsRenamed({"__id": "__i", "__t": "__u"})
     rest = [c for c in docs.columns if c not in (text_col, "n_removed")]
     left = docs.select(F.struct(*rest).alias("__row"), *key, F.col(text_col).alias("__text"))
-    both = left.join(hinted.select(F.col("__id").alias("__i"), F.col("__t").alias("__u"), "__gone"),
-                     F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left")
+    both = left.join(gone, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left")
     got = map_texts(both.select("__row", F.struct("__text", "__gone").alias("__v")), "__v", ["__row"],
                     f"{text_col} string, n_removed long",
                     lambda: lambda rows: [cut(r["__text"], r["__gone"]) for r in rows])

@@ -95,10 +95,16 @@ def test_repeated_passage_goes_but_for_its_first_place(spark):
     assert got[9].text.count("S") < 5
 
 
-def test_shuffled_joins_give_the_same(spark, sf_small, monkeypatch):
+def test_shuffled_joins_give_the_same(spark, sf_small):
     want = sorted(map(tuple, S.op10(spark, sf_small).collect()))
-    monkeypatch.setattr(S, "broadcast_if_small", lambda df, *_: df)
-    assert sorted(map(tuple, S.op10(spark, sf_small).collect())) == want
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        assert sorted(map(tuple, S.op10(spark, sf_small).collect())) == want
+    finally:
+        for n in names:
+            spark.conf.unset(n)
 
 
 @settings(max_examples=80, deadline=None)
