@@ -3,7 +3,7 @@
 Detected entities become atoms (kind, normal form): an e-mail address, a phone
 number's digits, a given name, a family name, and so on.  An atom's surrogate is
 drawn from a keyed hash of it, so the same entity gets the same surrogate in any
-text and in any spelling (coreference), with the kind's own shape: gender and
+text and in any spelling (coreference; a family name whatever its title), with the kind's own shape: gender and
 script of names, digit grouping, letter case, checksums.  Draws are checked over
 the whole corpus: two atoms with one surrogate, or a surrogate that is itself a
 detected atom, are drawn again until all are distinct.
@@ -52,12 +52,15 @@ FAMILY_ENDINGS = {("latin", "f"): ("son", "man", "berg"), ("latin", "m"): ("son"
                   ("cyrillic", "f"): ("ова", "ина", "ская"), ("cyrillic", "m"): ("ов", "ин", "ский"), ("cyrillic", "n"): ("енко", "ук", "их")}
 
 EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+IBAN = re.compile(r"[A-Z](?<!\w[A-Z])[A-Z]\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: The look-ahead passes over most characters before any alternative is tried.
 NUMBER = re.compile(
-    r"(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
+    r"(?=[\d+(])(?:(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-    r"|(?<!\w)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))")
+    r"|(?<!\w)0\d{1,4}[ /-]\d{5,8}(?!\w)"
+    r"|(?<!\w)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)))")
 #: Two letters or more; hyphens and apostrophes join letters, but 's, 'll and the like end a name.
 _WORD = r"[^\W\d_](?:-?[^\W\d_]|['’](?!(?i:s|d|ll|ve|re)(?!\w))[^\W\d_])+"
 TITLED = re.compile(r"(?<!\w)(%s)\.? (%s)(?: (%s))?" % ("|".join(sorted(_TITLE_GENDER, key=len, reverse=True)), _WORD, _WORD))
@@ -84,12 +87,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(letters: str) -> int:
+    """What an account number leaves over 97; 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in letters[4:] + letters[:4])) % 97
+
+
+def family_gender(name: str) -> str:
+    """The gender that a family name's own ending tells, whatever title stands before it."""
+    if _script(name) == "latin" or name.endswith(("ко", "ук", "юк", "их", "ых")):
+        return "n"
+    return "f" if name.endswith(("а", "я")) else "m"
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the atoms in a whole text, by start, not overlapping."""
     text = text or ""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+    for m in IBAN.finditer(text):
+        norm = m[0].replace(" ", "")
+        if iban_check(norm) == 1:
+            found.append((m.start(), m.end(), "iban", norm))
     for m in NUMBER.finditer(text):
         digits = m[0] if m.lastgroup == "ip" else re.sub(r"\D", "", m[0])
         found.append((m.start(), m.end(), m.lastgroup, digits))
@@ -100,7 +119,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             # the halves of a double name may stand alone elsewhere
             for w in dict.fromkeys((word, *word.split("-")) if word else ()):
                 if w == word or len(w) > 1 and _named(w):
-                    names.setdefault(_norm(w), (f"{base}:{gender}:{_script(w)}", w))
+                    g = family_gender(_norm(w)) if base == "family" else gender
+                    names.setdefault(_norm(w), (f"{base}:{g}:{_script(w)}", w))
 
     for m in TITLED.finditer(text):
         g = _TITLE_GENDER[m[1]]
@@ -162,8 +182,11 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         # a domain keeps its own surrogate, so addresses of one domain stay together
         return f"{swap(local, d)}{'x' * (attempt // 4)}@{swap(host, _Draw(key, 'domain', domain, 0))}.{top}"
     if base == "phone":
-        keep = 1 if len(norm) > 10 else 0
+        keep = 1 if len(norm) > 10 or norm.startswith("0") else 0
         return norm[:keep] + str(2 + d.below(8)) + d.digits(len(norm) - keep - 1)
+    if base == "iban":
+        body = "".join(str(d.below(10)) if c.isdigit() else chr(65 + d.below(26)) for c in norm[4:])
+        return f"{norm[:2]}{98 - iban_check(f'{norm[:2]}00{body}'):02d}{body}"
     if base == "card":
         out = str(1 + d.below(9)) + d.digits(len(norm) - 1)
         if luhn(norm):
@@ -175,9 +198,9 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
 def dressed(raw: str, kind: str, drawn: str) -> str:
     """The surrogate in the mention's format: its separators, its letter case."""
     base = kind.split(":")[0]
-    if base in ("phone", "card", "ssn"):
+    if base in ("phone", "card", "ssn", "iban"):
         it = iter(drawn)
-        return "".join(next(it) if c.isdigit() else c for c in raw)
+        return "".join(next(it) if c.isalnum() else c for c in raw)
     if base in ("given", "family"):
         return drawn.capitalize()
     return drawn.upper() if raw.isupper() else drawn

@@ -86,3 +86,27 @@ def test_odd_rows(spark, odd):
     twice = spark.createDataFrame([(1, TEXT), (1, TEXT), (None, TEXT)], "doc_id long, text string")
     out = P.replace_pii(twice).collect()
     assert len(out) == 3 and len({r.text for r in out}) == 1
+
+
+def test_a_family_name_has_one_surrogate_under_any_title(spark):
+    df = spark.createDataFrame([(k, f"{x} came.") for k, x in enumerate(
+        ("Mr Smith", "Dr Smith", "Mrs Smith", "John Smith", "Господин Петров", "Доктор Петров"))], "doc_id long, text string")
+    got = {r.doc_id: r.text.removesuffix(" came.").split()[-1] for r in P.replace_pii(df).collect()}
+    assert len({got[k] for k in range(4)}) == 1 and got[0] != "Smith"
+    assert got[4] == got[5] != "Петров"
+
+
+def test_account_numbers_and_national_phones():
+    good, bad = "DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"
+    (a,) = P.detect(f"IBAN {good}, please")
+    assert a[2:] == ("iban", good.replace(" ", ""))
+    for attempt in range(20):
+        new = P.surrogate(b"k", "iban", a[3], attempt)
+        assert new[:2] == "DE" and len(new) == 22 and P.iban_check(new) == 1 and new != a[3]
+        assert [len(x) for x in P.dressed(good, "iban", new).split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert all(x[2] != "iban" for x in P.detect(bad))
+    for phone in ("0171 5550123", "030-1234567", "040/123456"):
+        (a,) = P.detect(f"Call {phone} now")
+        assert a[2] == "phone" and a[3].startswith("0")
+        drawn = P.dressed(phone, "phone", P.surrogate(b"k", "phone", a[3], 0))
+        assert drawn[0] == "0" and drawn != phone and len(drawn) == len(phone)
