@@ -37,15 +37,24 @@ def _key(line: Column) -> Column:
     return F.when(F.length(t) > 0, F.struct(F.xxhash64(t).alias("a"), F.hash(t).alias("b")))
 
 
-def line_frequency(pages: DataFrame, host: Column, lines: Column, page: Column) -> DataFrame:
-    """host, line key, pages with the line, pages of the host.  ``page`` tells
-    pages apart: equal pages of a host count once."""
-    p = pages.select(host.alias("host"), page.alias("page"), lines.alias("lines"))
+def content(lines: Column) -> Column:
+    """A page identity by content: equal pages of a host count as one page."""
+    return F.md5(F.concat_ws("\n", lines))
+
+
+def line_frequency(pages: DataFrame, host: Column, lines: Column, page: Column | None = None) -> DataFrame:
+    """host, line key, pages with the line, pages of the host.  ``page`` tells pages
+    apart: rows of one host with one value of it (null included) are one page, without
+    it every row is a page.  A null text is no page of its host."""
+    # a struct, as count_distinct passes over plain nulls
+    one = F.struct(F.lit(0) if page is None else page)
+    p = pages.select(host.alias("host"), one.alias("page"), lines.alias("lines"))
+    n_pages = F.count(F.lit(1)) if page is None else F.count_distinct("page")
     # every page also holds the null line, which so counts the host's pages
     keys = F.concat(F.filter(F.array_distinct(F.transform("lines", _key)), lambda k: k.isNotNull()),
                     F.array(F.lit(None).cast("struct<a:bigint,b:int>")))
     each = p.select("host", "page", F.explode(keys).alias("line"))
-    held = written(each.groupBy("host", "line").agg(F.count_distinct("page").alias("holding"))
+    held = written(each.groupBy("host", "line").agg(n_pages.alias("holding"))
                    .where(F.col("line").isNull() | (F.col("holding") >= MIN_PAGES)))
     total = held.where(F.col("line").isNull()).select(F.col("host").alias("__h"), F.col("holding").alias("pages"))
     total = broadcast_if_small(total, 128)
@@ -59,9 +68,10 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, out: str = "
     host's pages (MIN_PAGES at least), joined by newlines, plus ``n_lines`` and
     ``n_dropped`` (columns of these names are replaced).
 
-    Lines compare trimmed of spaces; blank lines stay and count nowhere.  Equal
-    pages of one host count as one page, so a group of copies isn't taken for
-    boilerplate.  A null text stays null; null hosts form one host; repeated rows
+    Lines compare trimmed of spaces; blank lines stay and count nowhere.  ``page`` tells
+    pages apart as in ``line_frequency``: give the page id where rows may repeat, or
+    ``content(lines)`` where a group of copies shouldn't be taken for boilerplate.  A null
+    text stays null and is no page of its host; null hosts form one host; repeated rows
     get the same result; empty tables give an empty result.
 
     Counts are pre-aggregated; a host has at most (its mean lines per page) /
@@ -69,7 +79,6 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, out: str = "
     the whole list is small, else joined on (host, salt), so one host's pages
     stay spread over tasks.
     """
-    page = F.md5(F.concat_ws("\n", lines)) if page is None else page
     bad = line_frequency(pages, host, lines, page).where(F.col("holding") > ratio * F.col("pages"))
     bad = written(bad.groupBy("host").agg(F.collect_set("line").alias("__bad")))
     hinted = broadcast_if_small(bad, F.size("__bad") * 16 + 64)
@@ -99,7 +108,7 @@ def host_of(url: Column) -> Column:
 OP5_SQL = f"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
   list_transform(regexp_split_to_array(html, '{BREAKS}'), lambda x: regexp_replace(x, '{INLINE}', '', 'g')) AS lines FROM pages),
-c AS (SELECT host, array_to_string(lines, chr(10)) AS page, lines FROM p),
+c AS (SELECT host, {{'id': page_id}} AS page, lines FROM p WHERE lines IS NOT NULL),
 total AS (SELECT host, count(DISTINCT page) AS pages FROM c GROUP BY host),
 held AS (SELECT host, line, count(DISTINCT page) AS holding FROM (SELECT host, page, trim(unnest(lines)) AS line FROM c) WHERE line <> '' GROUP BY host, line),
 bad AS (SELECT h.host, list(h.line) AS bad FROM held h JOIN total t ON h.host IS NOT DISTINCT FROM t.host
@@ -112,7 +121,9 @@ SELECT page_id, host, array_to_string(kept, chr(10)) AS text, CAST(len(lines) AS
 
 @query("op5_line_dedup", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without the lines that more than RATIO of their host's pages hold, of lines on
+    MIN_PAGES pages or more.  Pages are told apart by page_id, whatever they hold."""
     pages = table(spark, sf_dir, "pages")
     lines = split_lines(F.col("html"), BREAKS, INLINE)
     return drop_boilerplate(pages.select("page_id", "html", host_of(F.col("url")).alias("host")),
-                            F.col("host"), lines).select("page_id", "host", "text", "n_lines", "n_dropped")
+                            F.col("host"), lines, page=F.col("page_id")).select("page_id", "host", "text", "n_lines", "n_dropped")
