@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5, a source being a site: boilerplate lines go, n_chars follows the text."""
-    out = boilerplate.drop_boilerplate(docs, F.col("source"), boilerplate.split_lines(F.col("text")))
+    """Operator 5, a source being a site: boilerplate lines go, n_chars follows the text.
+    Equal texts of a source count as one page: copies are the next stage's work, and a
+    large group of them must not lose all its lines here."""
+    lines = boilerplate.split_lines(F.col("text"))
+    out = boilerplate.drop_boilerplate(docs, F.col("source"), lines, page=boilerplate.content(lines))
     chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(docs.columns)
 
