@@ -9,6 +9,7 @@ inlines them as literals, so it is a map-only projection with no join.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -239,16 +240,58 @@ def assert_complete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df
 
 
+#: Repeated digests that are handed to every task at most (16 bytes each); beyond, rows are shuffled.
+MAX_REPEATED = 1_000_000
+
+
+@dataclass(frozen=True)
+class _Copies:
+    """Rows of a table told apart by whether their 128-bit digest occurs once."""
+    rows: DataFrame                 # the stored table: its columns and two digest columns
+    cols: list[Column]
+    digest: list[str]
+    repeated: DataFrame | None      # digests that occur twice or more; None if beyond MAX_REPEATED
+
+    def where(self, once: bool) -> DataFrame:
+        """Rows whose digest occurs once, or the others: a map over the stored rows."""
+        hinted = F.broadcast(self.repeated)  # of a counted size
+        return self.rows.join(hinted, self.digest, "left_anti" if once else "left_semi").select(*self.cols)
+
+
+def _copies(df: DataFrame, subset: Sequence[str]) -> _Copies:
+    """Store ``df`` once with a digest of ``subset`` and find the digests that repeat.
+    Only digests are shuffled (16 bytes a row and a count, combined before the shuffle)."""
+    digest = [n for n in (f"__d{k}" for k in range(len(df.columns) + 2)) if n not in df.columns][:2]
+    cols, of = ([F.col(f"`{c}`") for c in names] for names in (df.columns, subset))
+    rows = cut_lineage(df.select("*", F.xxhash64(*of).alias(digest[0]), F.xxhash64(F.lit(1), *of).alias(digest[1])))
+    repeated = cut_lineage(rows.groupBy(*digest).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(*digest))
+    return _Copies(rows, cols, digest, repeated if repeated.count() <= MAX_REPEATED else None)
+
+
 def count_duplicates(df: DataFrame) -> DataFrame:
-    """Number of rows that repeat an earlier full row (one-row result)."""
-    g = df.groupBy(*df.columns).count()
+    """Number of rows that repeat an earlier full row (one-row result).  Digests
+    are counted first; only rows with a repeated digest are compared in full."""
+    c = _copies(df, df.columns)
+    some = c.rows.select(*c.cols) if c.repeated is None else c.where(once=False)
+    g = some.groupBy(*c.cols).count()
     return g.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long")
                  .alias("duplicate_rows"))
 
 
 def dedupe(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Keep one of each full-row duplicate (nulls compare equal)."""
-    return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()
+    """Keep one of each full-row duplicate, or one row of each value of ``subset``
+    (nulls compare equal, as do NaNs, and 0.0 and -0.0).
+
+    ``df`` is stored once with a 128-bit digest of each row.  A row whose digest occurs
+    once has no duplicate and stays where it is; rows with a repeated digest, true
+    duplicates or not, are compared in full and only they are shuffled, combined before.
+    Beyond ``MAX_REPEATED`` repeated digests all rows are compared so.
+    """
+    subset = list(subset or df.columns)
+    c = _copies(df, subset)
+    if c.repeated is None:
+        return c.rows.select(*c.cols).dropDuplicates(subset)
+    return c.where(once=True).unionByName(cut_lineage(c.where(once=False).dropDuplicates(subset)))
 
 
 def clamp(df: DataFrame, col: str, lo: float | None = None, hi: float | None = None,

@@ -15,7 +15,6 @@ from exposcope.operators.clean import IncompleteDataError, columns_with_nulls, d
 from exposcope.operators.encode import encode_all
 from exposcope.operators.outliers import flag_outliers
 from exposcope.schema import OUTLIER_FEATURES
-from exposcope.session import cut_lineage
 
 
 def impute(df: DataFrame, numeric: Sequence[str] | None = None,
@@ -46,20 +45,21 @@ def clean_events(raw: DataFrame, numeric: Sequence[str] | None = None,
     """Imputed, time-filled, complete and deduplicated events.
 
     Gaps in ``timestamp`` take the last earlier time in ``order`` of the rows (if both
-    columns are there).  With ``materialize`` the result is written once to the shared
-    checkpoint folder: every later fit (fences, scaler, codes) and the final query then
-    read it instead of re-running the imputation scan and the dedupe shuffle (the
-    published pipeline likewise hands a written table to its next stage).  What nulls
-    are left is counted while that table is written, and raises ``IncompleteDataError``.
+    columns are there).  With ``materialize`` the filled rows are written once to the
+    shared checkpoint folder, with their digests (see ``dedupe``): every later fit (fences,
+    scaler, codes) and the final query read that table and pass over the copies instead
+    of re-running the imputation scan and a dedupe shuffle.  What nulls are left is
+    counted while the table is written, and raises ``IncompleteDataError``.  Without
+    ``materialize`` the result is a lazy plan and nothing is checked.
     """
     filled = impute(raw, numeric, categorical)
     if timestamp in raw.columns and order in raw.columns and columns_with_nulls(raw, [timestamp]):
         filled = forward_fill(filled, timestamp, [order])
     if not materialize:
-        return dedupe(filled)
+        return filled.dropDuplicates()
     seen = Observation()
     counted = filled.observe(seen, F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in filled.columns])
-    out = cut_lineage(dedupe(counted))
+    out = dedupe(counted)
     left = {c: n for c, n in seen.get.items() if n and c != "__rows"}
     if left:
         raise IncompleteDataError(f"nulls remain: {left}")
