@@ -74,6 +74,36 @@ def test_csv_headers_and_layouts(spark, tmp_path):
         io.read_events(spark, str(tmp_path / "c.csv"))
 
 
+def test_csv_folder_of_layouts(spark, tmp_path):
+    """Files of three layouts in one folder, more files than tasks, one of several splits; bad rows aside."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = set()
+    for k in range(60):
+        if k % 2:
+            (folder / f"f{k:03}.csv").write_text(f'domain,risk_score,cvss_base_score\n"d{k},x",{k % 5},{k}.5\n')
+            want.add((f"d{k},x", k % 5, k + 0.5, None))
+        else:
+            (folder / f"f{k:03}.csv").write_text(f"\ncvss_base_score, domain ,note\n{k}.25,e{k},n{k}\n\ncvss_base_score, domain ,note\n")
+            want.add((f"e{k}", None, k + 0.25, f"n{k}"))
+    (folder / "empty.csv").write_text("")
+    (folder / "long.csv").write_text("risk_score,domain\n" + "".join(f"{i % 5},long{i}\n" for i in range(20000)))
+    want |= {(f"long{i}", i % 5, None, None) for i in range(20000)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = io.read_events(spark, str(folder))
+        got = [(r["domain"], r["risk_score"], r["cvss_base_score"], r["note"]) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want
+        (folder / "odd.csv").write_text("risk_score,domain\nx,bad1\n1,ok\n2,too,many\n3\n")
+        rows = io.read_events(spark, str(folder), bad="line").where("domain like 'bad%' OR domain = 'ok' OR line IS NOT NULL").collect()
+        assert sorted((r["line"] or "", r["domain"]) for r in rows) == [("", "ok"), ("2,too,many", "too"), ("3", None), ("x,bad1", "bad1")]
+        with pytest.raises(Exception, match="(?i)malformed"):
+            io.read_events(spark, str(folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_number_text_is_exact(spark):
     vals = [3.15, 3.25, 8.25, 0.05, 0.95, 9.95, 2.5, 0.5, 1.5, -1.25, 0.0, 123456.789, 0.145, 0.155, 1.005, 2.675, 1e6 + 0.05]
     vals += [k / 200 for k in range(0, 4000, 7)]
