@@ -37,29 +37,6 @@ def test_dedupe_nulls_equal(spark):
     assert clean.dedupe(clean.dedupe(df)).count() == 3
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
-def test_dedupe_compares_rows_not_digests(spark, monkeypatch, most):
-    """Equal digests of unequal rows lose nothing; names like the digests' and odd values do no harm."""
-    monkeypatch.setattr(clean, "MAX_REPEATED", most)
-    nan = float("nan")
-    rows = [(1, None, 0.0), (None, 1, 0.0), (1, None, -0.0), (1, None, None), (2, 3, nan), (2, 3, nan), (None, None, None)] * 3 + [(9, 9, 9.0)]
-    df = spark.createDataFrame(rows, "`__d0` int, `a.b` int, x double").repartition(3)
-    want = df.dropDuplicates()
-    got = clean.dedupe(df)
-    assert got.columns == df.columns and got.count() == want.count() == 6 and got.exceptAll(want).isEmpty()
-    assert clean.count_duplicates(df).first()[0] == len(rows) - 6
-    by = clean.dedupe(df, ["a.b"]) if most else clean.dedupe(df.withColumnRenamed("a.b", "ab"), ["ab"])
-    assert sorted(str(r[1]) for r in by.collect()) == ["1", "3", "9", "None"]
-    assert clean.dedupe(df.limit(0)).count() == 0 and clean.count_duplicates(df.limit(0)).first()[0] == 0
-
-
-def test_dedupe_moves_digests_only(spark):
-    """No exchange of whole rows where few digests repeat: the result is a map over the stored rows."""
-    df = spark.range(2000).selectExpr("id % 1990 AS k", "repeat('x', 500) AS wide")
-    plan = clean.dedupe(df)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
-
-
 def test_forward_fill_two_level_matches_window_with_hot_key(spark):
     rows = []
     for i in range(400):
