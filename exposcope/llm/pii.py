@@ -63,8 +63,30 @@ NUMBER = re.compile(
     r"|(?<!\w)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)))")
 #: Two letters or more; hyphens and apostrophes join letters, but 's, 'll and the like end a name.
 _WORD = r"[^\W\d_](?:-?[^\W\d_]|['’](?!(?i:s|d|ll|ve|re)(?!\w))[^\W\d_])+"
-TITLED = re.compile(r"(?<!\w)(%s)\.? (%s)(?: (%s))?" % ("|".join(sorted(_TITLE_GENDER, key=len, reverse=True)), _WORD, _WORD))
-NAMED = re.compile(r"(?<!\w)(%s) (%s)" % ("|".join(sorted(GENDER, key=len, reverse=True)), _WORD))
+_INITIALS = r"(?: [^\W\d_]\.){0,2}"
+
+
+def _either_case(words) -> str:
+    """Words as they stand and in capitals, longest first."""
+    return "|".join(sorted({f for w in words for f in (w, w.upper())}, key=len, reverse=True))
+
+
+TITLED = re.compile(rf"(?<!\w)({_either_case(_TITLE_GENDER)})\.? ({_WORD})(?:{_INITIALS} ({_WORD}))?")
+NAMED = re.compile(rf"(?<!\w)({_either_case(GENDER)}){_INITIALS} ({_WORD})")
+_GENDER_OF = {w.lower(): g for w, g in GENDER.items()}
+_TITLE_OF = {t.lower(): g for t, g in _TITLE_GENDER.items()}
+
+#: Words that tell a street, and those between them and its name (fixed values).
+STREETS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "drive", "boulevard", "square", "rue", "place", "calle", "avenida", "plaza")
+BETWEEN = ("de", "del", "des", "du", "la", "le", "las", "los")
+SUFFIXES = ("straße", "strasse", "weg", "platz", "allee", "gasse")
+_CAPITAL = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+#: House number first, and house number last.
+NUMBERED = re.compile(rf"\d(?<!\w\d)\d{{0,4}}[a-z]? (?:(?:(?!The ){_CAPITAL} ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard|Square)"
+                      rf"|(?:rue|avenue|boulevard|place)(?: (?:de|des|du|la|le)){{0,2}}(?: {_CAPITAL}){{1,3}})(?!\w)")
+LAST = re.compile(rf"(?<!\w)(?:{_CAPITAL}(?<=straße|.platz|.allee|.gasse|...weg)|{_CAPITAL}(?<=strasse)"
+                  rf"|(?:Calle|Avenida|Plaza)(?: (?:de|del|la|las|los)){{0,2}}(?: {_CAPITAL}){{1,2}},?) \d{{1,4}}[a-z]?(?!\w|\.\d)")
+_LAST_HINTS = (*(f"{x} " for x in SUFFIXES), "Calle ", "Avenida ", "Plaza ")
 
 
 def _script(word: str) -> str:
@@ -112,27 +134,33 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     for m in NUMBER.finditer(text):
         digits = m[0] if m.lastgroup == "ip" else re.sub(r"\D", "", m[0])
         found.append((m.start(), m.end(), m.lastgroup, digits))
+    for pattern in (NUMBERED, LAST) if any(h in text for h in _LAST_HINTS) else (NUMBERED,):
+        found += [(m.start(), m.end(), "address", m[0].lower()) for m in pattern.finditer(text)]
     names: dict[str, tuple[str, str]] = {}  # lower-case name -> (kind, word as written)
 
     def person(m, gender, given, family):
         for base, word in (("family", family), ("given", given)):
             # the halves of a double name may stand alone elsewhere
             for w in dict.fromkeys((word, *word.split("-")) if word else ()):
-                if w == word or len(w) > 1 and _named(w):
+                if w == word or len(w) > 1 and (_named(w) or word.isupper()):
                     g = family_gender(_norm(w)) if base == "family" else gender
                     names.setdefault(_norm(w), (f"{base}:{g}:{_script(w)}", w))
 
+    def name(word, caps):  # in a name in capitals its words are too
+        return bool(word) and (word.isupper() and len(word) > 1 if caps else _named(word))
+
     for m in TITLED.finditer(text):
-        g = _TITLE_GENDER[m[1]]
-        if _named(m[2]) and _named(m[3]):
-            person(m, GENDER.get(m[2], g) if g == "n" else g, m[2], m[3])
-        elif _named(m[2]):
+        g, caps = _TITLE_OF[m[1].lower()], m[2].isupper()
+        if name(m[2], caps) and name(m[3], caps):
+            person(m, _GENDER_OF.get(m[2].lower(), g) if g == "n" else g, m[2], m[3])
+        elif name(m[2], caps) and (m[1].isupper() or not caps):
             person(m, g, None, m[2])
     for m in NAMED.finditer(text):
-        if _named(m[2]):
-            person(m, GENDER[m[1]], m[1], m[2])
-    if names:  # every later mention of a part, alone or not
-        longest = sorted((w for _, w in names.values()), key=len, reverse=True)
+        if name(m[2], m[1].isupper()):
+            person(m, _GENDER_OF[m[1].lower()], m[1], m[2])
+    if names:  # every mention of a part, alone or not, in capitals too
+        forms = {f for _, w in names.values() for f in ((w, w.upper()) if not w.isupper() else (w, w.capitalize()))}
+        longest = sorted(forms, key=len, reverse=True)
         part = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(re.sub("['’]", "['’]", re.escape(w)) for w in longest))
         found += [(m.start(), m.end(), names[_norm(m[0])][0], _norm(m[0])) for m in part.finditer(text)]
     out, reach = [], 0
@@ -169,6 +197,20 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         s = SYLLABLES[script]
         end = (ENDINGS if base == "given" else FAMILY_ENDINGS)[script, gender]
         return "".join(s[d.below(len(s))] for _ in range(2 + (base == "family") + attempt // 4)) + end[d.below(len(end))]
+    if base == "address":
+        def name():
+            return "".join(SYLLABLES["latin"][d.below(16)] for _ in range(2 + attempt // 4))
+        out = []
+        for w in norm.split(" "):
+            ending = next((x for x in SUFFIXES if w.endswith(x)), None)
+            if w[0].isdigit():
+                n = w.rstrip("abcdefghijklmnopqrstuvwxyz")
+                out.append(str(1 + d.below(9)) + d.digits(len(n) - 1) + w[len(n):])
+            elif w in STREETS or w in BETWEEN:
+                out.append(w)
+            else:
+                out.append(name() + (ending or "") + ("," if w.endswith(",") else ""))
+        return " ".join(out)
     if base == "ip":
         first = norm.split(".")[0]
         head = first if first in ("10", "127") else str(1 + d.below(223))
@@ -202,7 +244,9 @@ def dressed(raw: str, kind: str, drawn: str) -> str:
         it = iter(drawn)
         return "".join(next(it) if c.isalnum() else c for c in raw)
     if base in ("given", "family"):
-        return drawn.capitalize()
+        return drawn.upper() if raw.isupper() and len(raw) > 1 else drawn.capitalize()
+    if base == "address":
+        return " ".join(n.capitalize() if r[0].isupper() else n for r, n in zip(raw.split(" "), drawn.split(" ")))
     return drawn.upper() if raw.isupper() else drawn
 
 

@@ -110,3 +110,19 @@ def test_account_numbers_and_national_phones():
         assert a[2] == "phone" and a[3].startswith("0")
         drawn = P.dressed(phone, "phone", P.surrogate(b"k", "phone", a[3], 0))
         assert drawn[0] == "0" and drawn != phone and len(drawn) == len(phone)
+
+
+def test_initials_capitals_and_streets(spark):
+    texts = ["Mr John F. Kennedy left. KENNEDY came back; Kennedy's hat.", "JOHN SMITH and MR WEBER saw Smith. DR NO. MRS JONES",
+             "Lives at 12 Baker Street, 221b Long Acre Lane, Hauptstraße 12, Am Postweg 3a.", "10 rue de la Paix; Calle de Alcalá 45; at 12 baker street",
+             "In 2020 The Street was long. Der Umweg 5.3 und Wege. MR and MRS. The DR said NO. 5 Apples Streets.", "John Kennedy"]
+    got = run(spark, texts)
+    kinds = {k: [e.kind for e in r.entities] for k, r in got.items()}
+    assert kinds[0] == ["given", "family", "family", "family"] and re.fullmatch(r"Mr \w+ F\. \w+ left\. [A-Z]+ came back; \w+'s hat\.", got[0].text)
+    spans = [[r.text[e.start:e.end] for e in r.entities] for _, r in sorted(got.items())]
+    assert spans[0][1] == spans[0][3] == spans[0][2].capitalize() == spans[5][1]  # one surrogate in any case and text
+    assert not re.search("(?i)john|smith|weber|jones", got[1].text) and spans[1][0].isupper() and spans[1][3] == spans[1][1].capitalize()
+    assert kinds[2] == ["address"] * 4 and not re.search("Baker|Acre|Haupt|Post", got[2].text)
+    assert re.fullmatch(r"Lives at \d\d [A-Z]\w+ Street, \d{3}b [A-Z]\w+ [A-Z]\w+ Lane, [A-Z]\w+straße \d\d, Am [A-Z]\w+weg \da\.", got[2].text)
+    assert kinds[3] == ["address"] * 2 and re.fullmatch(r"\d\d rue de la [A-Z]\w+; Calle de [A-Z]\w+ \d\d; at 12 baker street", got[3].text)
+    assert got[4].text == texts[4] and not got[4].entities
