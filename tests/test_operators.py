@@ -317,3 +317,28 @@ def test_left_nulls_are_told_with_all_copies(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     with pytest.raises(clean.IncompleteDataError, match="'b': 2"):
         clean_events(df, [], [])
+
+
+@pytest.mark.parametrize("bits", [27, 10])
+def test_only_rows_that_may_have_copies_are_shuffled(spark, monkeypatch, bits):
+    # with few places most rows share one, and must still be compared in full
+    monkeypatch.setattr(clean, "PLACE_BITS", bits)
+    rows = [(i, f"t{i % 7}" if i % 5 else None, None if i % 11 == 0 else i / 4) for i in range(3000)]
+    odd = [(-1, "a", 0.0), (-1, "a", -0.0), (-2, None, float("nan")), (-2, None, float("nan")), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows + rows[::100] + rows[:1] * 50 + odd, "a long, b string, c double").repartition(3)
+    every, kept = clean.written_dedupe(df)
+    assert every.columns == kept.columns == df.columns
+    assert every.count() == len(rows) + 30 + 50 + 6
+    want = df.dropDuplicates()
+    assert kept.count() == want.count() == len(rows) + 3
+    assert kept.exceptAll(want).count() == 0
+    assert clean.count_duplicates(df).first()[0] == 30 + 50 + 3
+    if bits == 27:  # whole rows moved: copies and what shares a place with them
+        d = df.withColumn("__h", clean._digest(df))
+        assert clean._with_repeats(d, clean._places_of_repeats(d.select("__h")), True).count() < 200
+
+
+def test_no_copies_no_rows(spark):
+    df = spark.range(100).selectExpr("id", "cast(null as string) AS s")
+    assert clean.count_duplicates(df).first()[0] == 0 and clean.count_duplicates(df.limit(0)).first()[0] == 0
+    assert clean.written_dedupe(df)[1].count() == 100 and clean.written_dedupe(df.limit(0))[1].count() == 0
