@@ -2,6 +2,7 @@
 splits, persistence, streaming."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,30 @@ def test_auc_matches_binary_evaluator(spark):
                                        metricName="areaUnderROC")
     assert auc[1] == pytest.approx(ev.evaluate(df.withColumn("label", F.col("label").cast("double"))),
                                    abs=1e-9)
+
+
+def test_scores_of_full_trees_equal_a_walk_by_node(spark):
+    # leaves at any depth, a missing value goes to the right, trees of one node
+    r = np.random.default_rng(3)
+    x = r.normal(size=(5000, 4)).round(1)
+    x[r.random(x.shape) < 0.05] = np.nan
+    parts = []
+    for t in range(12):
+        some = np.nan_to_num(x[r.integers(0, len(x), 1 if t == 4 else 40)])
+        got = iforest._build_tree(some, r, 6)
+        parts.append(pd.DataFrame(dict(zip(["feature", "threshold", "left", "right", "size", "depth"], map(np.array, got)))).assign(tree=3 * t, node=range(len(got[0]))))
+    model = iforest.IsolationForestModel(["a", "b", "c", "d"], pd.concat(parts), 40, 12, 0.05)
+    want = []
+    for row in x[:300]:
+        total = 0.0
+        for p in parts:
+            at = 0
+            while p["feature"].iat[at] >= 0:
+                at = p["left" if row[p["feature"].iat[at]] < p["threshold"].iat[at] else "right"].iat[at]
+            total += p["depth"].iat[at] + iforest.c_factor([p["size"].iat[at]])[0]
+        want.append(total)
+    got = iforest.path_lengths(list(x.T.copy()), *model._heaps())  # several pieces of rows
+    assert len(x) > 2 * iforest.WALKED_ROWS and got[:300].tolist() == pytest.approx(want, abs=1e-12)
+    df = spark.createDataFrame(pd.DataFrame(x[:300], columns=model.cols))
+    raw = [v[0] for v in model.transform(df).select("anomaly_raw").collect()]
+    assert raw == pytest.approx((-np.power(2.0, -np.array(want) / 12 / iforest.c_factor([40])[0])).tolist(), abs=1e-12)
