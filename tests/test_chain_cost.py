@@ -62,3 +62,13 @@ def test_insight_code_is_compiled(spark, capsys):
         "CAST(id AS DOUBLE) AS cvss_base_score", "CAST(id % 4 AS INT) AS leak_severity_encoded", "id AS paste_site_mentions",
         "id AS github_leak_count", "id AS ssl_days_remaining", "id / 2D AS exposure_velocity", "1 AS has_credentials")
     assert _largest_method(insights(df), capsys) < 8000
+
+
+def test_model_table_is_spread(spark, tmp_path):
+    """Rows of an input of one row group are scored in many tasks, about as many in each."""
+    from exposcope.plans.ml_queries import model_table
+    source = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(2000)
+    source.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = model_table(spark, str(tmp_path)).groupBy(F.input_file_name()).count().collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(files) == parts and max(r["count"] for r in files) < 2 * 2000 / parts + 10
