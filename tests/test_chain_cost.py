@@ -72,3 +72,13 @@ def test_model_table_is_spread(spark, tmp_path):
     files = model_table(spark, str(tmp_path)).groupBy(F.input_file_name()).count().collect()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(files) == parts and max(r["count"] for r in files) < 2 * 2000 / parts + 10
+
+
+def test_rows_of_many_row_groups_are_not_shuffled(spark):
+    """Tables that many tasks read already stay where they are; others are dealt anew."""
+    from exposcope.plans.ml_queries import spread
+    cores, parts = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    even = spark.range(0, 4000, 1, 2 * cores)
+    assert spread(even) is even and spread(even.where("false")).count() == 0
+    uneven = even.unionByName(spark.range(4000, 14000, 1, 1))
+    assert spread(uneven).rdd.getNumPartitions() == parts and spread(uneven).count() == 14000
